@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import encode_decode
 from .common import documents
 from .exact_dedup import exact_dedup
+from .huffman import read_tokens, shared_folder, write_tokens
 from .multiset_hash import edited_fingerprints
+from .packing import pack_documents
 from .url_filters import url_filter
 
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 #: A dated block list for the query: (entry, action, effective).
 URL_LIST = [
     ("spam-farm.example.org", "block", "2024-01-10"), ("spam-farm.example.org", "remove", "2024-06-01"), ("spam-farm.example.org", "block", "2024-09-15"),
@@ -57,5 +69,19 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM h WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op4_exact_dedup)}
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
+    return read_tokens(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op10_token_files)}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL}
