@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .huffman import read_tokens, shared_folder, write_tokens
 from .multiset_hash import edited_fingerprints
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .toxicity import score, train
 from .url_filters import url_filter
@@ -83,11 +84,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op7_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op7_toxicity, op8_near_dedup, op10_token_files)}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL}
