@@ -47,8 +47,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
 
 def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """The text column, null as empty."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
+    """The text column, null as empty, copied to buffers of its own (some string kernels misread slices)."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))), "")
 
 
 def words_of(text: pa.Array) -> tuple[np.ndarray, pa.Array]:

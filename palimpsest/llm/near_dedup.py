@@ -35,9 +35,9 @@ def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, hashes): each document's distinct shingles in ascending order. Fewer words than `width`: the whole sequence."""
     import pyarrow.compute as pc
 
-    offsets, flat = words_of(pc.ascii_lower(text))
+    offsets, flat = words_of(text)
     codes, distinct = coded(flat)
-    h = string_hashes(distinct)[codes]
+    h = string_hashes(pc.ascii_lower(distinct))[codes]
     n = np.diff(offsets)
     made = np.maximum(n - width + 1, (n > 0).astype(np.int64))
     at = np.concatenate(([0], np.cumsum(made)))
