@@ -12,6 +12,7 @@ from .huffman import read_tokens, shared_folder, write_tokens
 from .multiset_hash import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .toxicity import score, train
 from .url_filters import url_filter
 
@@ -79,6 +80,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -94,5 +99,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op7_toxicity, op8_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_toxicity, op8_near_dedup, op10_token_files)}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL}
