@@ -13,6 +13,7 @@ from .multiset_hash import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_long_matches
 from .toxicity import score, train
 from .url_filters import url_filter
 
@@ -93,11 +94,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_long_matches(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_toxicity, op8_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_toxicity, op8_near_dedup, op9_suffix_dedup, op10_token_files)}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL}
