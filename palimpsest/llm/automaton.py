@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts
-from .tokens import Remembered, word_ids
+from .tokens import TOKEN_SLICE, Remembered, word_ids
 
 NEVER = 1 << 60
 _COMPILED: dict[str, MergeAutomaton] = {}
@@ -173,25 +173,12 @@ _WORDS: dict[str, Remembered] = {}
 def encoder(path: str) -> Remembered:
     if path not in _WORDS:
         automaton = compiled(path)
-        pieces: dict[str, list[int]] = {}
-
-        def one(text: str) -> list[int]:
-            out: list[int] = []
-            for word in automaton.pre_split(text):
-                if isinstance(word, int):
-                    out.append(word)
-                    continue
-                ids = pieces.get(word)
-                if ids is None:
-                    if len(pieces) > 300_000:
-                        pieces.clear()
-                    ids = automaton.encode_word(word)
-                    if len(word) < 40:
-                        pieces[word] = ids
-                out += ids
-            return out
-
-        _WORDS[path] = Remembered(lambda strings: [one(s) for s in strings])
+        own = automaton.symbols
+
+        def words(strings: list[str]) -> list[list[int]]:
+            return [automaton.encode_word(w if w.isascii() else "".join(own[b] for b in w.encode())) for w in strings]
+
+        _WORDS[path] = Remembered(words, lambda strings: [automaton.encode(s) for s in strings], True)
     return _WORDS[path]
 
 
@@ -213,7 +200,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         automaton, encode = compiled(tokenizer), encoder(tokenizer)
         labels = pa.array(automaton.labels, pa.string())
         numbers = pa.array([str(i) for i in range(len(automaton.labels))], pa.string())
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", TOKEN_SLICE):
             at, ids = word_ids(texts(batch, "text"), encode)
             decoded = joined(ids, at, labels)
             if digests:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, slices, texts
-from .tokens import library_encoder, library_tokenizer, word_ids
+from .tokens import TOKEN_SLICE, library_encoder, library_tokenizer, word_ids
 
 LIMIT, SEGMENT, BLOCK_IDS = 18, 256, 1_000_000
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, doc_lengths binary, checkpoints binary, bits binary"
@@ -105,20 +105,52 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def id_counts(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> np.ndarray:
-    """How often each id occurs over all documents; the result is bounded by the vocabulary."""
+RAW = "part int, block int, doc_ids binary, doc_lengths binary, raw binary"
+
+
+def raw_blocks(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Ids in ascending doc_id order, in blocks of whole documents."""
 
     def run(batches):
-        encode, counts = library_encoder(tokenizer), np.zeros(vocabulary, np.int64)
-        for batch in slices(batches, "text"):
+        encode, part = library_encoder(tokenizer), TaskContext.get().partitionId()
+        block, held, keys, sizes, n = 0, [], [], [], 0
+
+        def made():
+            row = [[part], [block], *([np.concatenate(x).astype(kind).tobytes()] for x, kind in ((keys, "<i8"), (sizes, "<u8"), (held, "<u4")))]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], [x.split()[0] for x in RAW.split(", ")])
+
+        for batch in slices(batches, "text", TOKEN_SLICE):
             at, ids = word_ids(texts(batch, "text"), encode)
-            counts += np.bincount(ids, minlength=vocabulary)
-            counts[end_id] += len(at) - 1
+            ids = np.insert(ids, at[1:], np.uint32(end_id))
+            at = at + np.arange(len(at))
+            cuts = np.flatnonzero(np.diff(at[:-1] // BLOCK_IDS)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                held.append(ids[at[a] : at[b]])
+                keys.append(np.asarray(batch.column(0))[a:b])
+                sizes.append(np.diff(at[a : b + 1]))
+                n += len(held[-1])
+                if n >= BLOCK_IDS:
+                    yield made()
+                    block, held, keys, sizes, n = block + 1, [], [], [], 0
+        if held:
+            yield made()
+
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, RAW)
+
+
+def id_counts(raw: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs over all documents; the result is bounded by the vocabulary."""
+
+    def run(batches):
+        counts = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                counts += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["id", "n"])
 
     total = np.zeros(vocabulary, np.int64)
-    for r in docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("raw").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r["id"]] = r["n"]
     return total
 
@@ -126,47 +158,36 @@ def id_counts(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) ->
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
     """Write every document's ids and the end id to the token files in `path`, in ascending doc_id order.
 
-    Null text counts as empty. Rows with a null doc_id have no place in the order and are left
-    out; rows that repeat a doc_id are all written. An empty table gives files without blocks.
+    Texts are encoded once, into raw blocks in `path`/raw; the global counts of their ids give
+    the code, which then packs each block by itself. Null text counts as empty. Rows with a null
+    doc_id have no place in the order and are left out; rows that repeat a doc_id are all
+    written. An empty table gives files without blocks.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    vocabulary = library_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True)
-    lengths = code_lengths(id_counts(rows, tokenizer, vocabulary, end_id))
+    raw_blocks(rows, tokenizer, end_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/raw")
+    raw = spark.read.schema(RAW).parquet(f"{path}/raw")
+    lengths = code_lengths(id_counts(raw, library_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True)))
     codes = canonical_codes(lengths)
 
     def run(batches):
-        encode, part = library_encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32)
-        block, held, keys, sizes, n = 0, [], [], [], 0
-
-        def made():
-            ids = np.concatenate(held)
-            bits, marks = pack_bits(ids, codes, lengths)
-            row = [[part], [block], [len(ids)], [np.concatenate(keys).astype("<i8").tobytes()], [np.concatenate(sizes).astype("<u8").tobytes()], [marks.tobytes()], [bits]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
-
-        for batch in slices(batches, "text", 3_000_000):
-            at, ids = word_ids(texts(batch, "text"), encode)
-            held.append(np.insert(ids, at[1:], end[0]) if len(ids) else np.repeat(end, batch.num_rows))
-            keys.append(np.asarray(batch.column(0)))
-            sizes.append(np.diff(at) + 1)
-            n += len(held[-1])
-            if n >= BLOCK_IDS:
-                yield made()
-                block, held, keys, sizes, n = block + 1, [], [], [], 0
-        if held:
-            yield made()
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["raw"], "<u4")
+                bits, marks = pack_bits(ids, codes, lengths)
+                row = [[r["part"]], [r["block"]], [len(ids)], [r["doc_ids"]], [r["doc_lengths"]], [marks.tobytes()], [bits]]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
-    docs.sparkSession.createDataFrame([(lengths.tobytes(), tokenizer.rsplit("/", 1)[-1], SEGMENT, end_id)], "lengths binary, tokenizer string, segment int, end_id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
+    raw.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    spark.createDataFrame([(lengths.tobytes(), tokenizer.rsplit("/", 1)[-1], SEGMENT, end_id)], "lengths binary, tokenizer string, segment int, end_id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, and the ids if asked for."""
     header = spark.read.parquet(f"{path}/header").first()
     lengths, segment = np.frombuffer(header["lengths"], np.uint8), header["segment"]
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     own = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.select("part", "block", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(own), F.lit(0)))
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each range partition

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts
-from .tokens import library_encoder, spaced_ids
+from .tokens import TOKEN_SLICE, library_encoder, spaced_ids
 
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
 
     def run(batches):
         encode = library_encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TOKEN_SLICE):
             at, ids = spaced_ids(texts(batch, "text"), encode)
             raw = memoryview(ids.astype("<u4").tobytes())
             keys, out = batch.column(0).to_pylist(), []
