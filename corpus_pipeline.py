@@ -1,8 +1,62 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, substring dedup, packing.
 
-STAGES = []
+Each stage reads all that the one before it kept, written as Parquet. Documents that a stage
+rejects go; all but the last stage return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.huffman import shared_folder
+from palimpsest.llm.near_dedup import near_duplicates
+from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.queries import vocabulary
+from palimpsest.llm.substring_dedup import without_repeats
+from palimpsest.llm.toxicity import clean_rows, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones, doesn't reject."""
+    return clean_rows(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs less those that judged says aren't kept. Rows with a null doc_id stay."""
+    return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return without(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at a similarity of 0.8."""
+    return without(docs, near_duplicates(docs, width=5, percent=80))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words and more that an earlier document has."""
+    return without_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("substring dedup", substrings), ("packing", packing)]
+
+#: Stages that fit models and encode tokens have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.schema(docs.schema).parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -74,10 +74,10 @@ def by_document(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("items"))
 
 
-def removed_units(batch: pa.RecordBatch, sizes: np.ndarray) -> np.ndarray:
-    """Units of a slice's documents in a row that the ranges in `items` cover."""
+def removed_units(batch: pa.RecordBatch, sizes: np.ndarray, name: str = "items") -> np.ndarray:
+    """Units of a slice's documents in a row that the ranges in a column of lists cover."""
     starts = np.cumsum(sizes) - sizes
-    row, items = listed(batch, "items")
+    row, items = listed(batch, name)
     cover = np.zeros(int(sizes.sum()) + 1, np.int64)
     np.add.at(cover, items.field("lo").to_numpy(zero_copy_only=False) + starts[row], 1)
     np.add.at(cover, items.field("end").to_numpy(zero_copy_only=False) + starts[row], -1)
@@ -87,7 +87,3 @@ def removed_units(batch: pa.RecordBatch, sizes: np.ndarray) -> np.ndarray:
 def ranges_joined(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every document with the ranges to remove, null where there are none."""
     return texts.join(by_document(ranges, "lo", "end").hint("shuffle_hash"), "doc_id", "left")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -187,3 +187,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return ranges_joined(text_rows, ranges).mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """docs, all columns in place, with the repeated words gone from the text.
+
+    A text that loses nothing stays as it is, white space included; one that loses words becomes
+    the kept words joined by one space, and size_col, if docs has it, their code points. A
+    document that loses all its words is left out.
+    """
+    rows = rows_of(docs, id_col, text_col)
+    whole = docs.withColumn("__repeats_id", F.col(id_col).cast("long")).repartition("__repeats_id")
+    text_rows = whole.select(F.col("__repeats_id").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ranges = repeated_ranges(rows, text_rows, window, rounds).groupBy(F.col("doc_id").alias("__repeats_key")).agg(F.collect_list(F.struct("lo", "end")).alias("__repeats"))
+    joined = whole.join(ranges.hint("shuffle_hash"), F.col("__repeats_id") == F.col("__repeats_key"), "left").drop("__repeats_id", "__repeats_key")
+    names = docs.columns
+
+    def run(batches):
+        for batch in slices(batches, text_col, SLICE):
+            offsets, flat = words_of(texts(batch, text_col))
+            sizes = np.diff(offsets)
+            kept = ~removed_units(batch, sizes, "__repeats")
+            at = np.concatenate(([0], np.cumsum(kept)))[offsets]
+            left = np.diff(at)
+            strings = pa.compute.binary_join(pa.LargeListArray.from_arrays(pa.array(at), flat.filter(pa.array(kept))).cast(pa.list_(pa.string())), " ")
+            out = batch.select(names)
+            old = out.column(names.index(text_col))
+            new = pa.compute.if_else(pa.array(left < sizes), strings, old.cast(pa.string())).cast(old.type)
+            columns = list(out.columns)
+            columns[names.index(text_col)] = new
+            if size_col in names:
+                size = columns[names.index(size_col)]
+                columns[names.index(size_col)] = pa.compute.if_else(pa.array(left < sizes), pa.compute.utf8_length(strings).cast(size.type), size)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array((left > 0) | (sizes == 0)))
+
+    return joined.mapInArrow(run, docs.schema)
