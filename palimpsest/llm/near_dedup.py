@@ -27,6 +27,8 @@ from .huffman import shared_folder
 
 POSITIONS, TREES, BRANCHES = 128, 4, (2, 2, 1, 1, 1)
 LEAF, BLOCK = 128, 2048
+#: Ids of documents to confirm that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 #: How many standard errors below the threshold a sketch's estimate may be.
 SLACK = 3.9
 
@@ -74,7 +76,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     import hashlib
 
     def run(batches):
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             at, s = shingle_sets(texts(batch, "text"), width)
             sig = minwise(at, s)
             raw = memoryview(s.tobytes())
@@ -86,42 +88,76 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
-def branches(rows: DataFrame, level: int, trees: int) -> DataFrame:
-    """Members of the next level's nodes: (node, sig, doc_id) -> (node, doc_id)."""
-    wide = BRANCHES[level]
+def chosen(top: np.ndarray, sig: np.ndarray, level: int, j: int) -> np.ndarray:
+    """The j-th branch of each member of a node: the node chooses positions, all different, and the member's value at the j-th is the branch."""
+    choice = mixed(top ^ np.uint64(level + 1))
+    stride = ((choice >> np.uint64(20)) % np.uint64(POSITIONS // 2)) * np.uint64(2) + np.uint64(1)
+    p = ((choice + np.uint64(j) * stride) % np.uint64(POSITIONS)).astype(np.int64)
+    return mixed(mixed(choice + p.astype(np.uint64)) + sig[np.arange(len(p)), p].astype(np.uint64))
+
+
+def signature_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, POSITIONS)
+
+
+def first_level(classes: DataFrame, trees: int) -> DataFrame:
+    """(doc_id, sig) -> (node, doc_id): members of the first nodes of all trees."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, POSITIONS)
-            node = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            ids, out = np.asarray(batch.column(2)), []
-            tops = [mixed(node + np.uint64(1 + t)) for t in range(trees)] if level == 0 else [node]
-            for top in tops:
-                for j in range(wide):
-                    choice = mixed(top ^ np.uint64((level + 1) * 1000 + j))
-                    p = (choice % np.uint64(POSITIONS)).astype(np.int64)
-                    out.append(mixed(choice + sig[np.arange(len(p)), p].astype(np.uint64)))
+            ids, sig = np.asarray(batch.column(0)), signature_rows(batch.column(1))
+            out = [chosen(np.full(len(ids), mixed(np.array([1 + t], np.uint64))[0]), sig, 0, j) for t in range(trees) for j in range(BRANCHES[0])]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], ["node", "doc_id"])
 
-    return rows.select("node", "sig", "doc_id").mapInArrow(run, "node long, doc_id long")
+    return classes.select("doc_id", "sig").mapInArrow(run, "node long, doc_id long")
+
+
+def deeper_levels(large: DataFrame) -> DataFrame:
+    """(node, doc_id, sig) -> (doc_id, n1, n2, ...): every path from a first node down to the last level."""
+    names = [f"n{i}" for i in range(1, len(BRANCHES))]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = signature_rows(batch.column(2))
+            paths = [[np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)]]
+            for level in range(1, len(BRANCHES)):
+                paths = [[*p, chosen(p[-1], sig, level, j)] for p in paths for j in range(BRANCHES[level])]
+            columns = [np.concatenate([p[i] for p in paths]).view(np.int64) for i in range(1, len(BRANCHES))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.asarray(batch.column(1)), len(paths))), *map(pa.array, columns)], ["doc_id", *names])
+
+    return large.select("node", "doc_id", "sig").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def leaves(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(doc_id, sig) -> (node, n, doc_id): members of the nodes to compare, of n members each."""
-    done, current = None, classes.withColumn("node", F.lit(0).cast("long"))
-    for level in range(len(BRANCHES)):
-        members = branches(current, level, trees)
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        counted = checkpointed(members.join(sizes, "node").select("node", "n", "doc_id"))
-        last = level == len(BRANCHES) - 1
-        ripe = counted if last else counted.filter(F.col("n") <= LEAF)
-        done = ripe if done is None else done.unionByName(ripe)
-        large = counted.filter(F.col("n") > LEAF)
-        if last or large.isEmpty():
+    """(doc_id, sig) -> (node, n, doc_id): members of the nodes to compare, of n members each.
+
+    Signatures are looked up once more, for members of large first nodes, whose whole paths are
+    worked out then; the levels below only count.
+    """
+
+    def counted(rows: DataFrame, node: str) -> DataFrame:
+        sizes = rows.groupBy(node).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return checkpointed(rows.join(sizes, node))
+
+    level = counted(first_level(classes, trees), "node")
+    done = level.filter(F.col("n") <= LEAF).select("node", "n", "doc_id")
+    large = level.filter(F.col("n") > LEAF)
+    if large.isEmpty():
+        return done
+    paths = deeper_levels(large.select("node", "doc_id").join(classes.select("doc_id", "sig"), "doc_id"))
+    for i in range(1, len(BRANCHES)):
+        # branches that meet again lower down are one path
+        paths = counted(paths.dropDuplicates(["doc_id", f"n{i}"]) if i > 1 else paths, f"n{i}")
+        last = i == len(BRANCHES) - 1
+        ripe = paths if last else paths.filter(F.col("n") <= LEAF)
+        done = done.unionByName(ripe.select(F.col(f"n{i}").alias("node"), "n", "doc_id"))
+        paths = paths.filter(F.col("n") > LEAF).drop("n", f"n{i}")
+        if last or paths.isEmpty():
             break
-        current = large.join(classes, "doc_id")
     return done
 
 
@@ -269,7 +305,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches):
-        for batch in slices(batches, "text_a", 2_000_000):
+        for batch in slices(batches, "text_a", 1_000_000):
             (x_at, x), (y_at, y) = (shingle_sets(texts(batch, c), width) for c in ("text_a", "text_b"))
             good = []
             for i in range(batch.num_rows):
@@ -278,10 +314,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 good.append(100 * (len(p) + len(q) - union) >= percent * union)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    used = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # so few ids are sent to every task, which spares shuffling all texts
+    used = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     ends = [used.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(run, PAIR)
+    return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(run, PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,14 +338,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     base = spark.read.parquet(folder)
     reps = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).dropna()
     reps = checkpointed(reps)
-    classes = base.select("doc_id", "sig", "sketch").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    folder = shared_folder(spark, "classes")
+    base.select("doc_id", "sig", "sketch").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
+    classes = spark.read.parquet(folder)
     share = percent / 100
     least = POSITIONS * share - SLACK * np.sqrt(POSITIONS * share * (1 - share))
     members = checkpointed(leaves(classes.select("doc_id", "sig"), trees))
     sketches = classes.select("doc_id", "sketch")
-    links = checkpointed(confirmed(first_pairs(members, sketches, least), rows, width, percent))
+    links = checkpointed(confirmed(checkpointed(first_pairs(members, sketches, least)), rows, width, percent))
     parts = components(links)
-    more = checkpointed(confirmed(pairs_apart(members, sketches, parts, least), rows, width, percent))
+    more = checkpointed(confirmed(checkpointed(pairs_apart(members, sketches, parts, least)), rows, width, percent))
     if not more.isEmpty():
         parts = components(parts.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = reps.join(parts, reps["doc_id"] == parts["id"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
