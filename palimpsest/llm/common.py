@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Arrow slice holds in a Python worker.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,6 +34,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what a large slice took would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part holds about `most` bytes of text, or one row."""
     for batch in batches:
@@ -44,6 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         cuts = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
+            give_back()
 
 
 def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
