@@ -26,7 +26,7 @@ from .common import coded, slices, texts, words_of
 
 #: Most labelled rows that a model is fitted on, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
-GRADES, FEATURES, HASH_MASK = 4, 4000, (1 << 24) - 1
+GRADES, FEATURES, HASH_MASK = 4, 4000, (1 << 22) - 1
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
@@ -42,7 +42,7 @@ def features_of(word: str) -> list[int]:
     return out
 
 
-def present(text: pa.Array, wanted: dict[int, int] | None = None, width: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def present(text: pa.Array, wanted: dict[int, int] | None = None, width: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature) of a slice's distinct features, and each document's words."""
     offsets, flat = words_of(text)
     codes, distinct = coded(flat)
@@ -100,23 +100,28 @@ def fit(rows: list, features: int = FEATURES, steps: int = 400, ridge: float = 3
     toxic = np.array([r["toxic"] > 0 for r in rows], bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
-    parts = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-    ids, f = np.unique(np.concatenate(parts), return_inverse=True)
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    d1, d0 = np.bincount(f, toxic[doc], len(ids)), np.bincount(f, ~toxic[doc], len(ids))
+    parts = [np.frombuffer(r["f"], "<u4") for r in rows]
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    held = np.zeros((2, HASH_MASK + 1), np.int32)  # clean and toxic rows that have each feature
+    for f, t in zip(parts, toxic, strict=True):
+        held[int(t), f] += 1
+    ids = np.flatnonzero(held.sum(0) >= 4)
+    d0, d1 = held[0, ids], held[1, ids]
+    del held
     p = (d1 + d0) / (n1 + n0)
     z = (d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    markers = (z > 5) & (d1 > 20 * (d0 + 0.5) * n1 / n0)
-    marks = np.bincount(doc, markers[f], len(rows))
+    markers = np.zeros(HASH_MASK + 1, bool)
+    markers[ids[(z > 5) & (d1 > 20 * (d0 + 0.5) * n1 / n0)]] = True
+    marks = np.array([markers[f].sum() for f in parts])
     cuts = np.quantile(marks[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, marks, side="left"), 0)
     best = np.argsort(-np.abs(z), kind="stable")[:features]
-    best = np.sort(best[(np.abs(z[best]) > 5) & (d1 + d0 >= 4)[best]])
-    place = np.full(len(ids), -1)
+    best = np.sort(ids[best[np.abs(z[best]) > 5]])
+    place = np.full(HASH_MASK + 1, -1, np.int32)
     place[best] = np.arange(len(best))
-    kept = place[f] >= 0
-    doc, f = doc[kept], place[f][kept]
+    kept = [place[f] for f in parts]
+    kept = [k[k >= 0] for k in kept]
+    doc, f = np.repeat(np.arange(len(rows)), [len(k) for k in kept]), np.concatenate(kept)
     above = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
     # thresholds: the first, and the logarithms of the gaps, so that they stay in order
     w, t = np.zeros(len(best)), np.array([2.0, 0.0, 0.0])
@@ -136,7 +141,7 @@ def fit(rows: list, features: int = FEATURES, steps: int = 400, ridge: float = 3
     gaps = np.exp(t[1:])
     p_toxic = sigmoid(np.bincount(doc, w[f], len(rows)) - t[0])
     cost = {c: int((toxic & (p_toxic < c)).sum() + 10 * (~toxic & (p_toxic >= c)).sum()) for c in np.linspace(0.5, 0.05, 46)}
-    return Model(ids[best], w, np.array([t[0], t[0] + gaps[0], t[0] + gaps.sum()]), float(min(cost, key=cost.get)))
+    return Model(best, w, np.array([t[0], t[0] + gaps[0], t[0] + gaps.sum()]), float(min(cost, key=cost.get)))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
