@@ -16,11 +16,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpointed, slices
 from .huffman import shared_folder
 
 RUNS = "doc_id long, lo long, hi long, key long, span long"
-SLICE = 6_000_000
+SLICE = 4_000_000
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,3 +87,14 @@ def removed_units(batch: pa.RecordBatch, sizes: np.ndarray, name: str = "items")
 def ranges_joined(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every document with the ranges to remove, null where there are none."""
     return texts.join(by_document(ranges, "lo", "end").hint("shuffle_hash"), "doc_id", "left")
+
+
+#: Keys that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def sharing(runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The runs whose key is among `shared`, written: most runs of a corpus share nothing, and what follows reads these several times."""
+    shared = checkpointed(shared)
+    keys = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    return written(runs.join(keys, "key", "left_semi").select("doc_id", "lo", "hi", "key", "span"), "shared-runs", RUNS)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, coded, mixed, slices, string_hashes, texts, words_of
-from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, window_runs, windows_at
+from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
 WINDOW, ROUNDS = 50, 3
 
@@ -135,7 +135,7 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, window: int, rounds:
 
     runs = window_runs(rows, find).filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
-    runs = runs.join(shared, "key")
+    runs = sharing(runs, shared)
     spans = runs.groupBy("key", "span").agg(F.min("doc_id").alias("first"))
     several = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"))
     judged = runs.join(spans.join(several, "key"), ["key", "span"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, mixed, slices, texts
-from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, window_runs, windows_at
+from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
 LENGTH, GRAM = 200, 32
 #: Distinct spans of a key that are indexed, and bytes of spans in one index.
@@ -216,7 +216,7 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: in
     """(doc_id, lo, end): bytes covered by a string of `length` bytes that starts somewhere else too."""
     runs = window_runs(rows, lambda batch: anchors(*bytes_of(batch), length, gram)).filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key")
-    runs = runs.join(shared, "key")
+    runs = sharing(runs, shared)
     spans = runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first"))
     # a key needs a look if some span of it occurs once and there are other spans
     keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("places").alias("least"))
