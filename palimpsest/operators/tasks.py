@@ -85,6 +85,3 @@ def relevance(label: Column, task: Column) -> Column:
     words = F.filter(F.split(F.lower(task), r"[^a-z0-9]+"), lambda w: F.length(w) > 2)
     return F.size(F.filter(F.array_distinct(words), lambda w: F.lower(label).contains(w))) * 20
 
-
-def page_type(n_inputs: Column, n_links: Column, n_words: Column, n_rows: Column, dialog: Column, search: Column) -> Column:
-    return F.when(dialog, "dialog").when(n_inputs >= 3, "form").when(search, "search").when(n_rows >= 5, "data").when(n_words >= 150, "article").when(n_links >= 10, "navigation").otherwise("mixed")

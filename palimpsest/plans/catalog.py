@@ -11,7 +11,7 @@ from ..functions import checks as K
 from ..functions import detect as D
 from ..functions import mask as M
 from ..functions import patterns as P
-from ..operators import boundary, boxes, fields, proofs, risk, sequences, tasks
+from ..operators import boundary, boxes, fields, proofs, risk, sequences, steps, tasks
 from ..sources import fixtures, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,6 +347,50 @@ def router_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(risk.route(tiers).alias("r")).groupBy(F.col("r.layer").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
+ELEMENTS = [("a", "input:text", True, False, False, False, "search_input"), ("b", "input:text", False, True, False, False, "form_field"), ("c", "textarea", None, None, None, None, "form_field"), ("d", "button", False, True, False, False, "form_button"), ("e", "link", False, False, True, True, "pagination_control"), ("f", "link", False, False, False, True, "navigation_link"), ("g", "role:switch", None, None, None, None, "toggle"), ("h", None, None, None, None, None, "interactive_element"), ("i", "input:checkbox", True, False, False, False, "checkbox")]
+
+
+@query("WITH " + values("v", "id, role", [(r[0], r[6]) for r in ELEMENTS]) + " SELECT id, role FROM v")
+def semantic_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:6] for r in ELEMENTS], "id string, type string, is_search boolean, in_form boolean, is_pagination boolean, in_nav boolean")
+    return rows.select("id", steps.role(F.col("type"), F.col("is_search"), F.col("in_form"), F.col("is_pagination"), F.col("in_nav")).alias("role"))
+
+
+@query("SELECT page_id, CASE WHEN contains(html, '<table') THEN 'data' WHEN contains(html, '<article') THEN 'article' WHEN len(regexp_extract_all(html, '<a href=')) > 15 THEN 'navigation' ELSE 'mixed' END AS page_type FROM pages")
+def page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    links = pages.page_links(p).withColumn("role", F.lit("content_link"))
+    facts = p.select("page_id", F.col("html").contains("<table").alias("has_table"), F.col("html").contains("<article").alias("has_article"), F.lit(False).alias("modal_open"))
+    return steps.page_types(links, "page_id", "role", facts)
+
+
+STATES = [("IDLE", True), ("OBSERVING", True), ("PLANNING", True), ("EXECUTING_ACTION", True), ("PLANNING", False), ("PLANNING", True), ("STOPPED", True), ("COMPLETED", False), ("IDLE", True)]
+
+
+@query("WITH " + values("v", "seq, is_valid", [(i, str(ok)) for i, (_, ok) in enumerate(STATES)]) + " SELECT seq, is_valid = 'True' AS is_valid FROM v")
+def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("s", i, x) for i, (x, _) in enumerate(STATES)], "session string, seq int, state string")
+    return steps.state_log(rows, "session", ["seq"], "state").select("seq", "is_valid")
+
+
+FAILURES = [
+    ("done", "fill", "x", "x", None, True, True, True, False, False, False, False, True, "INTENDED_CHANGE_ALREADY_DONE", "SKIP"),
+    ("checked", "check", None, None, True, True, True, False, False, False, False, False, True, "INTENDED_CHANGE_ALREADY_DONE", "SKIP"),
+    ("modal", "click", None, None, None, True, True, True, True, False, False, False, True, "MODAL_OVERLAY", "RESOLVE_MODAL"),
+    ("login", "click", None, None, None, True, True, False, False, True, True, False, True, "LOGIN_REQUIRED", "WAIT_FOR_USER"),
+    ("gone", "click", None, None, None, False, None, False, False, False, False, False, True, "TARGET_DISAPPEARED", "REPLAN_FRESH_DOM"),
+    ("disabled", "click", None, None, None, True, False, False, False, False, False, False, True, "DISABLED_ELEMENT", "REPLAN_DIFFERENT_ACTION"),
+    ("nothing", "click", None, None, None, True, True, False, False, False, False, None, True, "NO_EFFECT", "REPLAN_DIFFERENT_ACTION"),
+]
+
+
+@query("WITH " + values("v", "id, cause, strategy", [(r[0], r[13], r[14]) for r in FAILURES]) + " SELECT * FROM v")
+def failure_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["action", "wanted", "held", "checked", "found", "enabled", "modal", "cookie", "login", "alert", "loading", "has_target"]
+    rows = spark.createDataFrame([r[:13] for r in FAILURES], "id string, action string, wanted string, held string, " + ", ".join(f"{n} boolean" for n in names[3:]))
+    return rows.select("id", steps.cause(*map(F.col, names)).alias("c")).select("id", "c.cause", "c.strategy")
+
+
 # Sequences -------------------------------------------------------------------------------------
 
 
