@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
@@ -27,14 +27,20 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def written(df: DataFrame, name: str, schema: str) -> DataFrame:
-    """df in the shared folder, read back."""
+def written(df: DataFrame, name: str, schema: str) -> tuple[DataFrame, str]:
+    """df in the shared folder, read back, and the folder."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(schema).parquet(folder)
+    return df.sparkSession.read.schema(schema).parquet(folder), folder
 
 
-def window_runs(rows: DataFrame, find: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> DataFrame:
+def discarded(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def window_runs(rows: DataFrame, find: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> tuple[DataFrame, str]:
     """find: a slice -> (document in the slice, lo, hi, key, span), lo and hi as units of the document."""
 
     def run(batches):
@@ -93,8 +99,13 @@ def ranges_joined(texts: DataFrame, ranges: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 2_000_000
 
 
-def sharing(runs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The runs whose key is among `shared`, written: most runs of a corpus share nothing, and what follows reads these several times."""
+def sharing(runs: DataFrame, folder: str, shared: DataFrame) -> DataFrame:
+    """The runs whose key is among `shared`, written: most runs of a corpus share nothing, and what follows reads these several times.
+
+    All runs, in `folder`, are deleted then.
+    """
     shared = checkpointed(shared)
     keys = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    return written(runs.join(keys, "key", "left_semi").select("doc_id", "lo", "hi", "key", "span"), "shared-runs", RUNS)
+    out, _ = written(runs.join(keys, "key", "left_semi").select("doc_id", "lo", "hi", "key", "span"), "shared-runs", RUNS)
+    discarded(runs.sparkSession, folder)
+    return out

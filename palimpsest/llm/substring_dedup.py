@@ -133,9 +133,10 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, window: int, rounds:
         codes, distinct = coded(flat)
         return anchors(string_hashes(distinct)[codes], np.diff(offsets), window, rounds)
 
-    runs = window_runs(rows, find).filter(F.col("doc_id").isNotNull())
+    runs, folder = window_runs(rows, find)
+    runs = runs.filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
-    runs = sharing(runs, shared)
+    runs = sharing(runs, folder, shared)
     spans = runs.groupBy("key", "span").agg(F.min("doc_id").alias("first"))
     several = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"))
     judged = runs.join(spans.join(several, "key"), ["key", "span"])

@@ -214,9 +214,10 @@ def cut_windows(looked: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, lo, end): bytes covered by a string of `length` bytes that starts somewhere else too."""
-    runs = window_runs(rows, lambda batch: anchors(*bytes_of(batch), length, gram)).filter(F.col("doc_id").isNotNull())
+    runs, folder = window_runs(rows, lambda batch: anchors(*bytes_of(batch), length, gram))
+    runs = runs.filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key")
-    runs = sharing(runs, shared)
+    runs = sharing(runs, folder, shared)
     spans = runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first"))
     # a key needs a look if some span of it occurs once and there are other spans
     keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("places").alias("least"))
