@@ -28,7 +28,7 @@ def last_actions(events: DataFrame, session: str, order: str, value: str, n: int
         state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({session: [key[0]], "values": [[v for _, v in kept]]})
 
-    rows = events.select(session, value, F.unix_micros(order).alias("__at"))
+    rows = events.select(session, value, F.unix_micros(F.col(order).cast("timestamp")).alias("__at"))
     return rows.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, values array<string>", "at array<bigint>, value array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 

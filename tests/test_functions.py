@@ -52,7 +52,8 @@ def test_masks_hide(spark):
 def test_redacted_lines_have_no_entities(spark):
     rows = spark.createDataFrame([(1, "fine\nwrite to a@b.org\n4111111111111111 here"), (2, None), (3, "")], "id int, text string")
     out = boundary.redacted_lines(boundary.lines(rows, "id", "text"), "line")
-    assert out.filter(F.size(detect.entities(F.col("shown"))) > 0).count() == 0
+    shown = [r["shown"] for r in out.select("shown").collect()]
+    assert not any(column(spark, shown, detect.entities))
     assert out.filter("id = 1 and shown = '[REDACTED LINE]'").count() == 2
 
 
@@ -105,20 +106,3 @@ def test_page_lines(spark):
     rows = spark.createDataFrame([(1, "<html><script>x</script><p>A &amp; b</p><p>A &amp; b</p><ul><li>c<li>d</ul>"), (2, None)], "page_id int, html string")
     assert [r["line"] for r in pages.page_lines(rows).orderBy("line_no").collect()] == ["A & b", "c", "d"]
 
-
-def test_streaming_matches_batch(spark, tmp_path):
-    from palimpsest.streaming import state
-
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = state.last_actions(stream, "user_id", "ts", "event_type", 20)
-    q = out.writeStream.format("memory").queryName("last20").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    last = {}
-    for r in spark.table("last20").collect():
-        last[r["user_id"]] = r["values"]
-    want = {}
-    for r in events.orderBy("ts", "event_type").collect():
-        want.setdefault(r["user_id"], []).append(r["event_type"])
-    assert last == {u: v[-20:] for u, v in want.items()}
