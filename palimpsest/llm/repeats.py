@@ -99,13 +99,17 @@ def ranges_joined(texts: DataFrame, ranges: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 2_000_000
 
 
-def sharing(runs: DataFrame, folder: str, shared: DataFrame) -> DataFrame:
-    """The runs whose key is among `shared`, written: most runs of a corpus share nothing, and what follows reads these several times.
+def sharing(runs: DataFrame, folder: str, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs to remove at once, and those to look at, whose key is in shared: (key, whole, least).
 
-    All runs, in `folder`, are deleted then.
+    Where a key has one span only (whole), its runs are repeats as they are, and go no further
+    than this join: all of them, or with `least` those of larger doc_ids. Both results are
+    written, as what follows reads them several times; all runs, in `folder`, are deleted then.
     """
     shared = checkpointed(shared)
     keys = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    out, _ = written(runs.join(keys, "key", "left_semi").select("doc_id", "lo", "hi", "key", "span"), "shared-runs", RUNS)
+    joined = runs.join(keys, "key").filter("not whole or least is null or doc_id > least")
+    named = [F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("key", "span")]
+    out, _ = written(joined.select("doc_id", "lo", "hi", *named), "shared-runs", RUNS)
     discarded(runs.sparkSession, folder)
-    return out
+    return out.filter("key is null").select("doc_id", "lo", "hi"), out.filter("key is not null")

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import RangeHash, mixed, slices, texts
 from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
-LENGTH, GRAM = 200, 32
+#: A gram of half the window: what shares less than that shares no key.
+LENGTH, GRAM = 200, 100
 #: Distinct spans of a key that are indexed, and bytes of spans in one index.
 MANY, BLOCK_BYTES = 256, 400_000
 _BYTE_HASHES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -216,15 +217,15 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: in
     """(doc_id, lo, end): bytes covered by a string of `length` bytes that starts somewhere else too."""
     runs, folder = window_runs(rows, lambda batch: anchors(*bytes_of(batch), length, gram))
     runs = runs.filter(F.col("doc_id").isNotNull())
-    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key")
-    runs = sharing(runs, folder, shared)
+    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places"), (F.min("span") == F.max("span")).alias("whole")).filter("places > 1")
+    whole, runs = sharing(runs, folder, shared.select("key", "whole", F.lit(None).cast("long").alias("least")))
     spans = runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first"))
-    # a key needs a look if some span of it occurs once and there are other spans
+    # a key needs a look if one of its spans occurs once
     keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("places").alias("least"))
     judged = runs.join(spans.join(keys, "key"), ["key", "span"])
-    settled = judged.filter("places > 1").select("doc_id", "lo", (F.col("hi") + length).alias("end"))
+    settled = whole.unionByName(judged.filter("places > 1").select("doc_id", "lo", "hi")).select("doc_id", "lo", (F.col("hi") + length).alias("end"))
     # one place of each span: the first document's first
-    one = judged.filter("spans > 1 and least = 1 and doc_id = first").groupBy("key", "span", "doc_id", "spans", "places").agg(F.min("lo").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("more"))
+    one = judged.filter("least = 1 and doc_id = first").groupBy("key", "span", "doc_id", "spans", "places").agg(F.min("lo").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("more"))
     one = one.select("key", "doc_id", "lo", (F.col("lo") + F.col("more")).alias("hi"), (F.col("places") == 1).alias("unclear"), (F.col("spans") > MANY).alias("many"))
 
     def looked(which: str) -> DataFrame:
