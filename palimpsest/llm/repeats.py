@@ -20,7 +20,8 @@ from .common import checkpointed, slices
 from .huffman import shared_folder
 
 RUNS = "doc_id long, lo long, hi long, key long, span long"
-SLICE = 4_000_000
+#: Bytes of text that are looked at together; arrays over their windows take about a hundred times as much.
+SLICE = 1_000_000
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,16 +101,21 @@ BROADCAST_KEYS = 2_000_000
 
 
 def sharing(runs: DataFrame, folder: str, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs to remove at once, and those to look at, whose key is in shared: (key, whole, least).
+    """Runs to remove at once, and those to look at, whose key is in shared: (key, whole), and least where it matters.
 
     Where a key has one span only (whole), its runs are repeats as they are, and go no further
     than this join: all of them, or with `least` those of larger doc_ids. Both results are
     written, as what follows reads them several times; all runs, in `folder`, are deleted then.
     """
     shared = checkpointed(shared)
-    keys = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    joined = runs.join(keys, "key").filter("not whole or least is null or doc_id > least")
-    named = [F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("key", "span")]
-    out, _ = written(joined.select("doc_id", "lo", "hi", *named), "shared-runs", RUNS)
+    sent = F.broadcast if shared.count() <= BROADCAST_KEYS else lambda keys: keys
+    place = ["doc_id", "lo", "hi"]
+    looked = runs.join(sent(shared.filter("not whole").select("key")), "key", "left_semi").select(*place, "key", "span")
+    if "least" in shared.columns:
+        whole = runs.join(sent(shared.filter("whole").select("key", "least")), "key").filter("doc_id > least")
+    else:
+        whole = runs.join(sent(shared.filter("whole").select("key")), "key", "left_semi")
+    none = F.lit(None).cast("long")
+    out, _ = written(looked.unionByName(whole.select(*place, none.alias("key"), none.alias("span"))), "shared-runs", RUNS)
     discarded(runs.sparkSession, folder)
-    return out.filter("key is null").select("doc_id", "lo", "hi"), out.filter("key is not null")
+    return out.filter("key is null").select(place), out.filter("key is not null")

@@ -196,7 +196,7 @@ def cut_spans(looked: DataFrame, length: int) -> DataFrame:
 
 def cut_windows(looked: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for batch in slices(batches, "text", SLICE // 2):
+        for batch in slices(batches, "text", SLICE):
             data, sizes = bytes_of(batch)
             begins = np.cumsum(sizes) - sizes
             row, items = listed(batch, "items")
@@ -218,7 +218,7 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: in
     runs, folder = window_runs(rows, lambda batch: anchors(*bytes_of(batch), length, gram))
     runs = runs.filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places"), (F.min("span") == F.max("span")).alias("whole")).filter("places > 1")
-    whole, runs = sharing(runs, folder, shared.select("key", "whole", F.lit(None).cast("long").alias("least")))
+    whole, runs = sharing(runs, folder, shared.select("key", "whole"))
     spans = runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first"))
     # a key needs a look if one of its spans occurs once
     keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("places").alias("least"))
