@@ -138,9 +138,11 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, window: int, rounds:
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), (F.min("span") == F.max("span")).alias("whole"))
     whole, runs = sharing(runs, folder, shared.filter("least < last").select("key", "whole", "least"))
     spans = runs.groupBy("key", "span").agg(F.min("doc_id").alias("first"))
-    judged = runs.join(spans, ["key", "span"])
+    # by way of its key, so that the join of runs has exchanges of its own, which can be split where a span is frequent
+    several = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"))
+    judged = runs.join(spans.join(several, "key"), ["key", "span"])
     settled = whole.unionByName(judged.filter("doc_id > first").select("doc_id", "lo", "hi")).select("doc_id", "lo", (F.col("hi") + window).alias("end"))
-    unclear = judged.filter("doc_id = first").select("doc_id", "lo", "hi", "key")
+    unclear = judged.filter("doc_id = first and spans > 1").select("doc_id", "lo", "hi", "key")
 
     def windows(batches):
         for batch in slices(batches, "text", SLICE):
