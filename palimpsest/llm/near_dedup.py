@@ -1,9 +1,10 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document is the set of its word shingles. Documents with one set form a class; only classes
-are compared. In each of `trees` independent trees a node chooses some minwise positions, and
-its members branch by their values there: two sets of similarity s share a branch with
-probability s. Nodes of at most LEAF members, and those left at the last level, are compared
+are compared. In each of several trees a node chooses some minwise positions, and its members
+branch by their values there: two sets of similarity s share a branch with probability s. No
+position serves two trees, or two branches or levels that a pair can meet in, so that these
+chances are independent, and the threshold says how many trees it takes. Nodes of at most LEAF members, and those left at the last level, are compared
 exhaustively by sketches, and what may reach the threshold is confirmed on full sets.
 
 Comparing a node need not mean all its pairs. First a maximum spanning forest of sketch
@@ -14,6 +15,7 @@ and then through its members that are still apart, each of which visits every bl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,11 @@ from .common import checkpointed, coded, mixed, slices, string_hashes, texts, wo
 from .components import components
 from .huffman import shared_folder
 
-POSITIONS, TREES, BRANCHES = 128, 4, (2, 2, 1, 1, 1)
+POSITIONS, BRANCHES = 128, (2, 2, 1, 1, 1)
+#: Positions of a tree: one for each branch of each path.
+PLACES = int(np.cumprod(BRANCHES).sum())
+#: How likely all trees together may miss a pair at the threshold.
+MISS = 1e-4
 LEAF, BLOCK = 128, 2048
 #: Ids of documents to confirm that are broadcast at most.
 BROADCAST_IDS = 2_000_000
@@ -71,68 +77,89 @@ def minwise(at: np.ndarray, s: np.ndarray, positions: int = POSITIONS) -> np.nda
     return out
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (minwise values), sketch (one byte of each)."""
+def trees_for(percent: int) -> int:
+    """Trees that miss a pair at the threshold with a probability of MISS at most, should it have to come down to the last level."""
+    share, met = percent / 100, 1.0
+    for b in reversed(BRANCHES):
+        met = 1 - (1 - share * met) ** b
+    return 1 if met >= 1 else math.ceil(math.log(MISS) / math.log1p(-met))
+
+
+def signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
+    """doc_id, n_shingles, set_key, sig (minwise values, PLACES for each tree), sketch (one byte of the first POSITIONS)."""
     import hashlib
 
+    positions = max(POSITIONS, PLACES * trees)
+
     def run(batches):
         for batch in slices(batches, "text", 2_000_000):
             at, s = shingle_sets(texts(batch, "text"), width)
-            sig = minwise(at, s)
+            sig = minwise(at, s, positions)
             raw = memoryview(s.tobytes())
             keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             arrays = [batch.column(0), pa.array(np.diff(at)), pa.array(keys, pa.binary())]
-            arrays += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (sig, (sig >> np.uint32(7)).astype(np.uint8))]
+            arrays += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (sig, (sig[:, :POSITIONS] >> np.uint32(7)).astype(np.uint8))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "sig", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
-def chosen(top: np.ndarray, sig: np.ndarray, level: int, j: int) -> np.ndarray:
-    """The j-th branch of each member of a node: the node chooses positions, all different, and the member's value at the j-th is the branch."""
-    choice = mixed(top ^ np.uint64(level + 1))
-    stride = ((choice >> np.uint64(20)) % np.uint64(POSITIONS // 2)) * np.uint64(2) + np.uint64(1)
-    p = ((choice + np.uint64(j) * stride) % np.uint64(POSITIONS)).astype(np.int64)
-    return mixed(mixed(choice + p.astype(np.uint64)) + sig[np.arange(len(p)), p].astype(np.uint64))
+def branches(node: np.ndarray, free: np.ndarray, sig: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes below, positions free there) of each branch: a node chooses among the positions free for it, and the rest is dealt to its branches."""
+    rows, size, count = np.arange(len(node)), free.shape[1], BRANCHES[level]
+    choice = mixed(node ^ np.uint64(level + 1))
+    turn = ((choice >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+    free = np.take_along_axis(free, (turn[:, None] + np.arange(size)) % size, 1)
+    for j in range(count):
+        p = free[:, j]
+        yield mixed(mixed(choice + p.astype(np.uint64)) + sig[rows, p].astype(np.uint64)), free[:, count + j :: count]
+
+
+def first_branches(tree: int, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    root = np.full(len(sig), mixed(np.array([1 + tree], np.uint64))[0])
+    return branches(root, np.tile(np.arange(PLACES * tree, PLACES * (tree + 1)), (len(sig), 1)), sig, 0)
 
 
 def signature_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
 
 
 def first_level(classes: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, sig) -> (node, doc_id): members of the first nodes of all trees."""
+    """(doc_id, sig) -> (node, place, doc_id): members of the first nodes of all trees, and which branch of which tree each is."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, sig = np.asarray(batch.column(0)), signature_rows(batch.column(1))
-            out = [chosen(np.full(len(ids), mixed(np.array([1 + t], np.uint64))[0]), sig, 0, j) for t in range(trees) for j in range(BRANCHES[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], ["node", "doc_id"])
+            out = [node for t in range(trees) for node, _ in first_branches(t, sig)]
+            place = np.repeat(np.arange(len(out), dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(place), pa.array(np.tile(ids, len(out)))], ["node", "place", "doc_id"])
 
-    return classes.select("doc_id", "sig").mapInArrow(run, "node long, doc_id long")
+    return classes.select("doc_id", "sig").mapInArrow(run, "node long, place int, doc_id long")
 
 
-def deeper_levels(large: DataFrame) -> DataFrame:
-    """(node, doc_id, sig) -> (doc_id, n1, n2, ...): every path from a first node down to the last level."""
+def deeper_levels(large: DataFrame, trees: int) -> DataFrame:
+    """(node, place, doc_id, sig) -> (doc_id, n1, n2, ...): every path from a first node down to the last level."""
     names = [f"n{i}" for i in range(1, len(BRANCHES))]
 
     def run(batches):
+        blank = np.zeros((1, PLACES * trees), np.uint32)
+        free = np.concatenate([left for t in range(trees) for _, left in first_branches(t, blank)])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = signature_rows(batch.column(2))
-            paths = [[np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)]]
+            sig = signature_rows(batch.column(3))
+            paths = [([np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)], free[np.asarray(batch.column(1))])]
             for level in range(1, len(BRANCHES)):
-                paths = [[*p, chosen(p[-1], sig, level, j)] for p in paths for j in range(BRANCHES[level])]
-            columns = [np.concatenate([p[i] for p in paths]).view(np.int64) for i in range(1, len(BRANCHES))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.asarray(batch.column(1)), len(paths))), *map(pa.array, columns)], ["doc_id", *names])
+                paths = [([*p, node], left) for p, own in paths for node, left in branches(p[-1], own, sig, level)]
+            columns = [np.concatenate([p[i] for p, _ in paths]).view(np.int64) for i in range(1, len(BRANCHES))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.asarray(batch.column(2)), len(paths))), *map(pa.array, columns)], ["doc_id", *names])
 
-    return large.select("node", "doc_id", "sig").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return large.select("node", "place", "doc_id", "sig").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def leaves(classes: DataFrame, trees: int = TREES) -> DataFrame:
+def leaves(classes: DataFrame, trees: int) -> DataFrame:
     """(doc_id, sig) -> (node, n, doc_id): members of the nodes to compare, of n members each.
 
     Signatures are looked up once more, for members of large first nodes, whose whole paths are
@@ -148,7 +175,7 @@ def leaves(classes: DataFrame, trees: int = TREES) -> DataFrame:
     large = level.filter(F.col("n") > LEAF)
     if large.isEmpty():
         return done
-    paths = deeper_levels(large.select("node", "doc_id").join(classes.select("doc_id", "sig"), "doc_id"))
+    paths = deeper_levels(large.select("node", "place", "doc_id").join(classes.select("doc_id", "sig"), "doc_id"), trees)
     for i in range(1, len(BRANCHES)):
         # branches that meet again lower down are one path
         paths = counted(paths.dropDuplicates(["doc_id", f"n{i}"]) if i > 1 else paths, f"n{i}")
@@ -321,7 +348,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(run, PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs without ASCII white space. Documents are linked when 100 *
@@ -329,12 +356,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     reachable, and that document is kept. Null or empty texts have no shingles and are linked
     with nothing. A null doc_id is linked with nothing, has component_id null and is kept. doc_id is a
     key: rows that repeat it with the same text share their component. Other columns are not
-    read. A pair at the threshold is missed with a probability below 0.0002 for each tree set.
+    read. Unless `trees` is given, a pair at the threshold is missed by all trees with a probability
+    of MISS at most, and by the sketches with about 0.00005 more.
     """
+    trees = trees_for(percent) if trees is None else trees
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     folder = shared_folder(spark, "near")
-    signatures(rows, width).write.parquet(folder)
+    signatures(rows, width, trees).write.parquet(folder)
     base = spark.read.parquet(folder)
     reps = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).dropna()
     reps = checkpointed(reps)

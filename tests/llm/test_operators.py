@@ -250,6 +250,22 @@ def test_dense_groups_stay_whole(spark, monkeypatch):
     assert {r_["doc_id"]: r_["component_id"] for r_ in out} == part
 
 
+def test_recall_at_full_depth(spark, monkeypatch):
+    """Pairs exactly at the threshold, every one of which has to come down to the last level."""
+    monkeypatch.setattr(near_dedup, "LEAF", 1)
+    for percent in (80, 85):
+        texts, n = [], 4000
+        for i in range(n):
+            own = (100 - percent) // 2
+            for k, (a, b) in enumerate(((0, percent + own), (0, percent))):
+                words = [f"{i}w{x}" for x in range(a, b)] + [f"{i}v{x}" for x in range(100 - percent - own if k else 0)]
+                texts.append((2 * i + k, " ".join(words)))
+        out = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1, percent)
+        missed = out.filter("doc_id % 2 = 1 and component_id = doc_id").count()
+        assert out.filter("component_id <> doc_id - doc_id % 2 and component_id <> doc_id").count() == 0
+        assert missed <= n * 0.001, (percent, missed)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
