@@ -434,6 +434,24 @@ def event_diff_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.diff(day(0), day(1), ["user_id", "event_type"], ["n", "top"]).select("user_id", "event_type", "status")
 
 
+_DAYS = "SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS top FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3"
+
+
+@query(
+    f"WITH s AS ({_DAYS}), a AS (SELECT user_id, event_type, day + 1 AS day, n, top FROM s WHERE day < (SELECT max(day) FROM s)), b AS (SELECT * FROM s WHERE day > (SELECT min(day) FROM s)) "
+    "SELECT CAST(CAST(coalesce(a.day, b.day) AS DATE) AS VARCHAR) AS day, coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.day IS NULL THEN 'added' WHEN b.day IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n OR a.top IS DISTINCT FROM b.top THEN 'changed' ELSE 'same' END AS status "
+    "FROM a FULL JOIN b ON a.day = b.day AND a.user_id = b.user_id AND a.event_type = b.event_type"
+)
+def event_diff_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day of events against the day before, from the second day to the last; event_diff_daily is the first such pair only."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).filter("day is not null")
+    days = e.groupBy("user_id", "event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    ends = F.broadcast(e.agg(F.min("day").alias("first"), F.max("day").alias("last")))
+    before = days.join(ends, F.col("day") < F.col("last")).withColumn("day", F.date_add("day", 1))
+    after = days.join(ends, F.col("day") > F.col("first"))
+    return sequences.diff(before, after, ["day", "user_id", "event_type"], ["n", "top"]).select(F.col("day").cast("string").alias("day"), "user_id", "event_type", "status")
+
+
 @query("SELECT user_id, count(*) AS steps, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS success FROM events GROUP BY user_id")
 def receipt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("event_type") == "error"

@@ -46,3 +46,16 @@ def test_plans_stay_in_the_jvm(spark):
     for name in ("entities_by_lang", "page_entities", "compliance_score", "action_loops", "event_diff_daily"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_every_day_is_compared(spark):
+    """All pairs of days take part, and the first of them is what event_diff_daily returns."""
+    events = spark.read.parquet(f"{DATA}/events.parquet").toPandas()
+    events["day"] = events.ts.dt.strftime("%Y-%m-%d")
+    days = sorted(events.day.unique())
+    got = catalog.QUERIES["event_diff_all_days"](spark, DATA).toPandas()
+    assert sorted(got.day.unique()) == days[1:]
+    seen = {d: set(zip(g.user_id, g.event_type, strict=True)) for d, g in events.groupby("day")}
+    assert len(got) == sum(len(seen[a] | seen[b]) for a, b in zip(days[:-1], days[1:], strict=True))
+    first = catalog.QUERIES["event_diff_daily"](spark, DATA).toPandas()
+    assert shown(got[got.day == days[1]].drop(columns="day")) == shown(first)
