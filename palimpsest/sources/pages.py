@@ -1,4 +1,4 @@
-"""Raw HTML as tables: lines, links, headings, table rows, in DataFrame functions."""
+"""Raw HTML as tables: lines, links, headings, and counts of table rows, in DataFrame functions."""
 
 from __future__ import annotations
 
