@@ -6,7 +6,10 @@ rejects go; all but the last stage return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.huffman import shared_folder
@@ -22,24 +25,41 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_rows(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs less those that judged says aren't kept. Rows with a null doc_id stay."""
-    return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the number of each row as doc_id, in the order of doc_id (nulls last) and text, and the old one as own_id."""
+    ordered = docs.withColumn("own_id", F.col("doc_id")).withColumn("digest", F.sha2("text", 256)).withColumn("place", F.monotonically_increasing_id())
+    folder = shared_folder(docs.sparkSession, "numbered")
+    # sorted partitions are in order, and so are these numbers; once written they stay
+    ordered.orderBy(F.asc_nulls_last("own_id"), "digest", "place").withColumn("doc_id", F.monotonically_increasing_id()).drop("digest", "place").write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs), which takes doc_id for a key: rows are numbered before if some ids are null or repeat."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        return stage(docs)
+    return stage(numbered(docs)).withColumn("doc_id", F.col("own_id")).select(docs.columns)
+
+
+def without(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs less the rows that judge says aren't kept, each row judged by itself."""
+    return by_row(docs, lambda rows: rows.join(judge(rows).filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(rows.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without(docs, exact_dedup(docs))
+    return without(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words at a similarity of 0.8."""
-    return without(docs, near_duplicates(docs, width=5, percent=80))
+    return without(docs, lambda rows: near_duplicates(rows, width=5, percent=80))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words and more that an earlier document has."""
-    return without_repeats(docs)
+    return by_row(docs, without_repeats)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,19 @@ def test_stages(spark, tmp_path):
         seen |= {tuple(v[k : k + 50]) for k in range(len(v) - 49)}
     packed = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == set(cut) and all(r["n"] == r["m"] for r in packed)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are judged one by one: a clean text stays though its id repeats, and copies go with any id or none."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    one, two, nobody = words("a", 90), words("b", 90), words("c", 90)
+    near_one = one.replace("a89", "x")
+    data = [(1, one), (5, one), (5, two), (None, one), (7, words("d", 90)), (7, words("d", 90)), (None, nobody), (None, nobody), (9, near_one), (9, words("e", 90)), (None, near_one)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    shown = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    exact = corpus_pipeline.exact(spark, docs, DATA)
+    assert exact.columns == docs.columns
+    assert shown(exact) == sorted([(1, one), (5, two), (7, words("d", 90)), (0, nobody), (9, near_one), (9, words("e", 90))])
+    want = sorted([(1, one), (5, two), (7, words("d", 90)), (0, nobody), (9, words("e", 90))])
+    assert shown(corpus_pipeline.near(spark, docs, DATA)) == want
+    assert shown(corpus_pipeline.substrings(spark, exact, DATA)) == sorted([*want, (9, "x")])
