@@ -69,6 +69,16 @@ def test_url_filters(spark):
     assert url_filters.url_filter(pages.limit(0), entries).count() == 0
 
 
+def test_url_filters_case_and_repeats(spark):
+    """Paths keep their case, and captures that share an id, or have none, are judged one by one."""
+    data = [(1, "http://Example.com/Ads/x", "2024-02-01"), (2, "http://example.com/ads/x", "2024-02-01"), (3, "http://bad.com/a", "2024-02-01"), (3, "http://good.org/a", "2024-02-01"), (None, "http://bad.com", "2024-02-01"), (None, "http://good.org", "2024-02-01"), (4, "http://bad.com/b", "2024-02-01"), (4, "http://bad.com/b", "2024-02-01"), (5, None, None), (5, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, fetched string")
+    entries = spark.createDataFrame([("EXAMPLE.com/Ads", "block", "2024-01-01"), ("Bad.com", "block", "2024-01-01")], "entry string, action string, effective string")
+    for limit in (0, 100):
+        got = sorted((r["page_id"] or 0, r["blocked"], r["n_active"]) for r in url_filters.url_filter(pages, entries, broadcast_rows=limit).collect())
+        assert got == [(0, False, 0), (0, True, 1), (1, True, 1), (2, False, 0), (3, False, 0), (3, True, 1), (4, True, 1), (4, True, 1), (5, False, 0), (5, False, 0)]
+
+
 def test_multiset_hash(spark, docs, empty, odd):
     f = lambda t: multiset_hash.fingerprint(multiset_hash.paragraphs(F.lit(t)))
     [r] = spark.range(1).select(
