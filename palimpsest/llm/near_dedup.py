@@ -33,6 +33,8 @@ PLACES = int(np.cumprod(BRANCHES).sum())
 #: How likely all trees together may miss a pair at the threshold.
 MISS = 1e-4
 LEAF, BLOCK = 128, 2048
+#: Bytes of shingle sets in a block.
+BLOCK_BYTES = 32_000_000
 #: Ids of documents to confirm that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 #: How many standard errors below the threshold a sketch's estimate may be.
@@ -293,32 +295,130 @@ def first_pairs(members: DataFrame, sketches: DataFrame, least: float) -> DataFr
     return kept.mapInArrow(run, PAIR).distinct()
 
 
-def pairs_apart(members: DataFrame, sketches: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """All pairs of a node that may reach the threshold and that confirmed links leave apart.
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
+    """Rows sorted by node, block and visits, homes (visits 0) first: each block's home rows with one batch of its visitors after the other."""
+    held: list[pa.RecordBatch] = []
+    key, home = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+        cuts = [0, *(np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(lo, hi - lo)
+            if (own := (int(k[0, lo]), int(k[1, lo]))) != key:
+                key, held, home = own, [], None
+            if k[2, lo]:
+                home = home or (pa.Table.from_batches(held) if held else None)
+                if home:
+                    yield home, part
+            else:
+                held.append(part)
+
+
+MET = "node long, at long, visits int, doc_id long, part long"
+
+
+def met_by_sketch(rows: DataFrame, least: float) -> DataFrame:
+    """(node, at, visits, doc_id, part, sketch) -> its rows that may reach the threshold with a row of another part, without sketches."""
+    names = ["node", "at", "visits", "doc_id", "part"]
+
+    def chosen(table, keep) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(table.column(n))[keep]) for n in names], names)
+
+    def run(batches):
+        last, marked = None, None
+        for home, visitors in meetings(batches):
+            if home is not last:
+                if last is not None:
+                    yield chosen(last, marked)
+                last, marked = home, np.zeros(home.num_rows, bool)
+                parts, sketches = np.asarray(home.column("part")), matrix(home.column("sketch"))
+            own, keep = np.asarray(visitors.column(4)), np.zeros(visitors.num_rows, bool)
+            for i, s in enumerate(matrix(visitors.column(5))):
+                near = (parts != own[i]) & (agreement(sketches, s) >= least)
+                keep[i] = near.any()
+                marked |= near
+            yield chosen(visitors, keep)
+        if last is not None:
+            yield chosen(last, marked)
+
+    return rows.repartition("node", "at").sortWithinPartitions("node", "at", "visits", "doc_id").mapInArrow(run, MET)
+
+
+class Block:
+    """Full sets of a block's home rows, indexed by shingle, and which of their parts confirmed links have joined."""
+
+    def __init__(self, home: pa.Table):
+        sets = [np.frombuffer(x, np.uint64) for x in home.column("shingles").to_pylist()]
+        self.ids, self.sizes = np.asarray(home.column("doc_id")), np.array([len(x) for x in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.label, self.names = np.asarray(home.column("part")).copy(), {}
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """How many of the shingles x each home row has."""
+        lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+    def links(self, x: np.ndarray, part: int, percent: int) -> list[int]:
+        """Home rows of parts that x links with its own, one of each; from now on these parts are one."""
+        while part in self.names:
+            part = self.names[part]
+        if (self.label == part).all():
+            return []
+        both = self.shared(x)
+        good = (self.label != part) & (100 * both >= percent * (self.sizes + len(x) - both)) & (both > 0)
+        out = []
+        for j in np.flatnonzero(good).tolist():
+            if (other := int(self.label[j])) != part:
+                self.label[self.label == other] = part
+                self.names[other] = part
+                out.append(j)
+        return out
+
+
+def links_apart(members: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """Links, confirmed on full sets, between what other confirmed links leave apart; they join the same parts as all such links would.
 
     Of a node's members those outside its largest part meet every other member: each visits all
-    blocks of its node.
+    blocks of its node. Sketches choose who takes part; these bring their full sets, and a block
+    gives one link for each two parts it joins, fewer than it has members and visitors. The sets
+    of a block hold BLOCK_BYTES or a single row at most, visitors pass one batch at a time.
     """
+    sized = classes.select("doc_id", "sketch", "n_shingles")
     named = members.join(parts, members["doc_id"] == parts["id"], "left").select("node", "n", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     sizes = named.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("node").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("node", F.col("m.part").alias("largest"))
-    open_ = blocked(named.join(largest, "node"), BLOCK).join(sketches, "doc_id")
+    open_ = named.join(largest, "node").join(sized, "doc_id")
+    count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    blocks = open_.groupBy("node").agg((F.sum("n_shingles") * 8).alias("bytes"), F.first("n").alias("n")).select("node", count.alias("blocks"))
+    open_ = open_.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(11), "doc_id"), "blocks"))
     columns = ["node", "at", "visits", "doc_id", "part", "sketch"]
     at_home = open_.withColumn("at", F.col("block")).withColumn("visits", F.lit(0)).select(columns)
     visiting = open_.filter("part <> largest").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(columns)
-    rows = at_home.unionByName(visiting).repartition("node", "at").sortWithinPartitions("node", "at", F.desc("visits"), "doc_id")
+    met = checkpointed(met_by_sketch(at_home.unionByName(visiting), least))
+
+    def sets(batches):
+        for batch in slices(batches, "text", 1_000_000):
+            at, s = shingle_sets(texts(batch, "text"), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "shingles"])
+
+    full = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+    rows = met.join(full, "doc_id").select("node", "at", "visits", "doc_id", "part", "shingles").repartition("node", "at").sortWithinPartitions("node", "at", "visits", "doc_id")
 
     def run(batches):
-        a, b = [], []
-        for g in grouped(batches, 2):
-            visits = g["visits"].to_numpy() > 0
-            ids, parts_, s = g["doc_id"].to_numpy(), g["part"].to_numpy(), matrix(g["sketch"])
-            home = np.flatnonzero(~visits)
-            hs, hi, hp = s[home], ids[home], parts_[home]
-            for i in np.flatnonzero(visits):
-                near = hi[(hp != parts_[i]) & (agreement(hs, s[i]) >= least)]
-                a += [int(ids[i])] * len(near)
-                b += near.tolist()
+        last, a, b = None, [], []
+        for home, visitors in meetings(batches):
+            if home is not last:
+                last, block = home, Block(home)
+            for doc, part, raw in zip(*(visitors.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                found = block.links(np.frombuffer(raw, np.uint64), part, percent)
+                a += [doc] * len(found)
+                b += block.ids[found].tolist()
             if len(a) > 20_000:
                 yield pairs_batch(a, b)
                 a, b = [], []
@@ -368,7 +468,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     reps = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).dropna()
     reps = checkpointed(reps)
     folder = shared_folder(spark, "classes")
-    base.select("doc_id", "sig", "sketch").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
+    base.select("doc_id", "n_shingles", "sig", "sketch").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
     classes = spark.read.parquet(folder)
     share = percent / 100
     least = POSITIONS * share - SLACK * np.sqrt(POSITIONS * share * (1 - share))
@@ -376,7 +476,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     sketches = classes.select("doc_id", "sketch")
     links = checkpointed(confirmed(checkpointed(first_pairs(members, sketches, least)), rows, width, percent))
     parts = components(links)
-    more = checkpointed(confirmed(checkpointed(pairs_apart(members, sketches, parts, least)), rows, width, percent))
+    more = checkpointed(links_apart(members, classes, parts, rows, width, percent, least))
     if not more.isEmpty():
         parts = components(parts.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = reps.join(parts, reps["doc_id"] == parts["id"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))

@@ -238,6 +238,7 @@ def test_near_dedup(docs, empty, odd):
 def test_dense_groups_stay_whole(spark, monkeypatch):
     """More near copies than a leaf holds: blocks, central members and visits must join them all."""
     monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     r = random.Random(9)
     words = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
     texts = []
