@@ -127,7 +127,7 @@ def signature_rows(column) -> np.ndarray:
 
 
 def first_level(classes: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, sig) -> (node, place, doc_id): members of the first nodes of all trees, and which branch of which tree each is."""
+    """(doc_id, sig, n_shingles) -> (node, place, doc_id, n_shingles): members of the first nodes of all trees, and which branch of which tree each is."""
 
     def run(batches):
         for batch in batches:
@@ -136,13 +136,13 @@ def first_level(classes: DataFrame, trees: int) -> DataFrame:
             ids, sig = np.asarray(batch.column(0)), signature_rows(batch.column(1))
             out = [node for t in range(trees) for node, _ in first_branches(t, sig)]
             place = np.repeat(np.arange(len(out), dtype=np.int32), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(place), pa.array(np.tile(ids, len(out)))], ["node", "place", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(place), pa.array(np.tile(ids, len(out))), pa.array(np.tile(np.asarray(batch.column(2)), len(out)))], ["node", "place", "doc_id", "n_shingles"])
 
-    return classes.select("doc_id", "sig").mapInArrow(run, "node long, place int, doc_id long")
+    return classes.select("doc_id", "sig", "n_shingles").mapInArrow(run, "node long, place int, doc_id long, n_shingles long")
 
 
 def deeper_levels(large: DataFrame, trees: int) -> DataFrame:
-    """(node, place, doc_id, sig) -> (doc_id, n1, n2, ...): every path from a first node down to the last level."""
+    """(node, place, doc_id, n_shingles, sig) -> (doc_id, n_shingles, n1, n2, ...): every path from a first node down to the last level."""
     names = [f"n{i}" for i in range(1, len(BRANCHES))]
 
     def run(batches):
@@ -151,18 +151,18 @@ def deeper_levels(large: DataFrame, trees: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = signature_rows(batch.column(3))
+            sig = signature_rows(batch.column(4))
             paths = [([np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)], free[np.asarray(batch.column(1))])]
             for level in range(1, len(BRANCHES)):
                 paths = [([*p, node], left) for p, own in paths for node, left in branches(p[-1], own, sig, level)]
             columns = [np.concatenate([p[i] for p, _ in paths]).view(np.int64) for i in range(1, len(BRANCHES))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.asarray(batch.column(2)), len(paths))), *map(pa.array, columns)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.tile(np.asarray(batch.column(i)), len(paths))) for i in (2, 3)), *map(pa.array, columns)], ["doc_id", "n_shingles", *names])
 
-    return large.select("node", "place", "doc_id", "sig").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return large.select("node", "place", "doc_id", "n_shingles", "sig").mapInArrow(run, "doc_id long, n_shingles long, " + ", ".join(f"{n} long" for n in names))
 
 
 def leaves(classes: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, sig) -> (node, n, doc_id): members of the nodes to compare, of n members each.
+    """(doc_id, sig, n_shingles) -> (node, n, doc_id, n_shingles): members of the nodes to compare, of n members each.
 
     Signatures are looked up once more, for members of large first nodes, whose whole paths are
     worked out then; the levels below only count.
@@ -173,17 +173,17 @@ def leaves(classes: DataFrame, trees: int) -> DataFrame:
         return checkpointed(rows.join(sizes, node))
 
     level = counted(first_level(classes, trees), "node")
-    done = level.filter(F.col("n") <= LEAF).select("node", "n", "doc_id")
+    done = level.filter(F.col("n") <= LEAF).select("node", "n", "doc_id", "n_shingles")
     large = level.filter(F.col("n") > LEAF)
     if large.isEmpty():
         return done
-    paths = deeper_levels(large.select("node", "place", "doc_id").join(classes.select("doc_id", "sig"), "doc_id"), trees)
+    paths = deeper_levels(large.select("node", "place", "doc_id", "n_shingles").join(classes.select("doc_id", "sig"), "doc_id"), trees)
     for i in range(1, len(BRANCHES)):
         # branches that meet again lower down are one path
         paths = counted(paths.dropDuplicates(["doc_id", f"n{i}"]) if i > 1 else paths, f"n{i}")
         last = i == len(BRANCHES) - 1
         ripe = paths if last else paths.filter(F.col("n") <= LEAF)
-        done = done.unionByName(ripe.select(F.col(f"n{i}").alias("node"), "n", "doc_id"))
+        done = done.unionByName(ripe.select(F.col(f"n{i}").alias("node"), "n", "doc_id", "n_shingles"))
         paths = paths.filter(F.col("n") > LEAF).drop("n", f"n{i}")
         if last or paths.isEmpty():
             break
@@ -381,6 +381,12 @@ class Block:
         return out
 
 
+def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with these ids. Few ids are sent to every task, which spares shuffling all texts."""
+    ids = checkpointed(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def links_apart(members: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFrame, width: int, percent: int, least: float) -> DataFrame:
     """Links, confirmed on full sets, between what other confirmed links leave apart; they join the same parts as all such links would.
 
@@ -389,25 +395,23 @@ def links_apart(members: DataFrame, classes: DataFrame, parts: DataFrame, docs:
     gives one link for each two parts it joins, fewer than it has members and visitors. The sets
     of a block hold BLOCK_BYTES or a single row at most, visitors pass one batch at a time.
     """
-    sized = classes.select("doc_id", "sketch", "n_shingles")
-    named = members.join(parts, members["doc_id"] == parts["id"], "left").select("node", "n", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    sizes = named.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("node").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("node", F.col("m.part").alias("largest"))
-    open_ = named.join(largest, "node").join(sized, "doc_id")
+    named = members.join(parts, members["doc_id"] == parts["id"], "left").select("node", "n_shingles", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    sizes = named.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+    largest = sizes.groupBy("node").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), (F.sum("w") * 8).alias("bytes")).filter("parts > 1")
     count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
-    blocks = open_.groupBy("node").agg((F.sum("n_shingles") * 8).alias("bytes"), F.first("n").alias("n")).select("node", count.alias("blocks"))
-    open_ = open_.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(11), "doc_id"), "blocks"))
-    columns = ["node", "at", "visits", "doc_id", "part", "sketch"]
-    at_home = open_.withColumn("at", F.col("block")).withColumn("visits", F.lit(0)).select(columns)
-    visiting = open_.filter("part <> largest").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(columns)
-    met = checkpointed(met_by_sketch(at_home.unionByName(visiting), least))
+    open_ = named.join(largest.select("node", F.col("m.part").alias("largest"), count.alias("blocks")), "node").join(classes.select("doc_id", "sketch"), "doc_id")
+    place = lambda at, visits: F.struct(at.cast("long").alias("at"), F.lit(visits).alias("visits"))
+    home = F.array(place(F.pmod(F.xxhash64(F.lit(11), "doc_id"), "blocks"), 0))
+    visited = F.when(F.col("part") != F.col("largest"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: place(b, 1))).otherwise(F.array().cast("array<struct<at:bigint,visits:int>>"))
+    rows = open_.select("node", "doc_id", "part", "sketch", F.explode(F.concat(home, visited)).alias("m")).select("node", "m.at", "m.visits", "doc_id", "part", "sketch")
+    met = checkpointed(met_by_sketch(rows, least))
 
     def sets(batches):
         for batch in slices(batches, "text", 1_000_000):
             at, s = shingle_sets(texts(batch, "text"), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "shingles"])
 
-    full = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+    full = chosen_texts(docs, met.select("doc_id").distinct()).select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
     rows = met.join(full, "doc_id").select("node", "at", "visits", "doc_id", "part", "shingles").repartition("node", "at").sortWithinPartitions("node", "at", "visits", "doc_id")
 
     def run(batches):
@@ -441,9 +445,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 good.append(100 * (len(p) + len(q) - union) >= percent * union)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    # so few ids are sent to every task, which spares shuffling all texts
-    used = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    used = chosen_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     ends = [used.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     return pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(run, PAIR).distinct()
 
@@ -472,7 +474,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     classes = spark.read.parquet(folder)
     share = percent / 100
     least = POSITIONS * share - SLACK * np.sqrt(POSITIONS * share * (1 - share))
-    members = checkpointed(leaves(classes.select("doc_id", "sig"), trees))
+    # one part of the union for each level: as many partitions as a shuffle makes are enough
+    members = checkpointed(leaves(classes, trees).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sketches = classes.select("doc_id", "sketch")
     links = checkpointed(confirmed(checkpointed(first_pairs(members, sketches, least)), rows, width, percent))
     parts = components(links)
