@@ -7,9 +7,10 @@ ends of each run. The samples' common prefixes with their neighbours, streamed a
 give each position's matching statistic: its longest match elsewhere. Positions whose
 statistic reaches `length` begin a window that occurs again.
 
-Spans that occur several times as a whole are settled before, and enter an index once. A key
-with more than MANY distinct spans, such as a phrase of boilerplate, is settled by hashes of
-its windows, which spread over all tasks.
+Spans that occur several times as a whole are settled before, and enter an index once. An
+index holds MANY distinct spans of a key at most: a key with more, such as a phrase of
+boilerplate, is dealt again by a longer gram, which parts what only shares the shorter one, and
+so on, up to the window itself.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mixed, slices, texts
+from .common import RangeHash, checkpointed, mixed, slices, texts
 from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
 #: A gram of half the window: what shares less than that shares no key.
 LENGTH, GRAM = 200, 100
-#: Distinct spans of a key that are indexed, and bytes of spans in one index.
+#: Distinct spans of a key that are indexed together, and bytes of spans in one index.
 MANY, BLOCK_BYTES = 256, 400_000
+#: Each deal leaves a gram shorter than the window by a quarter of what it was before.
+NARROWER = 4
+#: Ids of documents that are sent to every task at most, where few texts are looked at.
+BROADCAST_IDS = 2_000_000
 _BYTE_HASHES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -147,7 +152,7 @@ FOUND = "doc_id long, lo long, end long"
 
 
 def indexed(spans: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, lo, unclear, bytes) -> ranges of unclear spans that occur in another span of the key."""
+    """(key, doc_id, lo, unclear, raw) -> ranges of unclear spans that occur in another span of the key."""
 
     def matched(held):
         out = []
@@ -194,23 +199,59 @@ def cut_spans(looked: DataFrame, length: int) -> DataFrame:
     return looked.mapInArrow(run, "key long, doc_id long, lo long, unclear boolean, raw binary")
 
 
-def cut_windows(looked: DataFrame, length: int) -> DataFrame:
+def dealt_again(spans: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, doc_id, lo, unclear, raw) -> their windows' runs by the least gram of another length: (doc_id, lo, hi, key, span, unclear, raw)."""
+
     def run(batches):
-        for batch in slices(batches, "text", SLICE):
-            data, sizes = bytes_of(batch)
-            begins = np.cumsum(sizes) - sizes
-            row, items = listed(batch, "items")
-            lo, hi = (items.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
-            n = hi - lo + 1
-            which = np.repeat(np.arange(len(lo)), n)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-            first = at + begins[row[which]]
-            w = RangeHash(_BYTE_HASHES[data], 6).of(first, first + length)
-            take = pa.array(which)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row[which]))
-            yield pa.RecordBatch.from_arrays([items.field("key").take(take), pa.array(w.view(np.int64)), ids, pa.array(at), items.field("unclear").take(take)], ["key", "w", "doc_id", "at", "unclear"])
+        for batch in slices(batches, "raw", SLICE):
+            raws = batch.column(4).to_pylist()
+            sizes = np.array([len(x) for x in raws], np.int64)
+            which, lo, hi, key, span = anchors(np.frombuffer(b"".join(raws), np.uint8), sizes, length, gram)
+            take, base = pa.array(which), np.asarray(batch.column(2))[which]
+            cut = [raws[i][a : b + length] for i, a, b in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            arrays = [batch.column(1).take(take), pa.array(lo + base), pa.array(hi + base), pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), batch.column(3).take(take), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lo", "hi", "key", "span", "unclear", "raw"])
+
+    return spans.mapInArrow(run, "doc_id long, lo long, hi long, key long, span long, unclear boolean, raw binary")
+
 
-    return looked.mapInArrow(run, "key long, w long, doc_id long, at long, unclear boolean")
+def judged(runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Of runs (doc_id, lo, hi, key, span, unclear): those unclear ones whose span occurs again as a whole, and one place of each span to look at.
+
+    A span is looked at where its key has several and one of them, unclear, occurs once. The
+    places are (key, doc_id, lo, hi, unclear, many, more).
+    """
+    place = F.struct("doc_id", "lo", "hi", "unclear", *more)
+    spans = checkpointed(runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("place")))
+    alone = (F.col("places") == 1) & F.col("place.unclear")
+    keys = checkpointed(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.max(alone).alias("alone")).filter("spans > 1 and alone").select("key", "spans"))
+    one = spans.join(keys, "key").select("key", "place.doc_id", "place.lo", "place.hi", alone.alias("unclear"), (F.col("spans") > MANY).alias("many"), *(f"place.{c}" for c in more))
+    again = runs.filter("unclear").join(spans.filter("places > 1").select("key", "span"), ["key", "span"], "left_semi").select("doc_id", "lo", "hi")
+    return again, one
+
+
+def crowded(places: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, lo, end) of unclear spans under keys of more than MANY spans, dealt again until no key has as many."""
+    lists = checkpointed(by_document(places, "key", "lo", "hi", "unclear"))
+    # so few ids are sent to every task, which spares shuffling all texts
+    ids = lists.select("doc_id")
+    texts_ = rows.join(F.broadcast(ids) if lists.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    spans, found = cut_spans(texts_.join(lists, "doc_id").select("doc_id", "text", "items"), length), []
+    gap = length - gram
+    while gap:
+        gap //= NARROWER
+        runs = checkpointed(dealt_again(spans, length, length - gap))
+        if runs.isEmpty():
+            break
+        again, one = judged(runs, "raw")
+        one = checkpointed(one)
+        raw = one.select("key", "doc_id", "lo", "unclear", "raw", "many")
+        found += [again.select("doc_id", "lo", (F.col("hi") + length).alias("end")), indexed(raw.filter("not many").drop("many"), length)]
+        spans = raw.filter("many").drop("many")
+    out = rows.sparkSession.createDataFrame([], FOUND)
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -219,24 +260,11 @@ def repeated_ranges(rows: DataFrame, text_rows: DataFrame, length: int, gram: in
     runs = runs.filter(F.col("doc_id").isNotNull())
     shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("places"), (F.min("span") == F.max("span")).alias("whole")).filter("places > 1")
     whole, runs = sharing(runs, folder, shared.select("key", "whole"))
-    spans = runs.groupBy("key", "span").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first"))
-    # a key needs a look if one of its spans occurs once
-    keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"), F.min("places").alias("least"))
-    judged = runs.join(spans.join(keys, "key"), ["key", "span"])
-    settled = whole.unionByName(judged.filter("places > 1").select("doc_id", "lo", "hi")).select("doc_id", "lo", (F.col("hi") + length).alias("end"))
-    # one place of each span: the first document's first
-    one = judged.filter("least = 1 and doc_id = first").groupBy("key", "span", "doc_id", "spans", "places").agg(F.min("lo").alias("lo"), F.min(F.col("hi") - F.col("lo")).alias("more"))
-    one = one.select("key", "doc_id", "lo", (F.col("lo") + F.col("more")).alias("hi"), (F.col("places") == 1).alias("unclear"), (F.col("spans") > MANY).alias("many"))
-
-    def looked(which: str) -> DataFrame:
-        lists = by_document(one.filter(which), "key", "lo", "hi", "unclear")
-        return text_rows.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items")
-
-    found = indexed(cut_spans(looked("not many"), length), length)
-    windows = cut_windows(looked("many"), length)
-    again = windows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hot = windows.filter("unclear").join(again, ["key", "w"], "left_semi").select("doc_id", F.col("at").alias("lo"), (F.col("at") + length).alias("end"))
-    return settled.unionByName(found).unionByName(hot)
+    again, one = judged(runs.withColumn("unclear", F.lit(True)))
+    settled = whole.unionByName(again).select("doc_id", "lo", (F.col("hi") + length).alias("end"))
+    lists = by_document(one.filter("not many"), "key", "lo", "hi", "unclear")
+    few = text_rows.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items")
+    return settled.unionByName(indexed(cut_spans(few, length), length)).unionByName(crowded(one.filter("many"), rows, length, gram))
 
 
 def remove_long_matches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

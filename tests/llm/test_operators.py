@@ -206,6 +206,25 @@ def test_suffix_dedup(docs, empty, odd):
     assert suffix_dedup.remove_long_matches(odd).count() == 4
 
 
+def test_crowded_keys(spark, monkeypatch):
+    """A passage longer than a gram in many documents, in full and cut short, some of its keys with more spans than an index takes."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, phrase = noise(320), noise(130)
+    texts = [noise(r.randrange(400)) + passage[r.randrange(90) : 320 - r.randrange(60)] + noise(r.randrange(400)) for _ in range(60)]
+    texts += [noise(150) + phrase + r.choice("xyz") * 30 + r.choice([noise(200), "q" * 60 + noise(90)]) for _ in range(40)] + texts[:5]
+    data = {i: t.encode() for i, t in enumerate(texts)}
+    seen = Counter(b[k : k + 200] for b in data.values() for k in range(len(b) - 199))
+    got = rows(suffix_dedup.remove_long_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), with_text=True), "n_removed", "kept")
+    for i, b in data.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        assert got[i] == (sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)), i
+
+
 def test_run_length_index():
     r = random.Random(3)
     spans = ["".join(r.choice("ab") for _ in range(r.randint(5, 60))).encode() for _ in range(12)]
