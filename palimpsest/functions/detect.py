@@ -28,7 +28,7 @@ class Detector:
 
 
 def _d(name: str, gate: int, guard: str, valid=None, confidence=None) -> Detector:
-    return Detector(name, P.java(P.PATTERNS[name]), gate, guard, valid, confidence)
+    return Detector(name, P.java(P.PATTERNS[name]), gate, P.java(guard), valid, confidence)
 
 
 DETECTORS = [

@@ -51,6 +51,26 @@ HIGH_STAKES = ["AADHAAR", "PAN", "CARD", "SSN", "IBAN", "MRZ_PASSPORT", "MRZ_PAS
 HIGH_STAKES_COMPLIANCE = ["AADHAAR", "PAN", "CARD", "SSN", "IBAN", "MRZ_PASSPORT", "UK_NINO", "EU_VAT", "CHINA_ID", "JAPAN_MYNUMBER", "BRAZIL_CPF", "CANADA_SIN", "AU_TFN", "AU_ABN"]
 
 
+#: White space as patterns of the web mean it; Java's own class is ASCII only.
+SPACE = " \\t\\n\\x0B\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+
+
 def java(pattern: str) -> str:
-    """A pattern with ASCII boundaries for Java's regex."""
-    return pattern.replace(r"\b", BOUNDARY)
+    """A pattern with ASCII boundaries, and white space of all scripts, for Java's regex."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(SPACE if inside else f"[{SPACE}]")
+        elif two == r"\S" and not inside:
+            out.append(f"[^{SPACE}]")
+        elif two == r"\b" and not inside:
+            out.append(BOUNDARY)
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            two = two[0]
+        at += len(two)
+    return "".join(out)

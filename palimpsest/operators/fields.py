@@ -21,34 +21,34 @@ EXCLUDED = [
 ]
 # Fixed values: (key, input types, exact labels, pattern), in order of precedence.
 FIELD_RULES = [
-    ("email", ["input:email", "email"], "email|e-mail|email address|e-mail address|email id|contact email|work email|personal email|electronic mail", r"\b(email|e-mail|email_id|emailaddress|mail_address)\b"),
-    ("emergency_phone", [], "emergency phone|emergency contact|emergency number|emergency telephone", r"\b(emergency[-_\s]?(phone|contact|number|mobile))\b"),
-    ("work_phone", [], "work phone|office phone|business phone|work telephone|office telephone", r"\b(work|office|business)[-_\s]?(phone|telephone|number|mobile)\b"),
-    ("home_phone", [], "home phone|landline|home telephone|residential phone", r"\b(home|landline|residential)[-_\s]?(phone|telephone|number)\b"),
-    ("phone", ["input:tel", "tel"], "phone|phone number|telephone|telephone number|mobile|mobile number|cell phone|cell number|contact number|phone no|mobile no|contact no|cell|phone #", r"\b(phone|mobile|telephone|cellphone|contact_number|phonenumber|mobilenumber)\b"),
-    ("first_name", [], "first name|given name|forename|fname|first_name|firstname", r"\b(first[-_\s]?name|given[-_\s]?name|forename|fname)\b"),
-    ("last_name", [], "last name|surname|family name|lname|last_name|lastname", r"\b(last[-_\s]?name|surname|family[-_\s]?name|lname)\b"),
-    ("middle_name", [], "middle name|mname|middle_name|middlename|middle initial", r"\b(middle[-_\s]?name|mname|middle[-_\s]?initial)\b"),
-    ("name", [], "full name|name|your name|applicant name|candidate name|user name|customer name|legal name|student name|employee name|contact name|person name|complete name", r"\b(full[-_\s]?name|applicant[-_\s]?name|legal[-_\s]?name|candidate[-_\s]?name|customer[-_\s]?name)\b"),
-    ("username", [], "username|user id|user name|login id|handle|screen name|account name", r"\b(username|user[-_\s]?id|login[-_\s]?id|account[-_\s]?name|handle)\b"),
-    ("billing_address", [], "billing address|billing street|bill address|billing address line 1", r"\bbilling[-_\s]?(address|street|addr)\b"),
-    ("shipping_address", [], "shipping address|delivery address|shipping street|ship address", r"\b(shipping|delivery)[-_\s]?(address|street|addr)\b"),
-    ("home_address", [], "home address|residential address|permanent address", r"\b(home|residential|permanent)[-_\s]?(address|addr)\b"),
-    ("street_address", [], "street address|address line 1|address line 2|street|street name|house number", r"\b(street[-_\s]?address|address[-_\s]?line|street)\b"),
-    ("address", [], "address|postal address|mailing address|physical address|residence address", r"\b(address|postal[-_\s]?address|mailing[-_\s]?address)\b"),
-    ("city", [], "city|town|district|municipality|city / town", r"\b(city|town|district|municipality)\b"),
-    ("state", [], "state|province|region|state / province|county", r"\b(state|province|region|county)\b"),
-    ("zip", [], "zip|zip code|postal code|postcode|pincode|pin code|zip / postal code|postal / zip code|pin", r"\b(zip[-_\s]?code|postal[-_\s]?code|postcode|pincode|pin[-_\s]?code)\b"),
-    ("country", [], "country|nation|country / region|country of residence", r"\b(country|nation)\b"),
-    ("college", [], "college|college name|institution|institute|school|school name|academy", r"\b(college|institution|institute|school)[-_\s]?(name)?\b"),
-    ("university", [], "university|university name|campus", r"\b(university|campus)[-_\s]?(name)?\b"),
-    ("company", [], "company|company name|organization|organisation|employer|workplace|business name", r"\b(company|organization|organisation|employer|workplace)[-_\s]?(name)?\b"),
-    ("occupation", [], "occupation|job title|profession|designation|role|title|position", r"\b(occupation|job[-_\s]?title|profession|designation|position)\b"),
-    ("dob", ["input:date", "date"], "date of birth|dob|birth date|birthdate|born on|d.o.b.", r"\b(date[-_\s]?of[-_\s]?birth|birth[-_\s]?date|birthdate|dob)\b"),
-    ("gender", [], "gender|sex", r"\b(gender|sex)\b"),
-    ("ssn", [], "ssn|social security number|social security #|social security no", r"\b(ssn|social[-_\s]?security[-_\s]?(number|no|#)?)\b"),
-    ("pan", [], "pan|pan number|pan card|pan no", r"\b(pan[-_\s]?(number|card|no)?)\b"),
-    ("aadhaar", [], "aadhaar|aadhaar number|aadhaar card|uidai|aadhar", r"\b(aadhaar|aadhar)[-_\s]?(number|card|no)?\b"),
+    ("email", ["input:email", "email"], ["email", "e-mail", "email address", "e-mail address", "email id", "contact email", "work email", "personal email", "electronic mail"], r"\b(email|e-mail|email_id|emailaddress|mail_address)\b"),
+    ("emergency_phone", [], ["emergency phone", "emergency contact", "emergency number", "emergency telephone"], r"\b(emergency[-_\s]?(phone|contact|number|mobile))\b"),
+    ("work_phone", [], ["work phone", "office phone", "business phone", "work telephone", "office telephone"], r"\b(work|office|business)[-_\s]?(phone|telephone|number|mobile)\b"),
+    ("home_phone", [], ["home phone", "landline", "home telephone", "residential phone"], r"\b(home|landline|residential)[-_\s]?(phone|telephone|number)\b"),
+    ("phone", ["input:tel", "tel"], ["phone", "phone number", "telephone", "telephone number", "mobile", "mobile number", "cell phone", "cell number", "contact number", "phone no", "mobile no", "contact no", "cell", "phone #"], r"\b(phone|mobile|telephone|cellphone|contact_number|phonenumber|mobilenumber)\b"),
+    ("first_name", [], ["first name", "given name", "forename", "fname", "first_name", "firstname"], r"\b(first[-_\s]?name|given[-_\s]?name|forename|fname)\b"),
+    ("last_name", [], ["last name", "surname", "family name", "lname", "last_name", "lastname"], r"\b(last[-_\s]?name|surname|family[-_\s]?name|lname)\b"),
+    ("middle_name", [], ["middle name", "mname", "middle_name", "middlename", "middle initial"], r"\b(middle[-_\s]?name|mname|middle[-_\s]?initial)\b"),
+    ("name", [], ["full name", "name", "your name", "applicant name", "candidate name", "user name", "customer name", "legal name", "student name", "employee name", "contact name", "person name", "complete name"], r"\b(full[-_\s]?name|applicant[-_\s]?name|legal[-_\s]?name|candidate[-_\s]?name|customer[-_\s]?name)\b"),
+    ("username", [], ["username", "user id", "user name", "login id", "handle", "screen name", "account name"], r"\b(username|user[-_\s]?id|login[-_\s]?id|account[-_\s]?name|handle)\b"),
+    ("billing_address", [], ["billing address", "billing street", "bill address", "billing address line 1"], r"\bbilling[-_\s]?(address|street|addr)\b"),
+    ("shipping_address", [], ["shipping address", "delivery address", "shipping street", "ship address"], r"\b(shipping|delivery)[-_\s]?(address|street|addr)\b"),
+    ("home_address", [], ["home address", "residential address", "permanent address"], r"\b(home|residential|permanent)[-_\s]?(address|addr)\b"),
+    ("street_address", [], ["street address", "address line 1", "address line 2", "street", "street name", "house number"], r"\b(street[-_\s]?address|address[-_\s]?line|street)\b"),
+    ("address", [], ["address", "postal address", "mailing address", "physical address", "residence address"], r"\b(address|postal[-_\s]?address|mailing[-_\s]?address)\b"),
+    ("city", [], ["city", "town", "district", "municipality", "city / town"], r"\b(city|town|district|municipality)\b"),
+    ("state", [], ["state", "province", "region", "state / province", "county"], r"\b(state|province|region|county)\b"),
+    ("zip", [], ["zip", "zip code", "postal code", "postcode", "pincode", "pin code", "zip / postal code", "postal / zip code", "pin"], r"\b(zip[-_\s]?code|postal[-_\s]?code|postcode|pincode|pin[-_\s]?code)\b"),
+    ("country", [], ["country", "nation", "country / region", "country of residence"], r"\b(country|nation)\b"),
+    ("college", [], ["college", "college name", "institution", "institute", "school", "school name", "academy"], r"\b(college|institution|institute|school)[-_\s]?(name)?\b"),
+    ("university", [], ["university", "university name", "campus"], r"\b(university|campus)[-_\s]?(name)?\b"),
+    ("company", [], ["company", "company name", "organization", "organisation", "employer", "workplace", "business name"], r"\b(company|organization|organisation|employer|workplace)[-_\s]?(name)?\b"),
+    ("occupation", [], ["occupation", "job title", "profession", "designation", "role", "title", "position"], r"\b(occupation|job[-_\s]?title|profession|designation|position)\b"),
+    ("dob", ["input:date", "date"], ["date of birth", "dob", "birth date", "birthdate", "born on", "d.o.b."], r"\b(date[-_\s]?of[-_\s]?birth|birth[-_\s]?date|birthdate|dob)\b"),
+    ("gender", [], ["gender", "sex"], r"\b(gender|sex)\b"),
+    ("ssn", [], ["ssn", "social security number", "social security #", "social security no"], r"\b(ssn|social[-_\s]?security[-_\s]?(number|no|#)?)\b"),
+    ("pan", [], ["pan", "pan number", "pan card", "pan no"], r"\b(pan[-_\s]?(number|card|no)?)\b"),
+    ("aadhaar", [], ["aadhaar", "aadhaar number", "aadhaar card", "uidai", "aadhar"], r"\b(aadhaar|aadhar)[-_\s]?(number|card|no)?\b"),
 ]
 # What is tried when nothing else matched.
 LAST_RESORT = ("name", r"^name$|\b(your|full)?[-_\s]?name\b")
@@ -61,8 +61,8 @@ def has(text: Column, pattern: str) -> Column:
 
 def label_words(label: Column) -> Column:
     """Lower case, punctuation and noise words gone, single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(label), r"[:*#_\-/\\]", " "), r"[^a-z0-9\s]", "")
-    return F.concat_ws(" ", F.filter(F.split(F.trim(plain), r"\s+"), lambda w: (w != "") & ~w.isin(NOISE)))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(label), r"[:*#_\-/\\]", " "), java(r"[^a-z0-9\s]"), "")
+    return F.concat_ws(" ", F.filter(F.split(plain, java(r"\s+")), lambda w: (w != "") & ~w.isin(NOISE)))
 
 
 def normal(alias: str) -> str:
@@ -72,33 +72,50 @@ def normal(alias: str) -> str:
     return " ".join(w for w in plain.split() if w not in NOISE)
 
 
-def aliases(text: str) -> list[str]:
-    return sorted({x for a in text.split("|") for x in (a, normal(a)) if x})
+def aliases(names: list[str]) -> list[str]:
+    return sorted({x for a in names for x in (a, normal(a)) if x})
 
 
-def field_key(kind: Column, *labels: Column, more: Column | None = None) -> Column:
-    """The key a field asks for, or null.
+def selector_names(selector: Column) -> list[Column]:
+    """The id and the name that a selector holds, hyphens and underscores as spaces; null where it holds none."""
+    found = (F.regexp_extract(selector, p, 1) for p in (r"#([a-zA-Z0-9_\-]+)", r"""\[name=["']?([^"'\]]+)["']?\]"""))
+    return [F.nullif(F.regexp_replace(x, "[-_]", " "), F.lit("")) for x in found]
 
-    An exact label decides, then a pattern anywhere, then the input type, then the last resort;
-    rules are tried in order. Excluded fields have no key, unless only hints other than labels
-    (`more`, from selectors) exclude them and a label is exact. Null labels are skipped.
+
+def matched_field(kind: Column, *labels: Column, selector: Column | None = None) -> Column:
+    """struct<key, confidence, reason> of what a field asks for; key is null where nothing fits.
+
+    An exact label, id or name decides, then a pattern anywhere, then the input type, then the
+    last resort, which is of medium confidence; rules are tried in order. Excluded fields have no
+    key, unless only the selector excludes them and a label is exact. Null labels are skipped.
     """
     kind = F.lower(F.coalesce(kind, F.lit("")))
     said = [F.when(F.trim(x) != "", x) for x in labels]
-    words = F.filter(F.array(*map(label_words, said)), lambda w: w.isNotNull() & (w != ""))
-    label_text = F.concat_ws(" ", words)
-    every = F.concat_ws(" ", *said, *([more] if more is not None else []))
+    hints = [] if selector is None else selector_names(selector)
+    kept = lambda xs: F.filter(F.array(*map(label_words, xs)), lambda w: w.isNotNull() & (w != ""))
+    words, every_word = kept(said), kept([*said, *hints])
+    label_text, every = F.concat_ws(" ", words), F.concat_ws(" ", *said, *hints)
     known = F.array(*map(F.lit, sorted({a for r in FIELD_RULES for a in aliases(r[2])})))
     exact_label = F.arrays_overlap(words, known)
     excluded = F.lit(False)
     for p in EXCLUDED:
         by_label = has(label_text, p)
         excluded = excluded | by_label | (has(every, p) & ~exact_label) | has(kind, p)
-    exact = F.coalesce(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, aliases(r[2])))), r[0]) for r in FIELD_RULES))
+    exact = F.coalesce(*(F.when(F.arrays_overlap(every_word, F.array(*map(F.lit, aliases(r[2])))), r[0]) for r in FIELD_RULES))
     pattern = F.coalesce(*(F.when(has(every, r[3]), r[0]) for r in FIELD_RULES))
     by_type = F.coalesce(*(F.when(kind.isin(r[1]), r[0]) for r in FIELD_RULES if r[1]))
     fallback = F.when(has(every, LAST_RESORT[1]), LAST_RESORT[0])
-    return F.when(~(excluded | kind.isin("password", "input:password")), F.coalesce(exact, pattern, by_type, fallback))
+    row = lambda key, sure, why: F.struct(key.alias("key"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(excluded, row(none, "none", "excluded")).when(kind.isin("password", "input:password"), row(none, "none", "password")).when(exact.isNotNull(), row(exact, "high", "label"))
+        .when(pattern.isNotNull(), row(pattern, "high", "pattern")).when(by_type.isNotNull(), row(by_type, "high", "type")).when(fallback.isNotNull(), row(fallback, "medium", "fallback")).otherwise(row(none, "none", "no match"))
+    )
+
+
+def field_key(kind: Column, *labels: Column, selector: Column | None = None) -> Column:
+    """The key a field asks for, or null."""
+    return matched_field(kind, *labels, selector=selector)["key"]
 
 
 # Labels that only move about the page.

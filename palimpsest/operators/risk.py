@@ -68,10 +68,17 @@ def trust_level(url: Column, form_action: Column, kinds: Column) -> Column:
     return F.struct(level.alias("level"), reasons.alias("reasons"))
 
 
-def compliance(text: Column, url: Column, types: Column) -> Column:
-    """struct<score, findings>: 100 less what each finding costs. `types` are the entity types found on the page."""
+def compliance(text: Column, url: Column, types: Column, links: Column | None = None) -> Column:
+    """struct<score, findings, signals>: 100 less what each finding costs, and what was seen.
+
+    `types` are the entity types found on the page; links, an array of struct<text, href>, are
+    searched for policies and opt-outs beside the text.
+    """
     text = F.lower(F.coalesce(text, F.lit("")))
     said = {k: has(text, p) for k, p in SIGNALS.items()}
+    if links is not None:
+        for k in ("privacy_policy", "do_not_sell", "opt_out"):
+            said[k] = said[k] | F.coalesce(F.exists(links, lambda x, p=SIGNALS[k]: has(x["text"], p) | has(x["href"], p)), F.lit(False))
     collects = F.size(types) > 0
     grave = F.size(F.array_intersect(types, F.array(*map(F.lit, P.HIGH_STAKES_COMPLIANCE))))
     insecure = F.coalesce(F.lower(F.trim(url)).startswith("http://"), F.lit(False))
@@ -86,7 +93,8 @@ def compliance(text: Column, url: Column, types: Column) -> Column:
         ("HIPAA_HEALTH_INFO_FORM_DETECTED", "LOW", said["health"] & (grave == 0)),
     ]
     lost = sum((F.when(hit, DEDUCTION[s]).otherwise(0) for _, s, hit in findings), F.lit(0))
-    return F.struct(F.greatest(F.lit(0), 100 - lost).alias("score"), F.array_compact(F.array(*(F.when(hit, name) for name, _, hit in findings))).alias("findings"))
+    signals = F.struct(*(v.alias(k) for k, v in said.items()), insecure.alias("insecure"), collects.alias("collects"), grave.alias("high_stakes"))
+    return F.struct(F.greatest(F.lit(0), 100 - lost).alias("score"), F.array_compact(F.array(*(F.when(hit, name) for name, _, hit in findings))).alias("findings"), signals.alias("signals"))
 
 
 def https_score(url: Column) -> Column:

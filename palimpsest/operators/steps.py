@@ -13,21 +13,21 @@ ROLE_OF_TYPE = {
 }
 # States that may follow each state.
 NEXT_STATES = {
-    "IDLE": "OBSERVING PLANNING TASK_RECEIVED FAILED",
-    "OBSERVING": "UNDERSTANDING PLANNING REPLANNING FAILED BLOCKED STOPPED",
-    "UNDERSTANDING": "PLANNING WAITING_FOR_USER WAITING_FOR_CONFIRMATION COMPLETED OBSERVING REPLANNING FAILED STOPPED",
-    "PLANNING": "WAITING_FOR_REASONER VALIDATING_ACTION EXECUTING_ACTION WAITING_FOR_USER WAITING_FOR_CONFIRMATION COMPLETED REPLANNING OBSERVING FAILED STOPPED",
-    "WAITING_FOR_REASONER": "VALIDATING_ACTION REPLANNING OBSERVING FAILED STOPPED",
-    "VALIDATING_ACTION": "EXECUTING_ACTION WAITING_FOR_USER WAITING_FOR_CONFIRMATION REPLANNING COMPLETED OBSERVING FAILED STOPPED",
-    "EXECUTING_ACTION": "VERIFYING_ACTION OBSERVING REPLANNING FAILED STOPPED",
-    "VERIFYING_ACTION": "OBSERVING UNDERSTANDING PLANNING REPLANNING COMPLETED FAILED STOPPED",
-    "WAITING_FOR_USER": "OBSERVING UNDERSTANDING PLANNING EXECUTING_ACTION STOPPED FAILED",
-    "WAITING_FOR_CONFIRMATION": "EXECUTING_ACTION STOPPED COMPLETED OBSERVING FAILED",
-    "REPLANNING": "OBSERVING PLANNING WAITING_FOR_REASONER WAITING_FOR_USER FAILED BLOCKED STOPPED",
-    "COMPLETED": "IDLE OBSERVING PLANNING TASK_RECEIVED",
-    "BLOCKED": "IDLE OBSERVING PLANNING REPLANNING FAILED",
-    "FAILED": "IDLE OBSERVING PLANNING TASK_RECEIVED",
-    "STOPPED": "IDLE OBSERVING PLANNING TASK_RECEIVED",
+    "IDLE": ["OBSERVING", "PLANNING", "TASK_RECEIVED", "FAILED"],
+    "OBSERVING": ["UNDERSTANDING", "PLANNING", "REPLANNING", "FAILED", "BLOCKED", "STOPPED"],
+    "UNDERSTANDING": ["PLANNING", "WAITING_FOR_USER", "WAITING_FOR_CONFIRMATION", "COMPLETED", "OBSERVING", "REPLANNING", "FAILED", "STOPPED"],
+    "PLANNING": ["WAITING_FOR_REASONER", "VALIDATING_ACTION", "EXECUTING_ACTION", "WAITING_FOR_USER", "WAITING_FOR_CONFIRMATION", "COMPLETED", "REPLANNING", "OBSERVING", "FAILED", "STOPPED"],
+    "WAITING_FOR_REASONER": ["VALIDATING_ACTION", "REPLANNING", "OBSERVING", "FAILED", "STOPPED"],
+    "VALIDATING_ACTION": ["EXECUTING_ACTION", "WAITING_FOR_USER", "WAITING_FOR_CONFIRMATION", "REPLANNING", "COMPLETED", "OBSERVING", "FAILED", "STOPPED"],
+    "EXECUTING_ACTION": ["VERIFYING_ACTION", "OBSERVING", "REPLANNING", "FAILED", "STOPPED"],
+    "VERIFYING_ACTION": ["OBSERVING", "UNDERSTANDING", "PLANNING", "REPLANNING", "COMPLETED", "FAILED", "STOPPED"],
+    "WAITING_FOR_USER": ["OBSERVING", "UNDERSTANDING", "PLANNING", "EXECUTING_ACTION", "STOPPED", "FAILED"],
+    "WAITING_FOR_CONFIRMATION": ["EXECUTING_ACTION", "STOPPED", "COMPLETED", "OBSERVING", "FAILED"],
+    "REPLANNING": ["OBSERVING", "PLANNING", "WAITING_FOR_REASONER", "WAITING_FOR_USER", "FAILED", "BLOCKED", "STOPPED"],
+    "COMPLETED": ["IDLE", "OBSERVING", "PLANNING", "TASK_RECEIVED"],
+    "BLOCKED": ["IDLE", "OBSERVING", "PLANNING", "REPLANNING", "FAILED"],
+    "FAILED": ["IDLE", "OBSERVING", "PLANNING", "TASK_RECEIVED"],
+    "STOPPED": ["IDLE", "OBSERVING", "PLANNING", "TASK_RECEIVED"],
 }
 # How each cause of failure is met.
 STRATEGY = {
@@ -69,8 +69,10 @@ def page_types(elements: DataFrame, page: str, role_col: str, pages: DataFrame)
 
 def valid_step(before: Column, after: Column) -> Column:
     """Whether a state may follow another. A first state, staying, failing and stopping always may."""
-    allowed = F.split(F.coalesce(lookup(before, NEXT_STATES), F.lit("")), " ")
-    return before.isNull() | (before == after) | after.isin("FAILED", "STOPPED", "ERROR") | F.array_contains(allowed, after)
+    follows = F.lit(False)
+    for state, after_it in NEXT_STATES.items():
+        follows = follows | (before == state) & after.isin(after_it)
+    return before.isNull() | (before == after) | after.isin("FAILED", "STOPPED", "ERROR") | follows
 
 
 def state_log(rows: DataFrame, session: str, order: list[str], state: str) -> DataFrame:
@@ -88,3 +90,17 @@ def cause(action: Column, wanted: Column, held: Column, checked: Column, found:
         .when(yes(loading), "PAGE_LOADING").when(~yes(found) & yes(has_target), "TARGET_DISAPPEARED").when(yes(found) & ~F.coalesce(enabled, F.lit(True)), "DISABLED_ELEMENT").otherwise("NO_EFFECT")
     )
     return F.struct(name.alias("cause"), lookup(name, STRATEGY).alias("strategy"))
+
+
+# The state that each event of a task's life leads to.
+LIFECYCLE = {
+    "startTask": "PLANNING", "beginObserving": "OBSERVING", "beginUnderstanding": "UNDERSTANDING", "beginPlanning": "PLANNING", "waitForReasoner": "WAITING_FOR_REASONER",
+    "beginValidating": "VALIDATING_ACTION", "beginExecuting": "EXECUTING_ACTION", "beginVerifying": "VERIFYING_ACTION", "waitForUser": "WAITING_FOR_USER", "waitForConfirmation": "WAITING_FOR_CONFIRMATION",
+    "triggerReplanning": "REPLANNING", "markCompleted": "COMPLETED", "markBlocked": "BLOCKED", "markFailed": "FAILED", "markStopped": "STOPPED", "beginPageAnalysis": "OBSERVING",
+    "evaluateReadiness": "UNDERSTANDING", "submitUserInfo": "UNDERSTANDING", "markExecuting": "EXECUTING_ACTION", "beginActionExecution": "EXECUTING_ACTION", "markWaitingForUser": "WAITING_FOR_USER", "markError": "FAILED",
+}
+
+
+def state_of(event: Column) -> Column:
+    """The state that an event leads to, or null."""
+    return lookup(event, LIFECYCLE)
