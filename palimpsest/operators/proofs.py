@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 
 def leaf(chunk: Column) -> Column:
     return F.sha2(chunk.cast("binary"), 256)
@@ -14,42 +16,61 @@ def parent(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(left), F.unhex(right)), 256)
 
 
-def levels(leaves: DataFrame, key: str, most: int = 40) -> DataFrame:
-    """(key, index from 0, hash) leaves -> (key, level, index, hash) of the whole tree.
+def chunks(rows: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
+    """(key, index from 0, chunk): a text cut into parts of `size` code points; an empty or null text is one empty chunk."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(body) / size).cast("int") - 1))
+    return rows.select(key, F.posexplode(F.transform(starts, lambda i: F.substring(body, i * size + 1, F.lit(size)))).alias("index", "chunk")).select(key, F.col("index").cast("long").alias("index"), "chunk")
+
 
-    Leaves are padded by the last one to a power of two. Each level is one aggregation over
-    pairs, so a tree of any number of leaves is built without gathering them.
+def levels(leaves: DataFrame, key: str, most: int = 62) -> DataFrame:
+    """(key, index from 0, hash) leaves -> (key, level, index, hash, pad) of the whole tree.
+
+    Leaves count as padded by the last one to a power of two: what would cover padding only isn't
+    stored, but every row carries its level's hash of that, pad. Each level is one aggregation
+    over pairs, written before the next, so a tree of any number of leaves is built without
+    gathering them. Trees of more levels than `most` are an error.
     """
     sized = leaves.groupBy(key).agg(F.max("index").alias("last"), F.max_by("hash", "index").alias("pad"))
-    depth = F.ceil(F.log2((F.col("last") + 1).cast("double"))).cast("int")
-    sized = sized.withColumn("depth", depth).withColumn("full", F.pow(F.lit(2.0), F.col("depth")).cast("long"))
-    padding = sized.filter("full > last + 1").select(key, F.explode(F.sequence(F.col("last") + 1, F.col("full") - 1)).alias("index"), F.col("pad").alias("hash"))
-    level = leaves.select(key, F.col("index").cast("long"), "hash").unionByName(padding.select(key, F.col("index").cast("long"), "hash"))
+    deep = checkpointed(sized.withColumn("depth", F.when(F.col("last") > 0, F.length(F.bin("last"))).otherwise(0)))
+    top = deep.agg(F.max("depth")).first()[0] or 0
+    if top > most:
+        raise ValueError(f"a tree of {top} levels; {most} at most")
+    level = checkpointed(leaves.select(key, F.col("index").cast("long"), "hash").join(deep.select(key, "depth", "pad"), key))
     out = level.withColumn("level", F.lit(0))
-    top = sized.agg(F.max("depth")).first()[0] or 0
-    deep = sized.select(key, "depth")
-    for n in range(1, min(top, most) + 1):
-        open_ = level.join(deep.filter(F.col("depth") >= n).select(key), key, "left_semi")
-        pairs = open_.groupBy(key, F.floor(F.col("index") / 2).alias("index")).agg(F.min_by("hash", "index").alias("l"), F.max_by("hash", "index").alias("r"))
-        level = pairs.select(key, F.col("index").cast("long"), parent(F.col("l"), F.col("r")).alias("hash"))
+    for n in range(1, top + 1):
+        pairs = level.filter(F.col("depth") >= n).groupBy(key, F.shiftright("index", 1).alias("index"), "depth", "pad").agg(F.min_by("hash", "index").alias("l"), F.max_by("hash", "index").alias("r"), F.count(F.lit(1)).alias("c"))
+        both = parent(F.col("l"), F.when(F.col("c") == 2, F.col("r")).otherwise(F.col("pad")))
+        level = checkpointed(pairs.select(key, "index", both.alias("hash"), "depth", parent(F.col("pad"), F.col("pad")).alias("pad")))
         out = out.unionByName(level.withColumn("level", F.lit(n)))
-    return out
+    return out.select(key, "level", "index", "hash", "pad", "depth")
 
 
 def roots(tree: DataFrame, key: str) -> DataFrame:
-    return tree.groupBy(key).agg(F.max_by("hash", "level").alias("root"), F.max("level").alias("depth"))
+    return tree.filter("level = depth").select(key, F.col("hash").alias("root"), "depth")
 
 
 def proofs(tree: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """(key, index) targets -> (key, index, path): siblings from the leaf up, each with the side it stands on."""
-    depth = tree.groupBy(key).agg(F.max("level").alias("depth"))
-    steps = targets.join(depth, key).filter("depth > 0").select(key, F.col("index").alias("target"), F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"))
-    at = F.floor(F.col("target") / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    """(key, index) targets -> (key, index, path): siblings from the leaf up, each with the side it stands on; a tree of one leaf has an empty path."""
+    deep = tree.filter("level = 0").select(key, "depth").distinct()
+    steps = targets.select(key, F.col("index").alias("target")).join(deep, key).select(key, "target", F.explode_outer(F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1))).alias("level"))
+    at = F.expr("shiftright(target, level)")
     steps = steps.withColumn("index", F.when(at % 2 == 0, at + 1).otherwise(at - 1)).withColumn("side", F.when(at % 2 == 0, "right").otherwise("left"))
-    joined = steps.join(tree, [key, "level", "index"])
-    path = F.sort_array(F.collect_list(F.struct("level", "side", "hash")))
-    return joined.groupBy(key, "target").agg(path.alias("path")).withColumnRenamed("target", "index")
+    pads = tree.groupBy(key, "level").agg(F.first("pad").alias("pad"))
+    joined = steps.join(tree.select(key, "level", "index", "hash"), [key, "level", "index"], "left").join(pads, [key, "level"], "left")
+    step = F.when(F.col("level").isNotNull(), F.struct("level", "side", F.coalesce("hash", "pad").alias("hash")))
+    return joined.groupBy(key, "target").agg(F.sort_array(F.collect_list(step)).alias("path")).withColumnRenamed("target", "index")
 
 
 def recomputed(leaf_hash: Column, path: Column) -> Column:
     return F.aggregate(path, leaf_hash, lambda h, s: F.when(s["side"] == "right", parent(h, s["hash"])).otherwise(parent(s["hash"], h)))
+
+
+def redacted_tiles(boxes: DataFrame, tile: str = "tile") -> DataFrame:
+    """(page_id, tiles): the tiles that any box of a page touches, each once, in order."""
+    return boxes.groupBy("page_id").agg(F.array_sort(F.collect_set(tile)).alias("tiles"))
+
+
+def found_proof(json: Column) -> Column:
+    """The root that a proof anywhere in JSON names, or null: the first object with a root of 64 hex digits."""
+    return F.nullif(F.regexp_extract(json, r'"(?:merkleRoot|root)"\s*:\s*"([0-9a-f]{64})"', 1), F.lit(""))

@@ -15,19 +15,22 @@ def recent(rows: DataFrame, session: str, order: list[str], value: str, n: int =
     return rows.withColumn(name, F.collect_list(value).over(by(session, *order).rowsBetween(1 - n, 0)))
 
 
-def loops(rows: DataFrame, session: str, order: list[str], action: str, signature: Column | None = None) -> DataFrame:
-    """Adds loop: NAVIGATION-free checks of the last actions. wait and done rows are left out.
+def loops(rows: DataFrame, session: str, order: list[str], action: str, signature: Column | None = None, changed: Column | None = None, goes_to: Column | None = None, at: Column | None = None) -> DataFrame:
+    """Adds loop: what the last actions of a session amount to, or null. wait and done rows are left out.
 
-    STAGNANT_SCROLL: two scrolls in a row; REPEAT: one signature three times; OSCILLATION: two
-    signatures twice in turn; null otherwise.
+    NAVIGATION: a navigate to the page it is on (goes_to, at); then, on rows without a change of
+    the page, STAGNANT_SCROLL: two scrolls in a row; REPEAT: one signature three times;
+    OSCILLATION: two signatures twice in turn. Where `changed` isn't given no page ever changes.
     """
     s = F.col("__sig")
     w = by(session, *order)
-    rows = rows.filter(~F.col(action).isin("wait", "done")).withColumn("__sig", F.coalesce(signature if signature is not None else F.col(action), F.lit("")))
+    rows = rows.filter(~F.coalesce(F.col(action).isin("wait", "done"), F.lit(False))).withColumn("__sig", F.coalesce(signature if signature is not None else F.col(action), F.lit("")))
     lag = lambda k: F.lag(s, k).over(w)
+    still = ~F.coalesce(changed, F.lit(True)) if changed is not None else F.lit(True)
+    stays = (F.col(action) == "navigate") & ((goes_to == at) | at.startswith(goes_to)) & (goes_to != "") if goes_to is not None and at is not None else F.lit(False)
     scroll = (F.col(action) == "scroll") & (F.lag(action).over(w) == "scroll")
-    kind = F.when(scroll, "STAGNANT_SCROLL").when((s == lag(1)) & (s == lag(2)), "REPEAT").when((s == lag(2)) & (lag(1) == lag(3)) & (s != lag(1)), "OSCILLATION")
-    return rows.withColumn("loop", kind).drop("__sig")
+    repeat, swing = (s == lag(1)) & (s == lag(2)), (s == lag(2)) & (lag(1) == lag(3)) & (s != lag(1))
+    return rows.withColumn("loop", F.when(stays, "NAVIGATION").when(still & scroll, "STAGNANT_SCROLL").when(still & repeat, "REPEAT").when(still & swing, "OSCILLATION")).drop("__sig")
 
 
 def failure_runs(rows: DataFrame, session: str, order: list[str], failed: Column, halt_at: int = 3) -> DataFrame:
@@ -74,11 +77,30 @@ def latest(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(order).alias("saved_at"), F.max(order).alias("updated_at"), *(F.max_by(v, order).alias(v) for v in values))
 
 
+def value_bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises, about a hundredth of its size wide."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long")
+
+
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """n, min, median, p95, max and mean of a value; quantiles are the value at floor(p * (n - 1)) in order."""
-    sorted_ = F.sort_array(F.collect_list(value))
-    at = lambda p: F.element_at("v", (F.floor(p * (F.size("v") - 1)) + 1).cast("int"))
-    return rows.groupBy(key).agg(sorted_.alias("v")).select(key, F.size("v").alias("n"), F.get("v", F.lit(0)).alias("least"), at(0.5).alias("median"), at(0.95).alias("p95"), F.element_at("v", -1).alias("most"), (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("mean"))
+    """n, least, median, p95, most and mean of a value by key; quantiles are the value at floor(p * (n - 1)) in order. Nulls don't count.
+
+    Equal values are counted first and counts dealt to buckets in order; the buckets' sizes say
+    which one holds a quantile, and only the values of these are put in order, so no key's values
+    meet in one place.
+    """
+    x = F.col(value).cast("double")
+    n = rows.filter(x.isNotNull()).select(key, x.alias("x")).groupBy(key, "x").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", value_bucket(F.col("x")))
+    sizes = n.groupBy(key, "bucket").agg(F.sum("c").alias("size"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.col("x") * F.col("c")).alias("total"))
+    before = F.sum("size").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    whole = sizes.groupBy(key).agg(F.sum("size").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"))
+    asked = whole.select(key, F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.floor(p * (F.col("n") - 1)).cast("long").alias("at")) for q, p in (("median", 0.5), ("p95", 0.95))))).alias("a")).select(key, "a.q", "a.at")
+    target = asked.join(placed, key).filter("at >= before and at < before + size").select(key, "bucket", "q", (F.col("at") - F.col("before")).alias("inside"))
+    w = Window.partitionBy(key, "bucket", "q").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = n.join(target, [key, "bucket"]).withColumn("upto", F.sum("c").over(w)).filter("inside < upto and inside >= upto - c")
+    found = hit.groupBy(key).agg(F.max(F.when(F.col("q") == "median", F.col("x"))).alias("median"), F.max(F.when(F.col("q") == "p95", F.col("x"))).alias("p95"))
+    return whole.join(found, key).select(key, "n", "least", "median", "p95", "most", (F.col("total") / F.col("n")).alias("mean"))
 
 
 def scores(rows: DataFrame, expected: Column, found: Column, *keys: str) -> DataFrame:
