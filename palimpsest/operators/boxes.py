@@ -1,7 +1,8 @@
-"""Boxes and frames: geometry, tiles, grounding, suppression, frame differences."""
+"""Boxes: geometry, tiles, grounding of points, suppression, boxes of pictures."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,52 +31,116 @@ def tiles(boxes: DataFrame, size: int, columns: int, rows: int) -> DataFrame:
     return across.withColumn("tile", F.col("__r") * columns + F.col("__c")).drop("__c", "__r")
 
 
-def grounded(points: DataFrame, boxes: DataFrame, page: str, reach: float = 45.0) -> DataFrame:
-    """Each point's element: the smallest box around it, else the nearest within reach (interactive ones count as a fifth nearer)."""
-    p = points.select(page, F.col("point_id"), F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
-    joined = p.join(boxes.select(page, "element_id", "x", "y", "width", "height", "interactive"), page)
-    inside = F.col("px").between(F.col("x"), F.col("x") + F.col("width")) & F.col("py").between(F.col("y"), F.col("y") + F.col("height"))
-    dx = F.greatest(F.col("x") - F.col("px"), F.lit(0.0), F.col("px") - F.col("x") - F.col("width"))
-    dy = F.greatest(F.col("y") - F.col("py"), F.lit(0.0), F.col("py") - F.col("y") - F.col("height"))
-    far = F.sqrt(dx * dx + dy * dy) * F.when(F.col("interactive"), 0.8).otherwise(1.0)
-    ranked = joined.withColumn("inside", inside).withColumn("distance", F.round(far, 6)).filter(F.col("inside") | (F.col("distance") <= reach))
-    w = Window.partitionBy(page, "point_id").orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("width") * F.col("height")).otherwise(F.col("distance")), "element_id")
-    return ranked.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select(page, "point_id", "element_id", "inside", "distance")
+# Tags to act on and tags that only hold others.
+ACTIVE_TAGS, CONTAINER_TAGS = ["button", "input", "select", "textarea", "a"], ["div", "section", "article", "main", "table", "tbody", "tr", "td", "ul", "ol", "li", "span"]
+
+
+def specificity(tag: Column, type_: Column, text: Column, aria: Column, in_modal: Column) -> Column:
+    """How specific an element is: active ones, buttons, named ones and those of a dialog more, nameless containers less."""
+    tag = F.lower(F.coalesce(tag, F.lit("")))
+    on = lambda c, n: F.when(c, n).otherwise(0)
+    named = F.coalesce(text, F.lit("")) != ""
+    marked = F.coalesce(aria, F.lit("")) != ""
+    return on(tag.isin(ACTIVE_TAGS), 500) + on(type_.isin("button", "submit"), 200) + on(F.trim(F.coalesce(text, F.lit(""))) != "", 50) + on(marked, 50) + on(in_modal, 300) - on(tag.isin(CONTAINER_TAGS) & ~named & ~marked, 200)
+
+
+def grounded(points: DataFrame, elements: DataFrame, page: str = "page_id", reach: float = 45.0) -> DataFrame:
+    """(page, point_id, element_id, method, distance, confidence) of each point that has an element.
+
+    Of the elements around a point the most specific one, then the smallest, then the first (by
+    ord); else the one whose centre is nearest, within reach; active ones count as a fifth
+    nearer. Disabled, hidden and empty elements have no part in it. A page's points meet its
+    elements only.
+    """
+    c = F.col
+    usable = F.coalesce("enabled", F.lit(True)) & F.coalesce("visible", F.lit(True)) & (c("width") > 0) & (c("height") > 0)
+    own = elements.filter(usable).select(page, c("id").alias("element_id"), "ord", "x", "y", "width", "height", (c("tag").isin(ACTIVE_TAGS) | (c("type") == "button")).alias("active"), specificity(c("tag"), c("type"), c("text"), c("aria_label"), c("in_modal")).alias("score"))
+    p = points.select(page, "point_id", c("px").cast("double").alias("px"), c("py").cast("double").alias("py"))
+    joined = p.join(own, page)
+    inside = c("px").between(c("x"), c("x") + c("width")) & c("py").between(c("y"), c("y") + c("height"))
+    dx, dy = c("px") - c("x") - c("width") / 2, c("py") - c("y") - c("height") / 2
+    far = F.sqrt(dx * dx + dy * dy) * F.when(c("active"), 0.8).otherwise(1.0)
+    ranked = joined.withColumn("inside", inside).withColumn("far", F.when(c("inside"), 0.0).otherwise(far)).filter(c("inside") | (c("far") <= reach))
+    # one least row of each point: no sort of a page's pairs
+    best = F.struct((~c("inside")).alias("a"), F.when(c("inside"), -c("score").cast("double")).otherwise(c("far")).alias("b"), F.when(c("inside"), c("width") * c("height")).otherwise(0.0).alias("c"), "ord", "element_id", "far")
+    out = ranked.groupBy(page, "point_id").agg(F.min(best).alias("m"))
+    method = F.when(c("m.a"), "APPROXIMATE_PROXIMITY").otherwise("EXACT_CONTAINMENT")
+    sure = F.when(c("m.a"), F.greatest(F.lit(0.2), (reach - c("m.far")) / reach)).otherwise(1.0)
+    return out.select(page, "point_id", "m.element_id", method.alias("method"), F.floor(c("m.far") + 0.5).cast("long").alias("distance"), sure.alias("confidence"))
 
 
 def suppressed(boxes: DataFrame, image: str, threshold: float = 0.30, most: int = 5000) -> DataFrame:
-    """Greedy non-maximum suppression in each image: boxes by falling score, without those that overlap a kept one by the threshold."""
+    """Greedy non-maximum suppression in each image: boxes by falling score, without those that overlap a kept one by the threshold. An image's `most` best boxes are one group."""
+    top = Window.partitionBy(image).orderBy(F.desc("score"), "box_id")
+    best = boxes.withColumn("__k", F.row_number().over(top)).filter(F.col("__k") <= most).drop("__k")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True]).head(most)
-        kept: list = []
-        for r in pdf.itertuples():
-            free = True
-            for k in kept:
-                w = max(0.0, min(r.x + r.width, k.x + k.width) - max(r.x, k.x))
-                h = max(0.0, min(r.y + r.height, k.y + k.height) - max(r.y, k.y))
-                union = r.width * r.height + k.width * k.height - w * h
-                if union > 0 and w * h / union >= threshold:
-                    free = False
-                    break
-            if free:
-                kept.append(r)
-        return pdf[pdf.box_id.isin([k.box_id for k in kept])]
-
-    return boxes.groupBy(image).applyInPandas(one, boxes.schema)
-
-
-def frame_tiles(before: DataFrame, after: DataFrame, size: int = 16, changed_at: float = 12.0) -> DataFrame:
-    """Pixels (x, y, r, g, b) of two frames -> tile, mean absolute difference of grey, whether it changed."""
-    grey = lambda p: F.col(f"{p}.r") * 0.299 + F.col(f"{p}.g") * 0.587 + F.col(f"{p}.b") * 0.114
-    joined = before.alias("p").join(after.alias("q"), ["x", "y"])
-    n = joined.groupBy(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty")).agg(F.round(F.avg(F.abs(grey("p") - grey("q"))), 6).alias("difference"))
-    return n.withColumn("changed", F.col("difference") >= changed_at)
-
-
-def frame_verdict(tile_rows: DataFrame) -> DataFrame:
-    """change_ratio and verdict of a frame's tiles, with the bounds of what changed."""
-    ratio = F.avg(F.col("changed").cast("double"))
-    bounds = [f("tx" if a == "x" else "ty").alias(f"{n}_{a}") for a in "xy" for n, f in (("min", lambda c: F.min(F.when(F.col("changed"), F.col(c)))), ("max", lambda c: F.max(F.when(F.col("changed"), F.col(c)))))]
-    out = tile_rows.agg(ratio.alias("change_ratio"), *bounds)
-    return out.withColumn("verdict", F.when(F.col("change_ratio") == 0, "unchanged").when(F.col("change_ratio") < 0.05, "minor_change").when(F.col("change_ratio") < 0.4, "moderate_change").otherwise("major_change"))
+        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
+        x, y, w, h = (pdf[c].to_numpy(float) for c in ("x", "y", "width", "height"))
+        open_, kept = np.ones(len(pdf), bool), np.zeros(len(pdf), bool)
+        for i in range(len(pdf)):
+            if not open_[i]:
+                continue
+            kept[i] = True
+            both = np.maximum(0, np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)) * np.maximum(0, np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y))
+            union = w[i] * h[i] + w * h - both
+            open_ &= ~((union > 0) & (both >= threshold * union))
+        return pdf[kept]
+
+    return best.groupBy(image).applyInPandas(one, boxes.schema)
+
+
+# Rectangles are structs of x, y, width and height. ------------------------------------------------
+
+
+def rect(x: Column, y: Column, width: Column, height: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"))
+
+
+def cut(r: Column, width: Column, height: Column) -> Column:
+    """What of a rectangle lies in an image."""
+    x, y = F.greatest(F.lit(0.0), r["x"]), F.greatest(F.lit(0.0), r["y"])
+    return rect(x, y, F.greatest(F.lit(0.0), F.least(width, r["x"] + r["width"]) - x), F.greatest(F.lit(0.0), F.least(height, r["y"] + r["height"]) - y))
+
+
+def padded(r: Column, by: Column) -> Column:
+    return rect(r["x"] - by, r["y"] - by, r["width"] + by * 2, r["height"] + by * 2)
+
+
+def scaled(r: Column, across: Column, down: Column) -> Column:
+    return rect(r["x"] * across, r["y"] * down, r["width"] * across, r["height"] * down)
+
+
+def on_screenshot(r: Column, view_w: Column, view_h: Column, image_w: Column, image_h: Column, padding: float = 4.0) -> Column:
+    """A box of the page as one of its picture: scaled, padded by the mean scale, cut."""
+    across, down = image_w / view_w, image_h / view_h
+    return cut(padded(scaled(r, across, down), (across + down) / 2 * padding), image_w, image_h)
+
+
+def on_page(x: Column, y: Column, view_w: Column, view_h: Column, image_w: Column, image_h: Column) -> Column:
+    """struct<x, y> on the page of a point of its picture; null without sizes."""
+    known = (view_w > 0) & (view_h > 0) & (image_w > 0) & (image_h > 0)
+    return F.when(known, F.struct((x * view_w / image_w).alias("x"), (y * view_h / image_h).alias("y")))
+
+
+def in_view(x: Column, y: Column, width: Column, height: Column, view_w: Column, view_h: Column) -> Column:
+    """Whether a box meets the viewport."""
+    return F.coalesce((width > 0) & (height > 0) & (y + height > 0) & (x + width > 0) & (y < view_h) & (x < view_w), F.lit(False))
+
+
+def fold(y: Column, height: Column, view_h: Column) -> Column:
+    return F.when(y.isNull(), "unknown").when(y + height <= 0, "above the fold").when(y >= view_h, "below the fold").otherwise("on screen")
+
+
+def redaction_boxes(items: DataFrame, view: tuple[str, str] = ("view_w", "view_h"), image: tuple[str, str] = ("image_w", "image_h")) -> DataFrame:
+    """(page_id, kind, x, y, width, height) to black out: found text with 4 pixels around, faces with 10 (whole pixels), identity documents with 8; empty boxes are left out.
+
+    items has kind (text, face or id), a box (of the page; of the picture for faces) and the sizes.
+    """
+    vw, vh, iw, ih = (F.col(c).cast("double") for c in (*view, *image))
+    box = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")))
+    clip = lambda v, lo, hi: F.greatest(lo, F.least(hi, v))
+    x, y = clip(F.floor(box["x"] - 10), F.lit(0), iw), clip(F.floor(box["y"] - 10), F.lit(0), ih)
+    face = rect(x.cast("double"), y.cast("double"), (clip(F.ceil(box["x"] + box["width"] + 10), x, iw) - x).cast("double"), (clip(F.ceil(box["y"] + box["height"] + 10), y, ih) - y).cast("double"))
+    made = F.when(F.col("kind") == "face", face).when(F.col("kind") == "id", on_screenshot(box, vw, vh, iw, ih, 8.0)).otherwise(on_screenshot(box, vw, vh, iw, ih, 4.0))
+    return items.withColumn("__b", made).filter("__b.width > 0 and __b.height > 0").select("page_id", "kind", *(F.col(f"__b.{c}").alias(c) for c in ("x", "y", "width", "height")))
