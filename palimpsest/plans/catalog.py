@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,34 +11,7 @@ from ..functions import mask as M
 from ..functions import patterns as P
 from ..operators import boundary, boxes, fields, proofs, risk, sequences, steps, tasks
 from ..sources import fixtures, pages
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    """A WITH item of literal rows."""
-    shown = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else text(v) for v in r) + ")" for r in rows)
-    return f"{name}({columns}) AS (VALUES {shown})"
-
+from .registry import QUERIES, SQL, query, table, text, values
 
 # Entities ------------------------------------------------------------------------------------
 
@@ -272,9 +243,9 @@ def trust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rules -----------------------------------------------------------------------------------------
 
 
-@query("WITH " + values("v", "id, field_key", [(r[0], r[4]) for r in fixtures.FIELDS]) + " SELECT id, field_key FROM v")
+@query("WITH " + values("v", "id, field_key", [(r[0], r[5]) for r in fixtures.FIELDS]) + " SELECT id, field_key FROM v")
 def field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.fields(spark).select("id", fields.field_key(F.col("type"), F.col("aria_label"), F.col("placeholder")).alias("field_key"))
+    return fixtures.fields(spark).select("id", fields.field_key(F.col("type"), F.col("aria_label"), F.col("placeholder"), selector=F.col("selector")).alias("field_key"))
 
 
 @query("WITH " + values("v", "id, action_class", [(r[0], r[4]) for r in fixtures.ACTIONS]) + " SELECT id, action_class FROM v")
@@ -423,17 +394,6 @@ def transition_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.transitions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", edges).groupBy("is_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DAY = "SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events) + {} GROUP BY 1, 2"
-
-
-@query(f"SELECT user_id, event_type, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n OR a.top IS DISTINCT FROM b.top THEN 'changed' ELSE 'same' END AS status FROM ({_DAY.format(0)}) a FULL JOIN ({_DAY.format(1)}) b USING (user_id, event_type)")
-def event_diff_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    first = e.agg(F.min(F.to_date("ts"))).first()[0]
-    day = lambda k: e.filter(F.to_date("ts") == F.date_add(F.lit(first), k)).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
-    return sequences.diff(day(0), day(1), ["user_id", "event_type"], ["n", "top"]).select("user_id", "event_type", "status")
-
-
 _DAYS = "SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS top FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3"
 
 
@@ -442,8 +402,8 @@ _DAYS = "SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n, max
     "SELECT CAST(CAST(coalesce(a.day, b.day) AS DATE) AS VARCHAR) AS day, coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.day IS NULL THEN 'added' WHEN b.day IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n OR a.top IS DISTINCT FROM b.top THEN 'changed' ELSE 'same' END AS status "
     "FROM a FULL JOIN b ON a.day = b.day AND a.user_id = b.user_id AND a.event_type = b.event_type"
 )
-def event_diff_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day of events against the day before, from the second day to the last; event_diff_daily is the first such pair only."""
+def event_diff_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day of events against the day before, from the second day to the last."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).filter("day is not null")
     days = e.groupBy("user_id", "event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
     ends = F.broadcast(e.agg(F.min("day").alias("first"), F.max("day").alias("last")))
@@ -472,21 +432,38 @@ def checkpoint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Proofs, boxes, frames ---------------------------------------------------------------------------
 
-_H = "sha256(concat(unhex({}), unhex({})))"
+_CHUNKS = "SELECT doc_id, k - 1 AS index, sha256(substr(coalesce(text, ''), (k - 1) * 4096 + 1, 4096)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(1, ceil(length(coalesce(text, '')) / 4096)::BIGINT) + 1)) AS k FROM documents)"
+_PAIR = "sha256(unhex({}) || unhex({}))"
+
 
+def _tree(depth: int) -> str:
+    """Levels of padded trees in SQL: each pairs the one below; p is the hash of padding only."""
+    out = [f"l0 AS (SELECT doc_id, list(h ORDER BY index) AS h, arg_max(h, index) AS p FROM ({_CHUNKS}) GROUP BY doc_id)"]
+    for n in range(1, depth + 1):
+        even = f"(SELECT doc_id, p, CASE WHEN len(h) > 1 AND len(h) % 2 = 1 THEN list_append(h, p) ELSE h END AS h FROM l{n - 1})"
+        out.append(f"l{n} AS (SELECT doc_id, {_PAIR.format('p', 'p')} AS p, CASE WHEN len(h) = 1 THEN h ELSE list_transform(range(1, len(h), 2), lambda i: {_PAIR.format('h[i]', 'h[i + 1]')}) END AS h FROM {even})")
+    return ", ".join(out)
 
-@query("WITH l AS (SELECT list(sha256(r_name) ORDER BY r_regionkey) AS h FROM region), p AS (SELECT list_concat(h, [h[-1], h[-1], h[-1]])[1:8] AS h FROM l), a AS (SELECT [" + ", ".join("sha256(unhex(h[{}]) || unhex(h[{}]))".format(i, i + 1) for i in (1, 3, 5, 7)) + "] AS h FROM p), b AS (SELECT [" + ", ".join("sha256(unhex(h[{}]) || unhex(h[{}]))".format(i, i + 1) for i in (1, 3)) + "] AS h FROM a) SELECT sha256(unhex(h[1]) || unhex(h[2])) AS root, 3 AS depth FROM b")
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = proofs.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    return parts.select("doc_id", "index", proofs.leaf(F.col("chunk")).alias("hash"))
+
+
+@query(f"WITH {_tree(6)} SELECT doc_id, h[1] AS root FROM l6")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = table(spark, sf_dir, "region").select(F.lit(0).alias("k"), F.col("r_regionkey").cast("long").alias("index"), proofs.leaf(F.col("r_name")).alias("hash"))
-    return proofs.roots(proofs.levels(leaves, "k"), "k").select("root", "depth")
+    """The root over the chunks of every document."""
+    return proofs.roots(proofs.levels(_leaves(spark, sf_dir), "doc_id"), "doc_id").select("doc_id", "root")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS index, true AS verified FROM nation")
+@query(f"SELECT doc_id, index, true AS verified, false AS forged FROM ({_CHUNKS})")
 def merkle_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = table(spark, sf_dir, "nation").select(F.lit(0).alias("k"), F.col("n_nationkey").cast("long").alias("index"), proofs.leaf(F.col("n_name")).alias("hash"))
-    tree = proofs.levels(leaves, "k")
-    found = proofs.proofs(tree, leaves.select("k", "index"), "k").join(leaves, ["k", "index"]).join(proofs.roots(tree, "k"), "k")
-    return found.select("index", (proofs.recomputed(F.col("hash"), F.col("path")) == F.col("root")).alias("verified"))
+    """Whether each chunk's proof leads to its document's root, and whether it would for another chunk."""
+    leaves = _leaves(spark, sf_dir)
+    tree = proofs.levels(leaves, "doc_id")
+    found = proofs.proofs(tree, leaves.select("doc_id", "index"), "doc_id").join(leaves, ["doc_id", "index"]).join(proofs.roots(tree, "doc_id"), "doc_id")
+    leads = lambda h: proofs.recomputed(h, F.col("path")) == F.col("root")
+    return found.select("doc_id", "index", leads(F.col("hash")).alias("verified"), leads(proofs.leaf(F.lit("forged"))).alias("forged"))
 
 
 def _boxes(spark: SparkSession) -> DataFrame:
@@ -517,21 +494,6 @@ def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.suppressed(_boxes(spark), "image")
 
 
-@query()
-def ground_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _boxes(spark).select(F.lit(0).alias("page"), F.col("box_id").alias("element_id"), "x", "y", "width", "height", (F.col("box_id") % 2 == 0).alias("interactive"))
-    points = spark.range(30).select(F.lit(0).alias("page"), F.col("id").alias("point_id"), (F.col("id") * 11 % 260).alias("px"), (F.col("id") * 17 % 170).alias("py"))
-    return boxes.grounded(points, found, "page")
-
-
-@query("SELECT x // 16 AS tx, y // 16 AS ty, CASE WHEN x // 16 = 2 AND y // 16 = 1 THEN 50.0 ELSE 0.0 END::DOUBLE AS difference, x // 16 = 2 AND y // 16 = 1 AS changed FROM range(0, 96, 16) a(x), range(0, 64, 16) b(y)")
-def frame_tile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = spark.range(96 * 64).select((F.col("id") % 96).alias("x"), F.floor(F.col("id") / 96).alias("y"))
-    frame = lambda v: at.select("x", "y", *(v.alias(c) for c in "rgb"))
-    inside = F.col("x").between(32, 47) & F.col("y").between(16, 31)
-    return boxes.frame_tiles(frame(F.lit(100)), frame(F.when(inside, 150).otherwise(100)))
-
-
 @query("SELECT event_type AS label, name, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) JOIN (VALUES ('click', 'Clic'), ('generic', 'Autre')) t(k, name) ON k = CASE WHEN event_type = 'click' THEN 'click' ELSE 'generic' END")
 def translated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup in a language pack, the generic entry where a key is missing."""
