@@ -8,8 +8,11 @@ compiled tables hold, for each label, the state it leads to, and for each state
 label it lost and when. What a state has lost is what it and its ancestors lost; an arc uv
 exists where u's arc existed when uv was made and still did after that gadget.
 
-A word's tokens are the one accepted path that spells it, so encoding walks the table from left
-to right, longest arc first, and takes back arcs that lead nowhere.
+A word's tokens are the one accepted path that spells it, and what comes before a token on that
+path is the one accepted path of its own letters. So a prefix of a word determines the state
+that it leads to, and reading a word is a table of transitions from prefix to prefix: the token
+that ends a prefix is the only one whose arc leaves the state of what comes before it. Nothing
+is taken back, and a word of n letters takes n times the longest token's length at most.
 """
 
 from __future__ import annotations
@@ -55,6 +58,7 @@ class MergeAutomaton:
         self.longest = max(map(len, self.vocab))
         self.compile([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.arcs: dict[int, bool] = {}
+        self.itself: dict[int, bool] = {}
 
     def compile(self, merges: list[tuple[str, str]]) -> None:
         n = len(self.labels)
@@ -74,16 +78,16 @@ class MergeAutomaton:
             self.target[u] = len(self.parent) - 1
             self.gadget.setdefault(u * n + v, k)
 
-    def arc(self, before: int, label: int) -> bool:
-        """Whether the state that `before` leads to has an arc `label`.
+    def arc(self, before: int, label: int, upto: int = NEVER) -> bool:
+        """Whether the state that `before` leads to has an arc `label`, after all gadgets before `upto`.
 
         Its ancestors are the states that `before` led to since it was made, then those its
         right part led to before that, and so on.
         """
         n, gadget = self.n, self.gadget
-        a, until = before, NEVER
+        a, until = before, upto
         while a >= 0:
-            x, by = label, NEVER
+            x, by = label, upto
             while x >= 0:
                 k = gadget.get(a * n + x)
                 if k is not None and k < until and k <= by:
@@ -92,48 +96,48 @@ class MergeAutomaton:
             a, until = self.right[a], self.born[a]
         return True
 
+    def spells_itself(self, label: int) -> bool:
+        """Whether a label is what the merges make of its own letters: its parts are, and their arcs met when it was made."""
+        known = self.itself.get(label)
+        if known is None:
+            u, v = self.left[label], self.right[label]
+            known = self.itself[label] = u < 0 or (self.spells_itself(u) and self.spells_itself(v) and self.arc(u, v, self.born[label]))
+        return known
+
+    def step(self, before: int, label: int) -> bool:
+        """The transition table, filled as it is used: whether `label` may follow `before`, or begin a word (-1)."""
+        key = before * self.n + label
+        ok = self.arcs.get(key)
+        if ok is None:
+            if len(self.arcs) > 1_000_000:
+                self.arcs.clear()
+            ok = self.arcs[key] = self.spells_itself(label) and (before < 0 or self.arc(before, label))
+        return ok
+
     def encode_word(self, word: str) -> list[int]:
         """The accepted path that spells a pre-split word (of byte symbols)."""
-        vocab, arcs, n, size = self.vocab, self.arcs, self.n, len(word)
+        vocab, step, size, longest = self.vocab, self.step, len(word), self.longest
         whole = vocab.get(word + self.suffix)
-        path: list[int] = []
-        at, tries, dead = [0], [size], set()
-        while True:
-            i, j, before = at[-1], tries[-1], path[-1] if path else -1
-            found = -1
-            if i not in dead:
-                while j > i:
-                    if j == size:
-                        t = whole if i == 0 else vocab.get(word[i:] + self.suffix)
-                    else:
-                        t = vocab.get(word[i:j])
-                    if t is not None:
-                        if before < 0:
-                            found = t
-                            break
-                        key = before * n + t
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) > 1_000_000:
-                                arcs.clear()
-                            ok = arcs[key] = self.arc(before, t)
-                        if ok:
-                            found = t
-                            break
-                    j -= 1
-            if found >= 0:
-                path.append(found)
-                if j == size:
-                    return path
-                tries[-1] = j - 1
-                at.append(j)
-                tries.append(min(size, j + self.longest))
-            else:
-                if len(at) == 1:
-                    raise ValueError(f"no path spells {word!r}")
-                at.pop()
-                tries.pop()
-                path.pop()
+        if whole is not None and step(-1, whole):
+            return [whole]
+        # of each prefix the token that ends it and where that begins; none where no path spells the prefix
+        last, start = [-1] * (size + 1), [0] * (size + 1)
+        for j in range(1, size + 1):
+            end = self.suffix if j == size else ""
+            for i in range(max(0, j - longest), j):
+                if i and last[i] < 0:
+                    continue
+                t = vocab.get(word[i:j] + end)
+                if t is not None and step(last[i], t):
+                    last[j], start[j] = t, i
+                    break
+        if last[size] < 0:
+            raise ValueError(f"no path spells {word!r}")
+        path, j = [], size
+        while j:
+            path.append(last[j])
+            j = start[j]
+        return path[::-1]
 
     def pre_split(self, text: str) -> list[str | int]:
         """Words of byte symbols; ids of special tokens."""
