@@ -3,35 +3,49 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import checkpointed, discarded, shared_folder  # noqa: F401
 
 #: Bytes of text that one Arrow slice holds in a Python worker.
 SLICE_BYTES = 4_000_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; make one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df in the shared checkpoint folder; reading them again survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def repeated(docs: DataFrame) -> bool:
+    """Whether some doc_id has several rows; nulls don't count."""
+    return not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def numbered(docs: DataFrame, *order: Column) -> DataFrame:
+    """docs with a number for each row as doc_id, in the order of doc_id, then of `order`; the old one is own_id, and rows without one have no number."""
+    folder = shared_folder(docs.sparkSession, "numbered")
+    ordered = docs.withColumn("own_id", F.col("doc_id")).withColumn("__place", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("own_id"), *order, "__place")
+    # sorted partitions are in order, and so are these numbers; once written they stay
+    ordered.drop("__place").withColumn("doc_id", F.when(F.col("own_id").isNotNull(), F.monotonically_increasing_id())).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def by_row(rows: DataFrame, stage: Callable[[DataFrame], DataFrame], *ids: str) -> DataFrame:
+    """stage(rows), which takes doc_id for a key. Where ids repeat, rows are numbered before, in the order of ids and texts, and the ids in the result named back."""
+    if not repeated(rows):
+        return stage(rows)
+    given = numbered(rows, F.sha2("text", 256))
+    out = stage(given.drop("own_id"))
+    names = given.filter("own_id is not null").select("doc_id", "own_id")
+    for c in ("doc_id", *ids):
+        own = names.select(F.col("doc_id").alias("__number"), F.col("own_id").alias("__own"))
+        out = out.join(own, out[c] == F.col("__number"), "left").withColumn(c, F.col("__own")).select(out.columns)
+    return out
 
 
 def give_back() -> None:

@@ -8,7 +8,6 @@ documents in ascending id order; any block decodes without the others.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, slices, texts
+from .common import shared_folder, slices, texts  # noqa: F401
 from .tokens import TOKEN_SLICE, library_encoder, library_tokenizer, word_ids
 
 LIMIT, SEGMENT, BLOCK_IDS = 18, 256, 1_000_000
@@ -212,9 +211,3 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     decoded = blocks.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return decoded.join(places, ["part", "block"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

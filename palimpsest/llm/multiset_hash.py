@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import by_row, checkpointed
 
 WORDS, LANE_BITS, GUARDED = 21, 20, 21
 #: One bit for each of the three lanes of a packed word, and all their bits.
@@ -21,9 +21,13 @@ FULL = UNITS * ((1 << LANE_BITS) - 1)
 HALF = (1 << 32) - 1
 
 
-def paragraphs(text: Column, width: int = 48) -> Column:
-    """Lines, those of more than `width` code points cut into parts of that length. Empty lines don't count."""
-    return F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % width), F.lit(0))
+#: Where a line is cut: after these at the end of a word, so that what comes before doesn't move the cuts; and a part's most code points.
+ENDS, LONGEST = ".,;:!?gld", 400
+
+
+def paragraphs(text: Column, longest: int = LONGEST) -> Column:
+    """Lines, cut after words that end in one of ENDS, parts of `longest` code points at most. Empty lines don't count."""
+    return F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}?[%s] +|[^\\n]{1,%d}" % (longest, ENDS, longest)), F.lit(0))
 
 
 def fingerprint(parts: Column) -> Column:
@@ -90,25 +94,34 @@ def neighbours(ids: DataFrame) -> DataFrame:
     return linked.select("doc_id", prev["doc_id"].alias("prev_id"), prev["n"].alias("prev_n"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """Fingerprints of every text, of the text with its last quarter replaced by the next one's start, and their likeness.
 
-    Null text counts as empty; an only document is its own next. doc_id is unique; rows with a
-    null doc_id have no neighbours and are left out. Two empty texts have likeness 1, an empty
-    and another 0. Texts of any length are read whole.
+    Null text counts as empty; an only document is its own next. Rows that repeat a doc_id are
+    documents in the order of their texts' digests. Rows with a null doc_id have a fingerprint, but no
+    neighbour and nothing edited. Two empty texts have likeness 1, an empty and another 0. Texts
+    of any length are read whole.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = by_row(given.filter(F.col("doc_id").isNotNull()), lambda rows: with_neighbours(rows, longest))
+    none = lambda t: F.lit(None).cast(t)
+    alone = given.filter(F.col("doc_id").isNull()).select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(paragraphs(F.col("text"), longest))).alias("fingerprint"),
+        none("string").alias("edited_fingerprint"), none("double").alias("near_edited"), none("double").alias("near_next"),
+    )
+    return found.unionByName(alone)
+
+
+def with_neighbours(rows: DataFrame, longest: int) -> DataFrame:
+    """edited_fingerprints of (doc_id, text) without nulls and repeated ids."""
     near = neighbours(rows.select("doc_id", F.length("text").cast("bigint").alias("n")))
-    given = (
-        rows.join(near.hint("shuffle_hash"), "doc_id")
-        .select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), fingerprint(paragraphs(F.col("text"), width)).alias("next_f"))
-    )
+    # each text is hashed once, before the exchange that both sides read
+    hashed = rows.select("doc_id", "text", fingerprint(paragraphs(F.col("text"), longest)).alias("f"))
+    given = hashed.join(near.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), F.col("f").alias("next_f"))
     n = F.length("text")
-    cut = rows.join(given.hint("shuffle_hash"), "doc_id").select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "next_f"
-    )
-    hashed = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(paragraphs(F.col("text"), width)).alias("f"), fingerprint(paragraphs(F.col("edited"), width)).alias("e"), "next_f")
-    signed = hashed.select("*", signs(F.col("f")).alias("fs"), signs(F.col("e")).alias("es"), signs(F.col("next_f")).alias("ns"))
+    cut = hashed.join(given.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), "f", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "next_f")
+    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(paragraphs(F.col("edited"), longest)).alias("e"), "next_f")
+    signed = both.select("*", signs(F.col("f")).alias("fs"), signs(F.col("e")).alias("es"), signs(F.col("next_f")).alias("ns"))
     both_empty = lambda x: F.when((F.col("f")[0] == 0) & (F.col(x)[0] == 0), 1.0).otherwise(0.0)
     return signed.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, coded, mixed, slices, string_hashes, texts, words_of
+from .common import by_row, checkpointed, coded, mixed, shared_folder, slices, string_hashes, texts, words_of
 from .components import components
-from .huffman import shared_folder
 
 POSITIONS, BRANCHES = 128, (2, 2, 1, 1, 1)
 #: Positions of a tree: one for each branch of each path.
@@ -456,14 +455,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     Words are lower-cased (A-Z) runs without ASCII white space. Documents are linked when 100 *
     intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
     reachable, and that document is kept. Null or empty texts have no shingles and are linked
-    with nothing. A null doc_id is linked with nothing, has component_id null and is kept. doc_id is a
-    key: rows that repeat it with the same text share their component. Other columns are not
-    read. Unless `trees` is given, a pair at the threshold is missed by all trees with a probability
+    with nothing. A null doc_id is linked with nothing, has component_id null and is kept. Rows that
+    repeat a doc_id are documents of their own, in the order of their texts' digests; one of them is kept
+    at most. Other columns are not read. Unless `trees` is given, a pair at the threshold is missed by all trees with a probability
     of MISS at most, and by the sketches with about 0.00005 more.
     """
     trees = trees_for(percent) if trees is None else trees
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return by_row(rows, lambda given: classified(given, width, percent, trees), "component_id")
+
+
+def classified(rows: DataFrame, width: int, percent: int, trees: int) -> DataFrame:
+    """near_duplicates of (doc_id, text) whose ids, nulls apart, don't repeat."""
+    spark = rows.sparkSession
     folder = shared_folder(spark, "near")
     signatures(rows, width, trees).write.parquet(folder)
     base = spark.read.parquet(folder)

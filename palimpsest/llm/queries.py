@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import encode_decode
-from .common import documents
+from .common import documents, shared_folder
 from .exact_dedup import exact_dedup
-from .huffman import read_tokens, shared_folder, write_tokens
+from .huffman import read_tokens, write_tokens
 from .multiset_hash import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack_documents

@@ -13,11 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
-from .huffman import shared_folder
+from .common import checkpointed, discarded, shared_folder, slices
 
 RUNS = "doc_id long, lo long, hi long, key long, span long"
 #: Bytes of text that are looked at together; arrays over their windows take about a hundred times as much.
@@ -35,12 +34,6 @@ def written(df: DataFrame, name: str, schema: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(schema).parquet(folder), folder
 
 
-def discarded(spark: SparkSession, folder: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def window_runs(rows: DataFrame, find: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> tuple[DataFrame, str]:
     """find: a slice -> (document in the slice, lo, hi, key, span), lo and hi as units of the document."""
 

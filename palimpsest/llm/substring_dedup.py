@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, coded, mixed, slices, string_hashes, texts, words_of
+from .common import RangeHash, by_row, coded, mixed, slices, string_hashes, texts, words_of
 from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
 WINDOW, ROUNDS = 50, 3
@@ -169,10 +169,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     Words are runs without ASCII white space, unchanged. A word goes when a window of `window`
     consecutive words covers it whose words also start in a document with a smaller doc_id, as
     the input has them. Null or empty texts have no words; null doc_ids lose nothing and take
-    nothing away; rows that repeat a doc_id aren't each other's repeats. Other columns are not
-    read.
+    nothing away; rows that repeat a doc_id are documents in the order of their texts' digests. Other
+    columns are not read.
     """
-    rows = rows_of(docs, id_col, text_col)
+    return by_row(rows_of(docs, id_col, text_col), lambda rows: cleaned(rows, window, rounds, with_text))
+
+
+def cleaned(rows: DataFrame, window: int, rounds: int, with_text: bool) -> DataFrame:
+    """remove_repeats of (doc_id, text) whose ids, nulls apart, don't repeat."""
     text_rows = rows.repartition("doc_id")
     ranges = repeated_ranges(rows, text_rows, window, rounds)
 

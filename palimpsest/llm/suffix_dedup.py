@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, checkpointed, mixed, slices, texts
+from .common import RangeHash, by_row, checkpointed, mixed, slices, texts
 from .repeats import SLICE, by_document, consecutive, listed, ranges_joined, removed_units, rows_of, sharing, window_runs, windows_at
 
 #: A gram of half the window: what shares less than that shares no key.
@@ -275,7 +275,11 @@ def remove_long_matches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     input as it is. Null text counts as empty; null doc_ids lose nothing and take nothing away; a row that
     repeats a doc_id is another place. Other columns are not read.
     """
-    rows = rows_of(docs, id_col, text_col)
+    return by_row(rows_of(docs, id_col, text_col), lambda rows: cleaned(rows, length, gram, with_text))
+
+
+def cleaned(rows: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+    """remove_long_matches of (doc_id, text) whose ids, nulls apart, don't repeat."""
     text_rows = rows.repartition("doc_id")
     ranges = repeated_ranges(rows, text_rows, length, gram)
 

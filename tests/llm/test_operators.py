@@ -92,7 +92,32 @@ def test_multiset_hash(spark, docs, empty, odd):
         assert got[i][:2] == (len(t), hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest())
     assert got[13][2] > 0.5 > got[13][3]
     assert multiset_hash.edited_fingerprints(empty).count() == 0
-    assert multiset_hash.edited_fingerprints(odd).filter("doc_id is null").count() == 0
+    alone = multiset_hash.edited_fingerprints(odd)
+    assert alone.count() == 4 and alone.filter("doc_id is null and fingerprint is not null and near_next is null").count() == 2
+
+
+def test_fingerprints_of_repeated_ids_and_shifted_texts(spark):
+    line = "it was a long road and the old dog would not go on, so we all stood still and held the cold lead.\n"
+    rows_ = [(1, "b"), (1, "a"), (1, "a"), (2, line * 8), (3, "x" + line * 8), (None, "z")]
+    out = multiset_hash.edited_fingerprints(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    texts = ["b", "a", "a", line * 8, "x" + line * 8]  # of one id by digest
+    want = sorted((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + texts[(k + 1) % 5][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(zip((1, 1, 1, 2, 3), texts, strict=True)))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out if r["doc_id"]) == want
+    assert next(r["near_next"] for r in out if r["doc_id"] == 2) > 0.9
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat a doc_id with other texts are judged one by one."""
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    a, b = say(120), say(120)
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (3, say(80)), (None, a)], "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in near_dedup.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
+    removed = sorted((x["doc_id"] or 0, x["n_removed"]) for x in substring_dedup.remove_repeats(df).collect())
+    assert removed == [(0, 0), (1, 0), (1, 0), (2, 120), (3, 0), (3, 120)]
+    gone = sorted((x["doc_id"] or 0, x["n_removed"] == x["n_bytes"]) for x in suffix_dedup.remove_long_matches(df).collect())
+    assert gone == [(0, False), (1, True), (1, True), (2, True), (3, False), (3, True)]
 
 
 def test_automaton(docs, empty, odd):
