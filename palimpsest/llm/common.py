@@ -27,11 +27,11 @@ def repeated(docs: DataFrame) -> bool:
 
 
 def numbered(docs: DataFrame, *order: Column) -> DataFrame:
-    """docs with a number for each row as doc_id, in the order of doc_id, then of `order`; the old one is own_id, and rows without one have no number."""
+    """docs with a number for each row as doc_id, in the order of doc_id, then of `order`; the old one is __own_id, and rows without one have no number."""
     folder = shared_folder(docs.sparkSession, "numbered")
-    ordered = docs.withColumn("own_id", F.col("doc_id")).withColumn("__place", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("own_id"), *order, "__place")
+    ordered = docs.withColumn("__own_id", F.col("doc_id")).withColumn("__place", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("__own_id"), *order, "__place")
     # sorted partitions are in order, and so are these numbers; once written they stay
-    ordered.drop("__place").withColumn("doc_id", F.when(F.col("own_id").isNotNull(), F.monotonically_increasing_id())).write.parquet(folder)
+    ordered.drop("__place").withColumn("doc_id", F.when(F.col("__own_id").isNotNull(), F.monotonically_increasing_id())).write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -40,10 +40,10 @@ def by_row(rows: DataFrame, stage: Callable[[DataFrame], DataFrame], *ids: str)
     if not repeated(rows):
         return stage(rows)
     given = numbered(rows, F.sha2("text", 256))
-    out = stage(given.drop("own_id"))
-    names = given.filter("own_id is not null").select("doc_id", "own_id")
+    out = stage(given.drop("__own_id"))
+    names = given.filter("__own_id is not null").select("doc_id", "__own_id")
     for c in ("doc_id", *ids):
-        own = names.select(F.col("doc_id").alias("__number"), F.col("own_id").alias("__own"))
+        own = names.select(F.col("doc_id").alias("__number"), F.col("__own_id").alias("__own"))
         out = out.join(own, out[c] == F.col("__number"), "left").withColumn(c, F.col("__own")).select(out.columns)
     return out
 
