@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import discarded, numbered, shared_folder
 from palimpsest.llm.exact_dedup import exact_dedup
-from palimpsest.llm.huffman import shared_folder
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.queries import vocabulary
@@ -25,21 +25,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_rows(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with the number of each row as doc_id, in the order of doc_id (nulls last) and text, and the old one as own_id."""
-    ordered = docs.withColumn("own_id", F.col("doc_id")).withColumn("digest", F.sha2("text", 256)).withColumn("place", F.monotonically_increasing_id())
-    folder = shared_folder(docs.sparkSession, "numbered")
-    # sorted partitions are in order, and so are these numbers; once written they stay
-    ordered.orderBy(F.asc_nulls_last("own_id"), "digest", "place").withColumn("doc_id", F.monotonically_increasing_id()).drop("digest", "place").write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
-
-
 def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """stage(docs), which takes doc_id for a key: rows are numbered before if some ids are null or repeat."""
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter("n > 1 or doc_id is null").isEmpty():
         return stage(docs)
-    return stage(numbered(docs)).withColumn("doc_id", F.col("own_id")).select(docs.columns)
+    # a number for every row, those without an id last
+    given = numbered(docs.withColumn("__given_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))), F.sha2("text", 256)).drop("__own_id")
+    return stage(given).withColumn("doc_id", F.col("__given_id")).select(docs.columns)
 
 
 def without(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -74,9 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         folder = shared_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.schema(docs.schema).parquet(folder)
+        if before:
+            discarded(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
