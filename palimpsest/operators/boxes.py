@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.when(~F.isnan(x), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def iou(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
