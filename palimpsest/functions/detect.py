@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import checks as K
 from . import patterns as P
+from .binding import let
 
 #: claims: takes its range whatever lies there. gated: only where no earlier range overlaps, and takes it. passive: the same, but takes nothing.
 CLAIMS, GATED, PASSIVE = 0, 1, 2
@@ -62,8 +63,8 @@ CANDIDATE = "struct<type:string,start:int,end:int,text:string,confidence:double,
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<text, start, end>> of the leftmost matches that don't overlap; ends are exclusive, in code points."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sized = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    gaps = F.split(text, pattern, -1)
+    sized = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))))
     start = F.struct(F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -94,8 +95,7 @@ def claimed(rows: Column) -> Column:
         taken = F.when(blocked | (x["gate"] == PASSIVE), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(F.struct(x["start"].alias("a"), x["end"].alias("b")))))
         return F.struct(kept.alias("kept"), taken.alias("taken"))
 
-    # the fold is interpreted for each element, so the usual empty array is passed by
-    return F.when(F.size(rows) > 0, F.aggregate(rows, start, step, lambda acc: acc["kept"])).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+    return F.aggregate(rows, start, step, lambda acc: acc["kept"])
 
 
 def entities(text: Column, label: Column | None = None, detectors: list[Detector] = DETECTORS) -> Column:
@@ -109,4 +109,4 @@ def entities(text: Column, label: Column | None = None, detectors: list[Detector
         return found
     named = F.lower(label).rlike(P.java(r"\b(name|passenger|patient|customer|guest)\b")) & F.trim(text).rlike(r"^[A-Z][a-z]+(\s[A-Z][a-z]+){1,2}$")
     whole = F.array(F.struct(F.lit("NAME").alias("type"), F.lit(0).alias("start"), F.length(text).alias("end"), F.trim(text).alias("text"), F.lit(0.6).alias("confidence")))
-    return F.when(F.coalesce(named, F.lit(False)), F.concat(found, whole)).otherwise(found)
+    return F.concat(found, F.when(F.coalesce(named, F.lit(False)), whole).otherwise(F.array().cast(f"array<{ENTITY}>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.patterns import java
 
 # Words that say nothing about a field.
@@ -93,23 +94,23 @@ def matched_field(kind: Column, *labels: Column, selector: Column | None = None)
     said = [F.when(F.trim(x) != "", x) for x in labels]
     hints = [] if selector is None else selector_names(selector)
     kept = lambda xs: F.filter(F.array(*map(label_words, xs)), lambda w: w.isNotNull() & (w != ""))
-    words, every_word = kept(said), kept([*said, *hints])
-    label_text, every = F.concat_ws(" ", words), F.concat_ws(" ", *said, *hints)
+    seen = F.struct(kept(said).alias("words"), kept([*said, *hints]).alias("names"), F.concat_ws(" ", *said, *hints).alias("text"), kind.alias("kind"))
+    return let(seen, rule_of)
+
+
+def rule_of(seen: Column) -> Column:
+    """matched_field of a struct of a field's label words, all its names, all its text and its kind."""
+    words, names, every, kind = (seen[n] for n in ("words", "names", "text", "kind"))
     known = F.array(*map(F.lit, sorted({a for r in FIELD_RULES for a in aliases(r[2])})))
-    exact_label = F.arrays_overlap(words, known)
+    label_text, exact_label = F.concat_ws(" ", words), F.arrays_overlap(words, known)
+    row = lambda key, sure, why: F.struct(F.lit(key).cast("string").alias("key"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
     excluded = F.lit(False)
     for p in EXCLUDED:
-        by_label = has(label_text, p)
-        excluded = excluded | by_label | (has(every, p) & ~exact_label) | has(kind, p)
-    exact = F.coalesce(*(F.when(F.arrays_overlap(every_word, F.array(*map(F.lit, aliases(r[2])))), r[0]) for r in FIELD_RULES))
-    pattern = F.coalesce(*(F.when(has(every, r[3]), r[0]) for r in FIELD_RULES))
-    by_type = F.coalesce(*(F.when(kind.isin(r[1]), r[0]) for r in FIELD_RULES if r[1]))
-    fallback = F.when(has(every, LAST_RESORT[1]), LAST_RESORT[0])
-    row = lambda key, sure, why: F.struct(key.alias("key"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
-    none = F.lit(None).cast("string")
-    return (
-        F.when(excluded, row(none, "none", "excluded")).when(kind.isin("password", "input:password"), row(none, "none", "password")).when(exact.isNotNull(), row(exact, "high", "label"))
-        .when(pattern.isNotNull(), row(pattern, "high", "pattern")).when(by_type.isNotNull(), row(by_type, "high", "type")).when(fallback.isNotNull(), row(fallback, "medium", "fallback")).otherwise(row(none, "none", "no match"))
+        excluded = excluded | has(label_text, p) | (has(every, p) & ~exact_label) | has(kind, p)
+    return F.coalesce(
+        F.when(excluded, row(None, "none", "excluded")), F.when(kind.isin("password", "input:password"), row(None, "none", "password")),
+        *(F.when(F.arrays_overlap(names, F.array(*map(F.lit, aliases(r[2])))), row(r[0], "high", "label")) for r in FIELD_RULES), *(F.when(has(every, r[3]), row(r[0], "high", "pattern")) for r in FIELD_RULES),
+        *(F.when(kind.isin(r[1]), row(r[0], "high", "type")) for r in FIELD_RULES if r[1]), F.when(has(every, LAST_RESORT[1]), row(LAST_RESORT[0], "medium", "fallback")), row(None, "none", "no match"),
     )
 
 

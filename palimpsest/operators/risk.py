@@ -68,6 +68,11 @@ def trust_level(url: Column, form_action: Column, kinds: Column) -> Column:
     return F.struct(level.alias("level"), reasons.alias("reasons"))
 
 
+def linked(links: Column, pattern: str) -> Column:
+    """Whether a link's text or target has the pattern."""
+    return F.coalesce(F.exists(links, lambda x: has(x["text"], pattern) | has(x["href"], pattern)), F.lit(False))
+
+
 def compliance(text: Column, url: Column, types: Column, links: Column | None = None) -> Column:
     """struct<score, findings, signals>: 100 less what each finding costs, and what was seen.
 
@@ -78,7 +83,7 @@ def compliance(text: Column, url: Column, types: Column, links: Column | None =
     said = {k: has(text, p) for k, p in SIGNALS.items()}
     if links is not None:
         for k in ("privacy_policy", "do_not_sell", "opt_out"):
-            said[k] = said[k] | F.coalesce(F.exists(links, lambda x, p=SIGNALS[k]: has(x["text"], p) | has(x["href"], p)), F.lit(False))
+            said[k] = said[k] | linked(links, SIGNALS[k])
     collects = F.size(types) > 0
     grave = F.size(F.array_intersect(types, F.array(*map(F.lit, P.HIGH_STAKES_COMPLIANCE))))
     insecure = F.coalesce(F.lower(F.trim(url)).startswith("http://"), F.lit(False))
