@@ -21,14 +21,24 @@ ENTITY_LISTS = {
 }
 
 
+#: What the documents hold none of: numbers of these kinds, right and wrong ones, put after the texts in turn.
+MADE = {
+    "PAN": ["QWEPK4821Z", "QWEZK4821Z", "qwepk4821z"], "MEXICO_CURP": ["ROLM851130MJCDPN07", "ROLM851130XJCDPN07"], "SSN": ["219-09-9999", "666-09-9999", "900-10-1234", "123-00-1234", "219 09 9998"],
+    "IBAN": [fixtures.FRENCH, fixtures.spoilt(fixtures.FRENCH), "DE89370400440532013000"], "UK_NINO": ["JK482913B", "GB482913B", "DK482913B"], "CANADA_SIN": ["193-847-262", fixtures.grouped(fixtures.luhn("19384726"), 3, 3, 3, by="-"), fixtures.luhn("70518264")],
+}
+
+
 def _matched(kind: str, valid: str = "true") -> str:
     pattern = P.PATTERNS[kind].replace("'", "''")
-    return f"SELECT lang, count(*) AS n, count(DISTINCT m) AS n_distinct, min(m) AS first FROM (SELECT lang, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM documents) WHERE {valid} GROUP BY lang"
+    body = "coalesce(text, '') || ' ' || [" + ", ".join(map(text, MADE[kind])) + f"][1 + doc_id % {len(MADE[kind])}]" if kind in MADE else "text"
+    return f"SELECT lang, count(*) AS n, count(DISTINCT m) AS n_distinct, min(m) AS first FROM (SELECT lang, unnest(regexp_extract_all({body}, '{pattern}')) AS m FROM documents) WHERE {valid} GROUP BY lang"
 
 
 def _found(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("lang", F.explode(D.candidates(F.coalesce("text", F.lit("")), D.BY_TYPE[kind])).alias("e"))
+    docs, body = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    if kind in MADE:
+        body = F.concat(body, F.lit(" "), F.element_at(F.array(*map(F.lit, MADE[kind])), (F.col("doc_id") % len(MADE[kind])).cast("int") + 1))
+    rows = docs.select("lang", F.explode(D.candidates(body, D.BY_TYPE[kind])).alias("e"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("e.text").alias("n_distinct"), F.min("e.text").alias("first"))
 
 
@@ -183,19 +193,34 @@ def page_sanitized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 URLS = [("a", "https://x.example.com/a?token=abc&ref=1"), ("b", "https://x.example.com/?Email=a%40b.c&sid=9#top"), ("c", "https://x.example.com/"), ("d", "http://hdfcbank.com.evil.example/login"), ("e", "https://www.sbi.co.in/"), ("f", "https://hdfcbnk.com/"), ("g", "https://pay.icicibank.com/x"), ("h", "https://192.168.0.1/x"), ("i", "not a url"), ("j", None)]
 
 
-@query("WITH " + values("v", "id, params", [("a", "token"), ("b", "email,sid"), *((x, "") for x in "cdefghij")]) + " SELECT id, params FROM v")
-def sensitive_url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(URLS, "id string, url string")
-    return rows.select("id", F.concat_ws(",", boundary.sensitive_params(F.col("url"))).alias("params"))
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its address or, two of three, one of URLS."""
+    odd = F.element_at(F.array(*(F.lit(u).cast("string") for _, u in URLS)), (F.col("page_id") % len(URLS)).cast("int") + 1)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(odd).alias("url"))
+
+
+_U = "u AS (SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN url ELSE [" + ", ".join(text(u) for _, u in URLS) + f"][1 + page_id % {len(URLS)}] END AS url FROM pages)"
 
 
 @query(
-    "WITH " + values("t", "k, trusted", list(enumerate(risk.TRUSTED))) + ", " + values("u", "id, url", URLS) + f", d AS (SELECT id, {HOST_SQL} AS domain FROM u), "
+    f"WITH {_U} SELECT id, coalesce(array_to_string(list_filter(list_transform(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: lower(split_part(p, '=', 1))), lambda n: n IN ("
+    + ", ".join(map(text, P.SENSITIVE_PARAMS))
+    + ")), ','), '') AS params FROM u"
+)
+def sensitive_url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls(spark, sf_dir).select("id", F.concat_ws(",", boundary.sensitive_params(F.col("url"))).alias("params"))
+
+
+_IMITATED = (
+    values("t", "k, trusted", list(enumerate(risk.TRUSTED))) + f", {_U}, d AS (SELECT id, url, {HOST_SQL} AS domain FROM u), "
     "c AS (SELECT d.id, t.k, t.trusted FROM d JOIN t ON (levenshtein(d.domain, t.trusted) BETWEEN 1 AND 2 AND abs(length(d.domain) - length(t.trusted)) <= 3) OR (length(split_part(t.trusted, '.', 1)) >= 3 AND contains(d.domain, split_part(t.trusted, '.', 1)) AND NOT ends_with(d.domain, t.trusted)) "
-    "WHERE NOT EXISTS (SELECT 1 FROM t o WHERE d.domain = o.trusted OR ends_with(d.domain, '.' || o.trusted))) SELECT d.id, d.domain, (SELECT c.trusted FROM c WHERE c.id = d.id ORDER BY k LIMIT 1) AS imitates FROM d"
+    "WHERE NOT EXISTS (SELECT 1 FROM t o WHERE d.domain = o.trusted OR ends_with(d.domain, '.' || o.trusted))), i AS (SELECT d.id, d.url, d.domain, (SELECT c.trusted FROM c WHERE c.id = d.id ORDER BY k LIMIT 1) AS imitates FROM d)"
 )
+
+
+@query(f"WITH {_IMITATED} SELECT id, domain, imitates FROM i")
 def domain_impersonation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(URLS, "id string, url string").withColumn("domain", F.when(F.col("url").isNotNull(), risk.host(F.col("url"))))
+    rows = _urls(spark, sf_dir).withColumn("domain", F.when(F.col("url").isNotNull(), risk.host(F.col("url"))))
     return rows.select("id", "domain", risk.impersonated(F.col("domain")).alias("imitates"))
 
 
@@ -214,7 +239,16 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_headings(table(spark, sf_dir, "pages")).select("page_id", "ord", "level")
 
 
-@query()
+_SKIP = "(?is)" + "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "template")) + "|<!--.*?-->"
+_PLAIN = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
+for _name, _char in pages.NAMED:
+    _PLAIN = f"replace({_PLAIN}, {text(_name)}, {text(_char)})"
+
+
+@query(
+    f"WITH l AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''), {text(_SKIP)}, ' ', 'g'), {text(pages.BREAKS)}, chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages), "
+    "f AS (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x) AS f FROM l) SELECT page_id, k - 1 AS line_no, f[k] AS line FROM (SELECT page_id, f, unnest(range(1, len(f) + 1)) AS k FROM f)"
+)
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_lines(table(spark, sf_dir, "pages"))
 
@@ -235,9 +269,17 @@ def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("c.score").alias("score"), F.concat_ws(",", "c.findings").alias("findings"))
 
 
-@query()
+ASKED = ["enter card number and otp", "your otp", "find a train", "pan and account number"]
+
+
+@query(
+    f"WITH {_IMITATED}, f AS (SELECT id, coalesce(domain, '') NOT IN ('', 'x.example.com') AND NOT ends_with('x.example.com', '.' || domain) AND NOT ends_with(domain, '.x.example.com') AS away, NOT coalesce(regexp_matches(url, '(?i)^https:'), false) AND coalesce(domain, '') <> '' AS open, imitates IS NOT NULL AS alike, id % 4 IN (0, 3) AS many, id % 4 = 0 AS grave FROM i) "
+    "SELECT id, CASE WHEN away OR alike OR grave THEN 'block' WHEN open OR many THEN 'warn' ELSE 'allow' END AS level, array_to_string(list_filter([CASE WHEN open THEN 'NOT_HTTPS' END, CASE WHEN away THEN 'FOREIGN_FORM' END, CASE WHEN alike THEN 'LOOKALIKE' END, CASE WHEN many THEN 'SENSITIVE_COMBINATION' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f"
+)
 def trust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(URLS, "id string, url string").withColumn("kinds", risk.sensitive_kinds(F.lit("enter card number and otp"), F.lit(False)))
+    """Every page with a form to x.example.com and fields of four kinds."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("id") % 4).cast("int") + 1)
+    rows = _urls(spark, sf_dir).withColumn("kinds", risk.sensitive_kinds(asked, F.lit(False)))
     return rows.select("id", risk.trust_level(F.col("url"), F.lit("https://x.example.com/submit"), F.col("kinds")).alias("t")).select("id", "t.level", F.concat_ws(",", "t.reasons").alias("reasons"))
 
 
