@@ -370,14 +370,6 @@ def semantic_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", steps.role(F.col("type"), F.col("is_search"), F.col("in_form"), F.col("is_pagination"), F.col("in_nav")).alias("role"))
 
 
-@query("SELECT page_id, CASE WHEN contains(html, '<table') THEN 'data' WHEN contains(html, '<article') THEN 'article' WHEN len(regexp_extract_all(html, '<a href=')) > 15 THEN 'navigation' ELSE 'mixed' END AS page_type FROM pages")
-def page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    links = pages.page_links(p).withColumn("role", F.lit("content_link"))
-    facts = p.select("page_id", F.col("html").contains("<table").alias("has_table"), F.col("html").contains("<article").alias("has_article"), F.lit(False).alias("modal_open"))
-    return steps.page_types(links, "page_id", "role", facts)
-
-
 STATES = [("IDLE", True), ("OBSERVING", True), ("PLANNING", True), ("EXECUTING_ACTION", True), ("PLANNING", False), ("PLANNING", True), ("STOPPED", True), ("COMPLETED", False), ("IDLE", True)]
 
 

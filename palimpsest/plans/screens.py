@@ -264,15 +264,34 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.interactive(parsed.page_items(table(spark, sf_dir, "pages"))).withColumn("semantic_role", role())
 
 
-@query("SELECT page_id, k - 1 AS ord, CAST(greatest(0, len(regexp_extract_all(t, '(?i)<tr\\b')) - 1) AS INTEGER) AS n_rows FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table\\b.*?</table>') AS l FROM pages)) WHERE k <= 5")
+_TABLES = "html || '<table><tr><th>a</th></tr>' || repeat('<tr><td>x</td></tr>', (page_id % 4)::INTEGER) || '</table>' || CASE WHEN page_id % 3 = 0 THEN '<TABLE></TABLE>' ELSE '' END"
+
+
+@query(f"SELECT page_id, k - 1 AS ord, CAST(greatest(0, len(regexp_extract_all(t, '(?i)<tr\\b')) - 1) AS INTEGER) AS n_rows FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all({_TABLES}, '(?is)<table\\b.*?</table>') AS l FROM pages)) WHERE k <= 5")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five tables of every page with their rows less the head."""
+    """The first five tables of every page, one or two of them added, with their rows less the head."""
     from pyspark.sql import Window
 
-    rows = parsed.of_kind(parsed.page_items(table(spark, sf_dir, "pages")), "table", "n", most=5)
+    more = F.concat(F.lit("<table><tr><th>a</th></tr>"), F.repeat(F.lit("<tr><td>x</td></tr>"), (C("page_id") % 4).cast("int")), F.lit("</table>"), F.when(C("page_id") % 3 == 0, "<TABLE></TABLE>").otherwise(""))
+    p = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
+    rows = parsed.of_kind(parsed.page_items(p), "table", "n", most=5)
     return rows.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1).cast("long").alias("ord"), C("n").alias("n_rows"))
 
 
+@query(
+    f"{WITH}, r AS (SELECT page_id * 3 + ord % 3 AS p, ord, {ROLE_SQL} AS natural_role FROM el), k AS (SELECT p, CASE p % 6 WHEN 1 THEN CASE WHEN ord % 9 = 0 THEN 'search_input' ELSE 'content_link' END WHEN 2 THEN 'content_link' WHEN 3 THEN 'action_button' ELSE natural_role END AS role FROM r), "
+    "n AS (SELECT p, count(*) FILTER (role IN ('form_field', 'dropdown', 'checkbox', 'radio_button')) AS f, count(*) FILTER (role IN ('search_input', 'search_button')) AS s, count(*) FILTER (role IN ('content_link', 'navigation_link')) AS l FROM k GROUP BY p) "
+    "SELECT p AS page, CASE WHEN p % 11 = 0 THEN 'dialog' WHEN f >= 3 THEN 'form' WHEN s > 0 AND l > 5 THEN 'search' WHEN p % 5 = 0 THEN 'data' WHEN p % 4 = 0 THEN 'article' WHEN l > 15 THEN 'navigation' ELSE 'mixed' END AS page_type FROM n"
+)
+def page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven types of pages, from the roles of a third of each user's elements; some pages hold links or buttons only."""
+    p = C("page_id") * 3 + C("ord") % 3
+    r = F.when(C("page") % 6 == 1, F.when(C("ord") % 9 == 0, "search_input").otherwise("content_link")).when(C("page") % 6 == 2, "content_link").when(C("page") % 6 == 3, "action_button").otherwise(role())
+    rows = elements(spark, sf_dir).withColumn("page", p).withColumn("r", r)
+    facts = rows.select("page").distinct().select("page", (C("page") % 5 == 0).alias("has_table"), (C("page") % 4 == 0).alias("has_article"), (C("page") % 11 == 0).alias("modal_open"))
+    return steps.page_types(rows, "page", "r", facts)
+
+
 @query("SELECT page_id, url, regexp_matches(url, '^(https?|file):') AS readable FROM pages")
 def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", E.readable(C("url")).alias("readable"))
