@@ -211,6 +211,28 @@ def action_arguments(action: Column, element_id: Column, target: Column, value:
     )
 
 
+def annotated(decisions: DataFrame, elements: DataFrame, action: Column) -> DataFrame:
+    """Adds consequence (struct<type, risk, reversible> or null) of each decision's element; action is worked out on the elements."""
+    found = elements.withColumn("consequence", action).groupBy("page_id", F.col("id").cast("string").alias("element_id")).agg(F.min_by("consequence", "ord").alias("consequence"))
+    return decisions.join(found, ["page_id", "element_id"], "left")
+
+
+def completion_gate(elements: DataFrame, action_type: Column) -> DataFrame:
+    """(page_id, next, element_id): notify_submit for the first visible element with consequences on a page, done where there is none."""
+    kind = F.when(flag(F.col("visible"), True), action_type)
+    rows = elements.withColumn("kind", kind).groupBy("page_id").agg(F.min_by(F.when(F.col("kind").isNotNull(), F.col("id")), F.when(F.col("kind").isNotNull(), F.col("ord"))).alias("element_id"))
+    return rows.select("page_id", F.when(F.col("element_id").isNull(), "done").otherwise("notify_submit").alias("next"), "element_id")
+
+
+def fast_path(elements: DataFrame, key: Column, store: DataFrame) -> DataFrame:
+    """(page_id, ord, id, key, found_key): empty form fields that a store (owner = page_id, key, value) can fill, by the keys' other names."""
+    from .stores import looked_up
+
+    open_ = elements.filter(is_form_input(F.col("tag"), F.col("type")) & ~populated(F.col("value"), F.col("has_value"))).withColumn("key", key).filter("key is not null")
+    asked = open_.select(F.concat_ws("/", F.col("page_id").cast("string"), F.col("ord").cast("string")).alias("ask_id"), F.col("page_id").alias("owner"), "page_id", "ord", "id", "key")
+    return looked_up(asked, store).filter("found_key is not null").select("page_id", "ord", "id", "key", "found_key")
+
+
 # Outcomes -----------------------------------------------------------------------------------------
 
 

@@ -391,3 +391,32 @@ def grounding_needed(elements: DataFrame, task: Column) -> DataFrame:
     alike = elements.groupBy("page_id", "tag", *(said(F.col(c)).alias(c) for c in ("text", "aria_label", "placeholder"))).agg(F.count_if(shown).alias("n"), F.max(flag(drawn)).alias("drawn"))
     page = alike.groupBy("page_id").agg(F.max(F.when(F.col("tag").isin("button", "input", "a"), F.col("n"))).alias("n"), F.max("drawn").alias("drawn"))
     return page.select("page_id", F.when(looks, "task").when(F.col("drawn"), "canvas").when(F.col("n") >= 3, "alike").otherwise("default").alias("reason"))
+
+
+def with_icons(elements: DataFrame, icons: DataFrame, least: float = 0.6) -> DataFrame:
+    """Adds inferred_label to nameless elements: what a model says of their icon (page_id, id, label, confidence, looks) if it is sure enough, else `icon` where it looks like one."""
+    said_ = F.when(F.col("confidence") >= least, F.col("label")).when(F.col("looks"), "icon")
+    first = icons.groupBy("page_id", "id").agg(F.max_by(F.struct("label", "confidence", "looks"), "confidence").alias("i")).select("page_id", "id", "i.*").select("page_id", "id", said_.alias("inferred"))
+    nameless = F.concat_ws("", *(F.trim(said(F.col(c))) for c in ("text", "aria_label", "placeholder"))) == ""
+    return elements.join(first, ["page_id", "id"], "left").withColumn("inferred_label", F.when(nameless, F.col("inferred"))).drop("inferred")
+
+
+def without_unpainted(elements: DataFrame, unpainted: DataFrame) -> DataFrame:
+    """Adds painted: false for the elements (page_id, id) whose place on the screen shows nothing."""
+    gone = unpainted.select("page_id", "id").distinct().withColumn("__gone", F.lit(True))
+    return elements.join(gone, ["page_id", "id"], "left").withColumn("painted", F.col("__gone").isNull()).drop("__gone")
+
+
+def semantic_view(elements: DataFrame, landmarks: DataFrame, task: Column, role: Column, near: int = 40, far: int = 20) -> DataFrame:
+    """(page_id, ord, id, role, label, region, has_value, enabled, visible, score, tier): the elements of each page that matter to a task, without selectors and values; marks for a value are no label."""
+    modal = F.max(flag(F.col("in_modal")).cast("int")).over(Window.partitionBy("page_id")) == 1
+    rows = regions(elements, landmarks).withColumn("role", role).withColumn("modal", modal)
+    scored = rows.withColumn("score", relevance(rows, task, F.col("role"), F.col("modal")))
+    label = semantic_label(F.col("aria_label"), F.col("placeholder"), F.col("text"))
+    return top_elements(scored, near, far).select("page_id", "ord", "id", "role", F.when(~label.isin(MARKS), label).alias("label"), "region", "has_value", "enabled", "visible", "score", "tier")
+
+
+def match_box(length: Column, start: Column, end: Column) -> Column:
+    """struct<x, y, width, height> of a match in a line of text whose box is x, y, width and height, letters taken as equally wide."""
+    x, w = F.col("x"), F.col("width")
+    return F.when(length > 0, F.struct((x + w * start / length).alias("x"), F.col("y").alias("y"), (w * (end - start) / length).alias("width"), F.col("height").alias("height")))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import detect
+from ..operators import boxes, decisions, fields, stores
 from ..operators import elements as E
 from ..operators import reports as R
+from .agents import _STORE, ORDER, writes
 from .made import ELEMENTS, HISTORY, ITEMS, elements, history, items
 from .registry import query, table
-from .screens import FORM_INPUT, POPULATED
+from .screens import CLEAN, FIRST, FORM_INPUT, MARKS, POPULATED, ROLE_SQL, TASK, role
 
 C = F.col
 URL = "CASE seq % 4 WHEN 0 THEN 'https://shop.example.org/a' WHEN 1 THEN 'http://my-login-page.example.xyz/b' WHEN 2 THEN 'file:///x' END"
@@ -132,3 +135,64 @@ def items_on_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir).filter(~E.said(C("text")).contains("@") & ~E.said(C("aria_label")).contains("4111"))
     return rows.groupBy(R.shown_label(C("text"), C("aria_label"), C("placeholder")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLASS = "CASE WHEN text IN ('Delete account') THEN 'DELETE' WHEN text = 'Submit order' OR type = 'input:submit' THEN 'SUBMIT' END"
+
+
+def _action(name: str = "type"):
+    """The class by text and type alone; words that only move about the page, such as view or previous, make it harmless."""
+    e = F.lit("")
+    return fields.action_class(C("text"), e, e, C("type"), e, e, e)[name]
+
+
+@query(f"WITH {ELEMENTS} SELECT page_id, CASE WHEN id IS NULL THEN 'done' ELSE 'notify_submit' END AS next, id AS element_id FROM (SELECT DISTINCT page_id FROM el) p LEFT JOIN (SELECT page_id, id FROM (SELECT *, {_CLASS} AS k FROM el) WHERE visible AND k IS NOT NULL AND NOT regexp_matches(coalesce(text, ''), '(?i)\\b(view|details|previous)\\b') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord) = 1) USING (page_id)")
+def completion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first visible element of each page with consequences."""
+    return decisions.completion_gate(elements(spark, sf_dir), _action())
+
+
+@query(f"WITH {ELEMENTS}, {HISTORY}, a AS (SELECT page_id, id, arg_min({{'k': CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\\b(view|details|previous)\\b') THEN NULL ELSE {_CLASS} END}}, ord).k AS k FROM el GROUP BY ALL) SELECT coalesce(k, 'none') AS consequence, count(*) AS n FROM hi LEFT JOIN a ON a.page_id = hi.page_id AND a.id = hi.element_id GROUP BY 1")
+def consequence_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the steps' elements would set off, counted."""
+    rows = decisions.annotated(history(spark, sf_dir), elements(spark, sf_dir), _action())
+    return rows.groupBy(F.coalesce("consequence", F.lit("none")).alias("consequence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {ELEMENTS}, {_STORE}, n(key, cand, k) AS (VALUES ('phone', 'phone', 0), ('phone', 'mobile', 1), ('city', 'city', 0), ('email', 'email', 0)), o AS (SELECT *, CASE placeholder WHEN 'City' THEN 'city' WHEN 'Phone number' THEN 'phone' WHEN 'Enter your email' THEN 'email' END AS key FROM el WHERE {FORM_INPUT} AND NOT {POPULATED}) "
+    "SELECT o.page_id, o.ord, o.key, arg_min(n.cand, n.k) AS found_key FROM o JOIN n ON n.key = o.key JOIN st ON st.owner = o.page_id AND st.key = n.cand AND trim(st.value) <> '' GROUP BY ALL"
+)
+def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty fields that each user's store can fill without asking anybody."""
+    key = F.when(C("placeholder") == "City", "city").when(C("placeholder") == "Phone number", "phone").when(C("placeholder") == "Enter your email", "email")
+    return decisions.fast_path(elements(spark, sf_dir), key, stores.store_state(writes(spark, sf_dir), F.struct(*ORDER))).select("page_id", "ord", "key", "found_key")
+
+
+@query(
+    f"WITH {ELEMENTS} SELECT page_id, ord, s - 1 AS start, round(x + width * (s - 1) / length(text), 6) AS x, round(width * 15 / length(text), 6) AS width FROM (SELECT *, instr(text, 'joe@example.org') AS s FROM el) WHERE s > 0 AND y + height > 0 AND y < 768 AND x + width * (s - 1) / length(text) < 1024"
+)
+def positioned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses in the elements' texts with their own boxes, as far as they lie in view."""
+    rows = elements(spark, sf_dir).withColumn("e", F.explode(detect.candidates(E.said(C("text")), detect.BY_TYPE["EMAIL"])))
+    boxed = rows.withColumn("b", E.match_box(F.length("text"), C("e.start"), C("e.end"))).filter(boxes.in_view(C("b.x"), C("b.y"), C("b.width"), C("b.height"), F.lit(1024), F.lit(768)))
+    return boxed.select("page_id", "ord", C("e.start").cast("long").alias("start"), F.round("b.x", 6).alias("x"), F.round("b.width", 6).alias("width"))
+
+
+@query(f"WITH {ELEMENTS}, v AS (SELECT {CLEAN.format(FIRST)} AS label, {ROLE_SQL} AS role FROM el) SELECT role, count(*) AS n, count(label) AS labelled FROM v GROUP BY role")
+def semantic_roles_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic view with room for all elements, counted by role."""
+    own = elements(spark, sf_dir)
+    marks = spark.createDataFrame(MARKS, "ord int, role string, x double, y double, width double, height double")
+    view = E.semantic_view(own, own.select("page_id").distinct().join(F.broadcast(marks)), F.lit(TASK), role(), 10**9, 0)
+    return view.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"))
+
+
+@query(f"WITH {ELEMENTS} SELECT inferred_label, painted, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(text, '')) || trim(coalesce(aria_label, '')) || trim(coalesce(placeholder, '')) = '' THEN CASE id[-1] WHEN '1' THEN 'menu' WHEN '2' THEN 'icon' END END AS inferred_label, id[-1] <> '7' AS painted FROM el) GROUP BY ALL")
+def icon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nameless elements from what their icons show, and what isn't painted."""
+    own = elements(spark, sf_dir)
+    last = F.right(C("id"), F.lit(1))
+    icons = own.select("page_id", "id", F.lit("menu").alias("label"), F.when(last == "1", 0.9).otherwise(0.3).alias("confidence"), last.isin("1", "2").alias("looks"))
+    out = E.without_unpainted(E.with_icons(own, icons), own.filter(last == "7"))
+    return out.groupBy("inferred_label", "painted").agg(F.count(F.lit(1)).alias("n"))
