@@ -151,6 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_at: float | None = None) -> DataFrame:
     """One row per input row: doc_id, severity (expected, 0 to 3), grade (likeliest), p_toxic, toxic.
 
+    Severity orders texts by how much of what marks toxic rows they have; the labels hold no
+    grades, so nothing else says what it should be.
     Null text counts as empty, which is clean unless the sample's empty texts weren't. Whole
     texts are read. Null and repeated doc_ids are kept; other columns are not read.
     """

@@ -346,5 +346,12 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.score(empty, model).count() == 0
     assert toxicity.score(odd, model).count() == 4
     assert toxicity.clean_rows(odd, model).columns == odd.columns
+    toxic = said[said.toxic == 1]
+    assert toxic.severity.mean() > said[said.toxic == 0].severity.mean() + 0.5
+    # more of a toxic text's words never make it milder than none of them; a repeated text has one severity, however long
+    text = docs_.join(labels.filter("toxic = 1 and quality = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    steps = spark.createDataFrame([(0, ""), (1, text), (2, text), (3, (text + " ") * 200)], "doc_id long, text string")
+    by_id = {r["doc_id"]: r["severity"] for r in toxicity.score(steps, model).collect()}
+    assert by_id[0] < by_id[1] == by_id[2] == by_id[3]
     blank = toxicity.train(docs_.limit(0), labels)
     assert toxicity.score(odd, blank).filter("toxic").count() == 0
