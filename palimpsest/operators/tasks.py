@@ -74,6 +74,50 @@ def navigation_url(task: Column) -> Column:
     return F.when(url != "", url).when(domain != "", F.concat(F.lit("https://"), domain))
 
 
+# Fixed values: (name, what names it, address) of known sites, in order.
+SITES = [
+    ("leetcode", r"\bleetcode\b", "https://leetcode.com"),
+    ("google", r"\bgoogle\b", "https://www.google.com"),
+    ("amazon", r"\bamazon\b", "https://www.amazon.com"),
+    ("github", r"\bgithub\b", "https://github.com"),
+    ("wikipedia", r"\bwikipedia\b", "https://www.wikipedia.org"),
+    ("youtube", r"\byoutube\b", "https://www.youtube.com"),
+    ("reddit", r"\breddit\b", "https://www.reddit.com"),
+    ("twitter", r"\btwitter\b|\bx\.com\b", "https://x.com"),
+    ("hackernews", r"\bhacker\s*news\b", "https://news.ycombinator.com"),
+    ("stackoverflow", r"\bstack\s*overflow\b", "https://stackoverflow.com"),
+    ("coursera", r"\bcoursera\b", "https://www.coursera.org"),
+    ("nptel", r"\bnptel\b", "https://nptel.ac.in"),
+    ("zerodha", r"\bzerodha\b", "https://zerodha.com"),
+    ("linkedin", r"\blinkedin\b", "https://www.linkedin.com"),
+    ("mdn", r"\bmdn\b|\bmozilla\s*docs\b", "https://developer.mozilla.org"),
+]
+# Searches on two of them, and what asks for a page to be opened.
+SEARCHES = [(r"(?:search|look)\s+(?:for\s+)?(.+?)\s+on\s+google", "https://www.google.com/search?q="), (r"(?:search|look|find)\s+(?:for\s+)?(.+?)\s+on\s+amazon", "https://www.amazon.com/s?k=")]
+GOING = r"(open|go to|navigate to|visit|launch|check|access|load)"
+
+
+def encoded(text: Column) -> Column:
+    """Text as a part of a URL: all but letters, digits and - _ . ! ~ * ' ( ) escaped."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def destination(task: Column) -> Column:
+    """Where a task goes first: a URL or domain it names, a search on a known site, a known site it opens, begins with or works on; null without one."""
+    task = F.trim(task)
+    found = [navigation_url(task)]
+    for pattern, base in SEARCHES:
+        words = F.regexp_extract(task, "(?i)" + java(pattern), 1)
+        found.append(F.when(words != "", F.concat(F.lit(base), encoded(F.trim(words)))))
+    low = F.lower(task)
+    for name, pattern, url in SITES:
+        found.append(F.when(has(task, pattern) & (has(task, GOING) | low.startswith(name) | low.contains(f"on {name}")), url))
+    return F.coalesce(*found)
+
+
 def tokens_needed(text: Column, images: Column | None = None) -> Column:
     """Estimated prompt tokens: a token for each 3.6 characters, 1600 for an image."""
     n = F.ceil(F.length(F.coalesce(text, F.lit(""))) / 3.6)

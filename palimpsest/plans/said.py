@@ -9,6 +9,7 @@ from ..functions import detect
 from ..operators import boxes, decisions, fields, stores
 from ..operators import elements as E
 from ..operators import reports as R
+from ..operators import tasks
 from .agents import _STORE, ORDER, writes
 from .made import ELEMENTS, HISTORY, ITEMS, elements, history, items
 from .registry import query, table
@@ -196,3 +197,24 @@ def icon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     icons = own.select("page_id", "id", F.lit("menu").alias("label"), F.when(last == "1", 0.9).otherwise(0.3).alias("confidence"), last.isin("1", "2").alias("looks"))
     out = E.without_unpainted(E.with_icons(own, icons), own.filter(last == "7"))
     return out.groupBy("inferred_label", "painted").agg(F.count(F.lit(1)).alias("n"))
+
+
+VERBS = ["open", "search for red & blue shoes on", "look for", "visit", "tell me about", "find cheap pens on", "go to", "read"]
+PLACES = ["GitHub", "google", "Amazon", "hacker news", "stack  overflow", "mdn", "x.com", "https://a.example/p?q=1", "example.dev/x now", "nowhere", "wikipedia please", "YouTube"]
+_TASK = "[" + ", ".join(f"'{v}'" for v in VERBS) + f"][1 + event_id % {len(VERBS)}] || ' ' || [" + ", ".join(f"'{p}'" for p in PLACES) + f"][1 + event_id // {len(VERBS)} % {len(PLACES)}]"
+
+
+@query(
+    "SELECT task, url, count(*) AS n FROM (SELECT task, CASE WHEN contains(task, 'https://') THEN 'https://a.example/p?q=1' WHEN contains(task, 'example.dev') THEN 'https://example.dev/x' WHEN contains(task, 'x.com') THEN 'https://x.com' "
+    "WHEN regexp_matches(task, '(?i)(search|look) +(for +)?.+ on +google') THEN 'https://www.google.com/search?q=' || url_encode(trim(regexp_extract(task, '(?i)(?:search|look) +(?:for +)?(.+?) +on +google', 1))) "
+    "WHEN regexp_matches(task, '(?i)(search|look|find) +(for +)?.+ on +amazon') THEN 'https://www.amazon.com/s?k=' || url_encode(trim(regexp_extract(task, '(?i)(?:search|look|find) +(?:for +)?(.+?) +on +amazon', 1))) "
+    "WHEN NOT (regexp_matches(task, '^(open|visit|go to) ') OR contains(task, ' on ')) THEN NULL WHEN contains(lower(task), 'google') THEN 'https://www.google.com' WHEN contains(lower(task), 'amazon') THEN 'https://www.amazon.com' WHEN contains(lower(task), 'github') AND (NOT contains(task, ' on ') OR contains(lower(task), 'on github')) THEN 'https://github.com' "
+    "WHEN contains(task, 'wikipedia') THEN 'https://www.wikipedia.org' WHEN contains(task, 'YouTube') THEN 'https://www.youtube.com' WHEN contains(task, 'hacker') AND NOT contains(task, ' on ') THEN 'https://news.ycombinator.com' WHEN contains(task, 'stack') AND NOT contains(task, ' on ') THEN 'https://stackoverflow.com' WHEN contains(task, 'mdn') THEN 'https://developer.mozilla.org' END AS url "
+    f"FROM (SELECT {_TASK} AS task FROM events)) GROUP BY ALL"
+)
+def task_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where tasks of eight verbs and twelve places go."""
+    e = C("event_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs)).cast("int") + 1)
+    task = F.concat(pick(VERBS, e), F.lit(" "), pick(PLACES, F.floor(e / len(VERBS))))
+    return table(spark, sf_dir, "events").select(task.alias("task")).groupBy("task", tasks.destination(C("task")).alias("url")).agg(F.count(F.lit(1)).alias("n"))
