@@ -103,7 +103,8 @@ def validated(decisions: DataFrame, elements: DataFrame) -> DataFrame:
 def resolved(decisions: DataFrame, elements: DataFrame) -> DataFrame:
     """Adds element_id and tier: what `target` names, by selector (1), #id (2), id (3), a selector that holds #id (4), one that ends in it or the other way round, in any case (5).
 
-    Names that match exactly are looked up; only the others meet all elements of their page.
+    Names that match exactly are looked up; only the others, each once, meet all elements of
+    their page.
     """
     target = F.trim("target")
     rows = decisions.withColumn("t", F.nullif(target, F.lit("")))
@@ -111,11 +112,11 @@ def resolved(decisions: DataFrame, elements: DataFrame) -> DataFrame:
     keys = own.select("page_id", "ord", "e_id", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("tier")), F.struct(F.concat(F.lit("#"), "e_id").alias("t"), F.lit(2).alias("tier")), F.struct(F.col("e_id").alias("t"), F.lit(3).alias("tier")))).alias("k"))
     exact = keys.filter("k.t is not null").groupBy("page_id", F.col("k.t").alias("t")).agg(F.min(F.struct("k.tier", "ord", "e_id")).alias("m"))
     rows = rows.join(exact, ["page_id", "t"], "left")
-    others = rows.filter("m is null and t is not null").select("decision_id", "page_id", "t").join(own.filter("s is not null"), "page_id")
+    others = rows.filter("m is null and t is not null").select("page_id", "t").distinct().join(own.filter("s is not null"), "page_id")
     low, sel = F.lower("t"), F.lower("s")
     tier = F.when(F.col("t").startswith("#") & F.col("s").contains(F.col("t")), 4).when(sel.endswith(low) | low.endswith(sel), 5)
-    near = others.withColumn("tier", tier).filter("tier is not null").groupBy("decision_id").agg(F.min(F.struct("tier", "ord", "e_id")).alias("n"))
-    out = rows.join(near, "decision_id", "left").withColumn("m", F.coalesce("m", "n"))
+    near = others.withColumn("tier", tier).filter("tier is not null").groupBy("page_id", "t").agg(F.min(F.struct("tier", "ord", "e_id")).alias("n"))
+    out = rows.join(near, ["page_id", "t"], "left").withColumn("m", F.coalesce("m", "n"))
     return out.select(*decisions.columns, F.col("m.e_id").alias("element_id"), F.col("m.tier").alias("tier"))
 
 
