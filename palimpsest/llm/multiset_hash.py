@@ -22,7 +22,7 @@ HALF = (1 << 32) - 1
 
 
 #: Where a line is cut: after these at the end of a word, so that what comes before doesn't move the cuts; and a part's most code points.
-ENDS, LONGEST = ".,;:!?gld", 400
+ENDS, LONGEST = ".,;:!?gl", 400
 
 
 def paragraphs(text: Column, longest: int = LONGEST) -> Column:
@@ -115,12 +115,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def with_neighbours(rows: DataFrame, longest: int) -> DataFrame:
     """edited_fingerprints of (doc_id, text) without nulls and repeated ids."""
     near = neighbours(rows.select("doc_id", F.length("text").cast("bigint").alias("n")))
-    # each text is hashed once, before the exchange that both sides read
-    hashed = rows.select("doc_id", "text", fingerprint(paragraphs(F.col("text"), longest)).alias("f"))
-    given = hashed.join(near.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), F.col("f").alias("next_f"))
+    # both joins read one exchange of the texts; hashed before it there would be two, as Spark takes no two lambdas for one
+    given = rows.join(near.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), fingerprint(paragraphs(F.col("text"), longest)).alias("next_f"))
     n = F.length("text")
-    cut = hashed.join(given.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), "f", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "next_f")
-    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(paragraphs(F.col("edited"), longest)).alias("e"), "next_f")
+    cut = rows.join(given.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "next_f")
+    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(paragraphs(F.col("text"), longest)).alias("f"), fingerprint(paragraphs(F.col("edited"), longest)).alias("e"), "next_f")
     signed = both.select("*", signs(F.col("f")).alias("fs"), signs(F.col("e")).alias("es"), signs(F.col("next_f")).alias("ns"))
     both_empty = lambda x: F.when((F.col("f")[0] == 0) & (F.col(x)[0] == 0), 1.0).otherwise(0.0)
     return signed.select(
