@@ -104,6 +104,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = by_row(given.filter(F.col("doc_id").isNotNull()), lambda rows: with_neighbours(rows, longest))
+    if given.filter(F.col("doc_id").isNull()).isEmpty():
+        return found  # by itself, as Spark does not share the exchange of texts inside a union
     none = lambda t: F.lit(None).cast(t)
     alone = given.filter(F.col("doc_id").isNull()).select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(paragraphs(F.col("text"), longest))).alias("fingerprint"),
