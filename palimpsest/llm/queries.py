@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .automaton import encode_decode
 from .common import documents, shared_folder
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .huffman import read_tokens, write_tokens
+from .infilling import digests
+from .language_id import held_out_languages
 from .multiset_hash import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -104,5 +107,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_toxicity, op8_near_dedup, op9_suffix_dedup, op10_token_files)}
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(documents(spark, sf_dir))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+d AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h IS NULL OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT *, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m, substr(t, greatest(a, b) + 1) AS s FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), shift_every=7)
+
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_bpe_codec, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_toxicity, op8_near_dedup, op9_suffix_dedup, op10_token_files, op11_fill_in_middle, op12_language_id, op13_hard_negatives)}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op11_fill_in_middle": OP11_SQL, "op13_hard_negatives": OP13_SQL}
