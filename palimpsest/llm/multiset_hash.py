@@ -1,10 +1,13 @@
 """Homomorphic multiset hash of documents, in DataFrame functions only.
 
-A document is the multiset of its paragraphs. Each paragraph hashes to a wide vector: four
-lanes of 32 random bits, and 126 lanes of one random bit. A fingerprint is the sum of the
-paragraphs' vectors, the first lanes modulo 2**32, the others modulo 2**20, so it does not
-depend on order, and paragraphs are inserted or deleted by adding or subtracting fingerprints.
-The one-bit lanes, read as signs, also estimate how many paragraphs two documents share.
+A document is the multiset of its paragraphs, the lines that aren't empty. Each hashes to a wide
+vector: four lanes of 32 random bits of the whole paragraph, and 126 lanes that count one
+random bit of each of its pieces. A fingerprint is the sum of the paragraphs' vectors, the
+first lanes modulo 2**32, the others modulo 2**20, so it does not depend on order, and
+paragraphs are inserted or deleted by adding or subtracting their fingerprints. The one-bit
+lanes, read as signs, also estimate how many pieces two documents share. A piece that a
+paragraph has n times counts 1 + log2(n) times, so that a word said over and over does not
+outweigh all else.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_row, checkpointed
+from ..functions.binding import let
+from .common import by_row, checkpointed, shared_folder
 
 WORDS, LANE_BITS, GUARDED = 21, 20, 21
 #: One bit for each of the three lanes of a packed word, and all their bits.
@@ -21,26 +25,55 @@ FULL = UNITS * ((1 << LANE_BITS) - 1)
 HALF = (1 << 32) - 1
 
 
-#: Where a line is cut: after these at the end of a word, so that what comes before doesn't move the cuts; and a part's most code points.
-ENDS, LONGEST = ".,;:!?gl", 400
+#: One word in so many ends a part, and the most code points of a part.
+PART_WORDS, LONGEST = 4, 80
+#: Stands after a word that ends a part.
+CUT = "\x01"
+#: Times that a repeated piece of a paragraph counts at, after the first.
+POWERS = [1 << k for k in range(1, 31)]
 
 
-def paragraphs(text: Column, longest: int = LONGEST) -> Column:
-    """Lines, cut after words that end in one of ENDS, parts of `longest` code points at most. Empty lines don't count."""
-    return F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}?[%s] +|[^\\n]{1,%d}" % (longest, ENDS, longest)), F.lit(0))
+def paragraphs(text: Column) -> Column:
+    """The lines of a text. Empty ones don't count."""
+    return F.filter(F.split(text, "\n"), lambda p: p != "")
 
 
-def fingerprint(parts: Column) -> Column:
-    """array<bigint>: count, four wide lanes, 2 * 21 packed words of three lanes each."""
-    hashes = F.transform(parts, lambda p: F.array(F.xxhash64(p), F.xxhash64(p, F.lit(1))))
-    zero = F.array_repeat(F.lit(0).cast("bigint"), 5 + 2 * WORDS)
+def pieces(paragraph: Column, words: int = PART_WORDS) -> Column:
+    """A paragraph, cut after words whose hash says so, about every `words` words: what comes before or after doesn't move the cuts.
 
-    def vector(h: Column) -> list[Column]:
-        a, b = h[0], h[1]
-        wide = [x for v in (a, b) for x in (v.bitwiseAND(F.lit(HALF)), F.shiftrightunsigned(v, 32))]
-        return [F.lit(1).cast("bigint"), *wide, *(F.shiftrightunsigned(v, k).bitwiseAND(F.lit(UNITS)) for v in (a, b) for k in range(WORDS))]
+    A letter of a script without case, which may have no spaces, is a word. A piece has LONGEST code points at most.
+    """
+    spaced = F.when(paragraph.rlike("\\p{Lo}"), F.regexp_replace(paragraph, "(\\p{Lo})", "$1 ")).otherwise(paragraph)
+    marked = F.transform(F.split(spaced, " "), lambda w: F.when(F.xxhash64(w) % words == 0, F.concat(w, F.lit(CUT))).otherwise(w))
+    return F.regexp_extract_all(F.array_join(marked, " "), F.lit("[^%s]{1,%d}" % (CUT, LONGEST)), F.lit(0))
+
+
+def damped(hashes: Column) -> Column:
+    """Hashes of pieces, each once for its first, second, fourth, eighth ... time, with another hash every time."""
+
+    def times(s: Column) -> Column:
+        """s is sorted, so the n-th equal element at i has its first at i - n + 1."""
+        said = lambda i, x: F.get(s, i).eqNullSafe(x)
+        again = lambda x, i: F.transform(F.filter(F.array(*map(F.lit, POWERS)), lambda n: said(i - n + 1, x) & ~said(i - n, x)), lambda n: F.xxhash64(x, n))
+        return F.flatten(F.transform(s, lambda x, i: F.when(said(i - 1, x), again(x, i)).otherwise(F.array(x))))
+
+    return let(F.sort_array(hashes), times)
 
-    return F.aggregate(hashes, zero, lambda acc, h: added(acc, F.array(*vector(h))))
+
+def fingerprint(of: Column, words: int = PART_WORDS) -> Column:
+    """Of an array of paragraphs, array<bigint>: count of pieces, four wide lanes, 2 * 21 packed words of three lanes each."""
+    return let(of, lambda lines: _summed(lines, words))
+
+
+def _summed(lines: Column, words: int) -> Column:
+    zero = F.lit(0).cast("bigint")
+    whole = F.transform(lines, lambda p: F.array(F.xxhash64(p), F.xxhash64(p, F.lit(1))))
+    halves = lambda v: [v.bitwiseAND(F.lit(HALF)), F.shiftrightunsigned(v, 32)]
+    wide = F.aggregate(whole, F.array_repeat(zero, 4), lambda acc, h: F.zip_with(acc, F.array(*halves(h[0]), *halves(h[1])), lambda x, y: (x + y).bitwiseAND(F.lit(HALF))))
+    hashes = F.flatten(F.transform(lines, lambda p: damped(F.transform(pieces(p, words), lambda x: F.xxhash64(x)))))
+    bits = lambda v: [F.shiftrightunsigned(v, k).bitwiseAND(F.lit(UNITS)) for k in range(WORDS)]
+    lanes = lambda found: F.aggregate(F.transform(found, lambda h: F.array(h, F.xxhash64(h))), F.array_repeat(zero, 2 * WORDS), lambda acc, h: F.zip_with(acc, F.array(*bits(h[0]), *bits(h[1])), lambda x, y: (x + y).bitwiseAND(F.lit(FULL))))
+    return let(hashes, lambda found: F.concat(F.array(F.size(found).cast("bigint")), wide, lanes(found)))
 
 
 def masks() -> Column:
@@ -69,7 +102,7 @@ def signs(f: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Cosine of the sign lanes, 0 to 1: about the share of paragraphs in common. Both empty: 1."""
+    """Cosine of the sign lanes, 0 to 1: about the share of pieces in common. Both empty: 1."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -94,7 +127,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     return linked.select("doc_id", prev["doc_id"].alias("prev_id"), prev["n"].alias("prev_n"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PART_WORDS) -> DataFrame:
     """Fingerprints of every text, of the text with its last quarter replaced by the next one's start, and their likeness.
 
     Null text counts as empty; an only document is its own next. Rows that repeat a doc_id are
@@ -103,25 +136,31 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of any length are read whole.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = by_row(given.filter(F.col("doc_id").isNotNull()), lambda rows: with_neighbours(rows, longest))
+    found = by_row(given.filter(F.col("doc_id").isNotNull()), lambda rows: with_neighbours(rows, words))
     if given.filter(F.col("doc_id").isNull()).isEmpty():
         return found  # by itself, as Spark does not share the exchange of texts inside a union
     none = lambda t: F.lit(None).cast(t)
     alone = given.filter(F.col("doc_id").isNull()).select(
-        "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(paragraphs(F.col("text"), longest))).alias("fingerprint"),
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(paragraphs(F.col("text")), words)).alias("fingerprint"),
         none("string").alias("edited_fingerprint"), none("double").alias("near_edited"), none("double").alias("near_next"),
     )
     return found.unionByName(alone)
 
 
-def with_neighbours(rows: DataFrame, longest: int) -> DataFrame:
-    """edited_fingerprints of (doc_id, text) without nulls and repeated ids."""
-    near = neighbours(rows.select("doc_id", F.length("text").cast("bigint").alias("n")))
-    # both joins read one exchange of the texts; hashed before it there would be two, as Spark takes no two lambdas for one
-    given = rows.join(near.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), fingerprint(paragraphs(F.col("text"), longest)).alias("next_f"))
+def with_neighbours(rows: DataFrame, words: int) -> DataFrame:
+    """edited_fingerprints of (doc_id, text) without nulls and repeated ids.
+
+    Every text is hashed once, and what comes of it written. Texts are exchanged once: the join
+    that takes their starts and the one that edits them read the same exchange.
+    """
+    folder = shared_folder(rows.sparkSession, "fingerprints")
+    rows.select("doc_id", F.length("text").cast("bigint").alias("n"), fingerprint(paragraphs(F.col("text")), words).alias("f")).write.parquet(folder)
+    hashed = rows.sparkSession.read.parquet(folder)
+    near, own = neighbours(hashed.select("doc_id", "n")), hashed.select("doc_id", "f")
+    given = rows.join(near.hint("shuffle_hash"), "doc_id").join(own.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), F.col("f").alias("next_f"))
     n = F.length("text")
-    cut = rows.join(given.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "next_f")
-    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(paragraphs(F.col("text"), longest)).alias("f"), fingerprint(paragraphs(F.col("edited"), longest)).alias("e"), "next_f")
+    cut = rows.join(given.hint("shuffle_hash"), "doc_id").join(own.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "f", "next_f")
+    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(paragraphs(F.col("edited")), words).alias("e"), "next_f")
     signed = both.select("*", signs(F.col("f")).alias("fs"), signs(F.col("e")).alias("es"), signs(F.col("next_f")).alias("ns"))
     both_empty = lambda x: F.when((F.col("f")[0] == 0) & (F.col(x)[0] == 0), 1.0).otherwise(0.0)
     return signed.select(

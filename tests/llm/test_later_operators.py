@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import hard_negatives, infilling, language_id, queries
+from palimpsest.llm import hard_negatives, infilling, language_id, multiset_hash, queries
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, prefix string, x long"
@@ -176,3 +177,38 @@ def test_hard_negatives_of_repeated_ids(spark):
 def test_large_scores_stay_exact():
     a, b = np.array([[2**30, 1], [3, 5]], np.int64), np.array([[2**30, -1], [7, 2]], np.int64)
     assert hard_negatives.products(a, b).tolist() == [[2**60 - 1, 7 * 2**30 + 2], [3 * 2**30 - 5, 31]]
+
+
+def test_fingerprint_laws(spark):
+    """Repeated paragraphs are added and removed like others; order doesn't matter, the words of a paragraph do."""
+    f = lambda t: multiset_hash.fingerprint(multiset_hash.paragraphs(F.lit(t)))
+    line, spam, han = "the quick brown fox jumps over it", "no " * 300, "文字文字漢"
+    laws = {
+        "twice": multiset_hash.added(f(line), f(line)) == f(f"{line}\n{line}"), "spam": multiset_hash.added(f(spam), f(spam)) == f(f"{spam}\n\n{spam}"), "order": f(f"{line}\n{spam}\n{han}") == f(f"{han}\n{line}\n{spam}"),
+        "remove": multiset_hash.removed(f(f"{line}\n{spam}\n{line}"), f(line)) == f(f"{spam}\n{line}"), "words": f(line) != f("fox quick brown the jumps over it"), "count": f(line) != f(f"{line}\n{line}"), "none": multiset_hash.removed(f(line), f(line)) == f(""),
+    }
+    [r] = spark.range(1).select(*(v.alias(k) for k, v in laws.items())).collect()
+    assert all(r.asDict().values()), r
+    # the 300 equal pieces count for their first, second, fourth ... time
+    [r] = spark.range(1).select(multiset_hash.damped(F.array_repeat(F.lit(5).cast("bigint"), 300)).alias("d")).collect()
+    assert len(set(r["d"])) == len(r["d"]) == 9
+
+
+def test_likeness_against_brute_force(spark):
+    """The estimate is near the cosine of the texts' pieces, of which the edited text has about three quarters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    edited = [(i, texts[i], texts[i][: len(texts[i]) - len(texts[i]) // 4] + texts[ids[(k + 1) % len(ids)]][: len(texts[i]) // 4]) for k, i in enumerate(ids)]
+    own = lambda c: F.flatten(F.transform(multiset_hash.paragraphs(F.col(c)), lambda p: multiset_hash.damped(F.transform(multiset_hash.pieces(p), lambda x: F.xxhash64(x)))))
+    found = spark.createDataFrame(edited, "doc_id long, a string, b string").select("doc_id", F.length("a").alias("n"), own("a").alias("a"), own("b").alias("b")).collect()
+    near = {r["doc_id"]: r["near_edited"] for r in multiset_hash.edited_fingerprints(docs).collect()}
+    off, said = [], []
+    for r in found:
+        if r["n"] > 300:
+            a, b = Counter(r["a"]), Counter(r["b"])
+            true = sum(a[x] * b[x] for x in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            off.append(abs(near[r["doc_id"]] - true))
+            said.append(near[r["doc_id"]])
+    assert np.mean(off) < 0.05 and np.max(off) < 0.3
+    assert np.mean(np.array(said) >= 0.5) >= 0.99
