@@ -2,12 +2,12 @@
 
 A document is the multiset of its paragraphs, the lines that aren't empty. Each hashes to a wide
 vector: four lanes of 32 random bits of the whole paragraph, and 126 lanes that count one
-random bit of each of its pieces. A fingerprint is the sum of the paragraphs' vectors, the
-first lanes modulo 2**32, the others modulo 2**20, so it does not depend on order, and
-paragraphs are inserted or deleted by adding or subtracting their fingerprints. The one-bit
-lanes, read as signs, also estimate how many pieces two documents share. A piece that a
-paragraph has n times counts 1 + log2(n) times, so that a word said over and over does not
-outweigh all else.
+random bit of each of its pieces. A fingerprint is the sum of the paragraphs' vectors, the first
+lanes modulo 2**32, the others, three in a number, modulo 2**64, so it does not
+depend on order, and paragraphs are inserted or deleted by adding
+or subtracting their fingerprints. The one-bit lanes, read as signs, also estimate how many
+pieces two documents share. A piece that a paragraph has n times counts 1 + log2(n) times, so
+that a word said over and over does not outweigh all else.
 """
 
 from __future__ import annotations
@@ -18,16 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from .common import by_row, checkpointed, shared_folder
 
-WORDS, LANE_BITS, GUARDED = 21, 20, 21
-#: One bit for each of the three lanes of a packed word, and all their bits.
-UNITS = sum(1 << GUARDED * j for j in range(3))
-FULL = UNITS * ((1 << LANE_BITS) - 1)
-HALF = (1 << 32) - 1
-
-
-#: One word in so many ends a part, and the most code points of a part.
-PART_WORDS, LONGEST = 4, 80
-#: Stands after a word that ends a part.
+#: Packed words of a hash: bits k, k + 21 and k + 42 of it are counted in three lanes of one number. The lanes stay apart up to 2**21
+#: pieces of a text; beyond that likeness suffers, not equality, insertion or deletion.
+WORDS, LANE = 21, 21
+UNITS, HALF, FULL = 1 | 1 << 21 | 1 << 42, (1 << 32) - 1, (1 << 21) - 1
+#: One word in so many ends a piece, and the most code points of a piece.
+PIECE_WORDS, LONGEST = 4, 80
+#: Stands after a word that ends a piece.
 CUT = "\x01"
 #: Times that a repeated piece of a paragraph counts at, after the first.
 POWERS = [1 << k for k in range(1, 31)]
@@ -38,7 +35,7 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda p: p != "")
 
 
-def pieces(paragraph: Column, words: int = PART_WORDS) -> Column:
+def pieces(paragraph: Column, words: int = PIECE_WORDS) -> Column:
     """A paragraph, cut after words whose hash says so, about every `words` words: what comes before or after doesn't move the cuts.
 
     A letter of a script without case, which may have no spaces, is a word. A piece has LONGEST code points at most.
@@ -60,55 +57,93 @@ def damped(hashes: Column) -> Column:
     return let(F.sort_array(hashes), times)
 
 
-def fingerprint(of: Column, words: int = PART_WORDS) -> Column:
-    """Of an array of paragraphs, array<bigint>: count of pieces, four wide lanes, 2 * 21 packed words of three lanes each."""
-    return let(of, lambda lines: _summed(lines, words))
+def hashes_of(lines: Column, words: int = PIECE_WORDS) -> Column:
+    """array<bigint>: the hashes of the pieces of paragraphs that count."""
+    return F.flatten(F.transform(lines, lambda p: damped(F.transform(pieces(p, words), lambda x: F.xxhash64(x)))))
+
+
+def wide_of(lines: Column) -> Column:
+    """array<bigint>: the four sums of the halves of two hashes of each paragraph."""
+    total = lambda hs, f: F.aggregate(hs, F.lit(0).cast("bigint"), lambda acc, h: acc + f(h))
+    both = F.array(F.transform(lines, lambda p: F.xxhash64(p)), F.transform(lines, lambda p: F.xxhash64(p, F.lit(1))))
+    return let(both, lambda hs: F.array(*(total(hs[i], f) for i in (0, 1) for f in (lambda h: h.bitwiseAND(F.lit(HALF)), lambda h: F.shiftrightunsigned(h, 32)))))
+
+
+def lanes_of(h: Column, g: Column) -> list[Column]:
+    return [F.shiftrightunsigned(x, k).bitwiseAND(F.lit(UNITS)) for x in (h, g) for k in range(WORDS)]
+
+
+def summed(rows: DataFrame, text: str, *keys: str, words: int = PIECE_WORDS) -> DataFrame:
+    """(keys..., f): the fingerprint of each row's text. keys tell rows apart. The pieces are summed by Spark's own aggregation, before any exchange."""
+    c, wide = F.col, [f"__w{i}" for i in range(4)]
+    # what stands beside an explode would be worked out again for every piece
+    found = rows.select(*keys, paragraphs(c(text)).alias("__lines")).select(*keys, wide_of(c("__lines")).alias("__w"), hashes_of(c("__lines"), words).alias("__h"))
+    flat = found.select(*keys, *(c("__w")[i].alias(n) for i, n in enumerate(wide)), "__h")
+    each = flat.select(*keys, *wide, F.explode_outer("__h").alias("h")).withColumn("g", F.when(c("h").isNotNull(), F.xxhash64("h")))
+    lanes = [F.coalesce(F.sum(x), F.lit(0).cast("bigint")) for x in lanes_of(c("h"), c("g"))]
+    names = [f"__{i}" for i in range(1 + len(lanes))]
+    out = each.groupBy(*keys, *wide).agg(*(x.alias(n) for x, n in zip([F.count("h"), *lanes], names, strict=True)))
+    return out.select(*keys, masked(F.array(names[0], *wide, *names[1:])).alias("f"))
+
+
+def fingerprint(text: Column, words: int = PIECE_WORDS) -> Column:
+    """Of one text, array<bigint>: count of pieces, four wide lanes, 2 * WORDS packed words of three lanes each. `summed` is the form for tables."""
 
+    def sums(hs: Column, wide: Column) -> Column:
+        zero = F.array_repeat(F.lit(0).cast("bigint"), 2 * WORDS)
+        lanes = F.aggregate(hs, zero, lambda acc, h: F.zip_with(acc, F.array(*lanes_of(h, F.xxhash64(h))), lambda x, y: x + y))
+        return masked(F.concat(F.array(F.size(hs).cast("bigint")), wide, lanes))
 
-def _summed(lines: Column, words: int) -> Column:
-    zero = F.lit(0).cast("bigint")
-    whole = F.transform(lines, lambda p: F.array(F.xxhash64(p), F.xxhash64(p, F.lit(1))))
-    halves = lambda v: [v.bitwiseAND(F.lit(HALF)), F.shiftrightunsigned(v, 32)]
-    wide = F.aggregate(whole, F.array_repeat(zero, 4), lambda acc, h: F.zip_with(acc, F.array(*halves(h[0]), *halves(h[1])), lambda x, y: (x + y).bitwiseAND(F.lit(HALF))))
-    hashes = F.flatten(F.transform(lines, lambda p: damped(F.transform(pieces(p, words), lambda x: F.xxhash64(x)))))
-    bits = lambda v: [F.shiftrightunsigned(v, k).bitwiseAND(F.lit(UNITS)) for k in range(WORDS)]
-    lanes = lambda found: F.aggregate(F.transform(found, lambda h: F.array(h, F.xxhash64(h))), F.array_repeat(zero, 2 * WORDS), lambda acc, h: F.zip_with(acc, F.array(*bits(h[0]), *bits(h[1])), lambda x, y: (x + y).bitwiseAND(F.lit(FULL))))
-    return let(hashes, lambda found: F.concat(F.array(F.size(found).cast("bigint")), wide, lanes(found)))
+    return let(paragraphs(text), lambda lines: let(hashes_of(lines, words), lambda hs: sums(hs, wide_of(lines))))
 
 
-def masks() -> Column:
-    return F.array(*[F.lit(HALF)] * 5, *[F.lit(FULL)] * (2 * WORDS))
+def masked(f: Column) -> Column:
+    """Wide lanes modulo 2**32. The lanes of a packed word stay below that, as no text has so many pieces."""
+    return F.transform(f, lambda x, i: F.when(i.between(1, 4), x.bitwiseAND(F.lit(HALF))).otherwise(x))
 
 
 def added(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), masks(), lambda x, m: x.bitwiseAND(m))
+    return masked(F.zip_with(a, b, lambda x, y: x + y))
 
 
 def removed(a: Column, b: Column) -> Column:
-    """The fingerprint of multiset a without b's paragraphs."""
-    borrow = F.array(*[F.lit(HALF + 1)] * 5, *[F.lit(UNITS << LANE_BITS)] * (2 * WORDS))
-    return F.zip_with(F.zip_with(F.zip_with(a, borrow, lambda x, m: x + m), b, lambda x, y: x - y), masks(), lambda x, m: x.bitwiseAND(m))
+    """The fingerprint of multiset a without b's paragraphs, which it has."""
+    return masked(F.zip_with(a, b, lambda x, y: x - y))
 
 
 def as_text(f: Column) -> Column:
     return F.concat_ws("", F.transform(f, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")))
 
 
-def signs(f: Column) -> Column:
-    one = F.lit((1 << LANE_BITS) - 1)
-    lanes = F.flatten(F.transform(F.slice(f, 6, 2 * WORDS), lambda w: F.array(*(F.shiftright(w, GUARDED * j).bitwiseAND(one) for j in range(3)))))
-    return F.transform(lanes, lambda c: (c * 2 - f[0]).cast("double"))
-
-
 def likeness(a: Column, b: Column) -> Column:
-    """Cosine of the sign lanes, 0 to 1: about the share of pieces in common. Both empty: 1."""
+    """Cosine of the sign lanes of two fingerprints, 0 to 1: about the share of pieces in common. Both empty: 1."""
+    lanes = lambda w: [F.shiftrightunsigned(w, LANE * j).bitwiseAND(F.lit(FULL)).cast("double") for j in range(3)]
+    zero = F.lit(0.0)
 
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        def one(p: Column, q: Column) -> Column:
+            a0, a1, a2, b0, b1, b2 = *lanes(p), *lanes(q)
+            return a0 * b0 + a1 * b1 + a2 * b2
+
+        return F.aggregate(F.zip_with(x, y, one), zero, lambda s, v: s + v)
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, zero, lambda s, w: s + lanes(w)[0] + lanes(w)[1] + lanes(w)[2])
+
+    def of(v: Column) -> Column:
+        """A lane's sign sum is twice its count less the number of pieces, so dot products follow from those of the counts."""
+        n, m = v["n"].cast("double"), v["m"].cast("double")
+        signed = lambda d, x, sx, y, sy: 4 * d - 2 * x * sy - 2 * y * sx + 6 * WORDS * x * y
+        norm = F.sqrt(signed(v["aa"], n, v["sa"], n, v["sa"])) * F.sqrt(signed(v["bb"], m, v["sb"], m, v["sb"]))
+        cosine = F.least(F.lit(1.0), F.greatest(zero, signed(v["ab"], n, v["sa"], m, v["sb"]) / norm))
+        return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).when(norm > 0, cosine).otherwise(0.0)
 
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm)))
+    def parts(xy: Column) -> Column:
+        x, y = xy[0], xy[1]
+        return let(F.struct(a[0].alias("n"), b[0].alias("m"), dot(x, x).alias("aa"), dot(y, y).alias("bb"), dot(x, y).alias("ab"), total(x).alias("sa"), total(y).alias("sb")), of)
+
+    return F.when(a == b, 1.0).otherwise(let(F.array(F.slice(a, 6, 2 * WORDS), F.slice(b, 6, 2 * WORDS)), parts))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -127,7 +162,14 @@ def neighbours(ids: DataFrame) -> DataFrame:
     return linked.select("doc_id", prev["doc_id"].alias("prev_id"), prev["n"].alias("prev_n"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PART_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PIECE_WORDS) -> DataFrame:
+    """(doc_id, n, f): code points and fingerprint of each text, whose id is its own; null counts as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sized = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.length(text).cast("bigint").alias("n"))
+    return summed(sized, "text", "doc_id", "n", words=words)
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PIECE_WORDS) -> DataFrame:
     """Fingerprints of every text, of the text with its last quarter replaced by the next one's start, and their likeness.
 
     Null text counts as empty; an only document is its own next. Rows that repeat a doc_id are
@@ -141,7 +183,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return found  # by itself, as Spark does not share the exchange of texts inside a union
     none = lambda t: F.lit(None).cast(t)
     alone = given.filter(F.col("doc_id").isNull()).select(
-        "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(paragraphs(F.col("text")), words)).alias("fingerprint"),
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), none("string").alias("edited_sha256"), as_text(fingerprint(F.col("text"), words)).alias("fingerprint"),
         none("string").alias("edited_fingerprint"), none("double").alias("near_edited"), none("double").alias("near_next"),
     )
     return found.unionByName(alone)
@@ -153,18 +195,16 @@ def with_neighbours(rows: DataFrame, words: int) -> DataFrame:
     Every text is hashed once, and what comes of it written. Texts are exchanged once: the join
     that takes their starts and the one that edits them read the same exchange.
     """
+    c, one = F.col, F.lit(1)
     folder = shared_folder(rows.sparkSession, "fingerprints")
-    rows.select("doc_id", F.length("text").cast("bigint").alias("n"), fingerprint(paragraphs(F.col("text")), words).alias("f")).write.parquet(folder)
+    fingerprints(rows, words=words).write.parquet(folder)
     hashed = rows.sparkSession.read.parquet(folder)
-    near, own = neighbours(hashed.select("doc_id", "n")), hashed.select("doc_id", "f")
-    given = rows.join(near.hint("shuffle_hash"), "doc_id").join(own.hint("shuffle_hash"), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"), F.col("f").alias("next_f"))
+    near = neighbours(hashed.select("doc_id", "n")).hint("shuffle_hash")
+    starts = rows.join(near, "doc_id").select(c("prev_id").alias("doc_id"), F.substring("text", one, F.floor(c("prev_n") / 4).cast("int")).alias("start"))
     n = F.length("text")
-    cut = rows.join(given.hint("shuffle_hash"), "doc_id").join(own.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("start")).alias("edited"), "f", "next_f")
-    both = cut.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(paragraphs(F.col("edited")), words).alias("e"), "next_f")
-    signed = both.select("*", signs(F.col("f")).alias("fs"), signs(F.col("e")).alias("es"), signs(F.col("next_f")).alias("ns"))
-    both_empty = lambda x: F.when((F.col("f")[0] == 0) & (F.col(x)[0] == 0), 1.0).otherwise(0.0)
-    return signed.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        F.coalesce(F.when(F.col("f") == F.col("e"), 1.0), likeness(F.col("fs"), F.col("es")), both_empty("e")).alias("near_edited"),
-        F.coalesce(F.when(F.col("f") == F.col("next_f"), 1.0), likeness(F.col("fs"), F.col("ns")), both_empty("next_f")).alias("near_next"),
-    )
+    kept = F.substring("text", one, n - F.floor(n / 4).cast("int"))
+    cut = rows.join(starts.hint("shuffle_hash"), "doc_id").select("doc_id", n.cast("bigint").alias("n_chars"), F.concat(kept, F.col("start")).alias("edited"))
+    now = summed(cut.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "doc_id", "n_chars", "edited_sha256", words=words).withColumnRenamed("f", "e")
+    own, following = hashed.select("doc_id", "f"), hashed.select("doc_id", c("f").alias("next_f")).join(near, "doc_id").select(c("prev_id").alias("doc_id"), "next_f")
+    both = now.join(own.hint("shuffle_hash"), "doc_id").join(following.hint("shuffle_hash"), "doc_id")
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(c("f")).alias("fingerprint"), as_text(c("e")).alias("edited_fingerprint"), likeness(c("f"), c("e")).alias("near_edited"), likeness(c("f"), c("next_f")).alias("near_next"))
