@@ -110,3 +110,40 @@ def entities(text: Column, label: Column | None = None, detectors: list[Detector
     named = F.lower(label).rlike(P.java(r"\b(name|passenger|patient|customer|guest)\b")) & F.trim(text).rlike(r"^[A-Z][a-z]+(\s[A-Z][a-z]+){1,2}$")
     whole = F.array(F.struct(F.lit("NAME").alias("type"), F.lit(0).alias("start"), F.length(text).alias("end"), F.trim(text).alias("text"), F.lit(0.6).alias("confidence")))
     return F.concat(found, F.when(F.coalesce(named, F.lit(False)), whole).otherwise(F.array().cast(f"array<{ENTITY}>")))
+
+
+# Registry -----------------------------------------------------------------------------------------
+
+GATES = {"claims": CLAIMS, "gated": GATED, "passive": PASSIVE}
+#: Checks that a detector's row may name: those of the built-in detectors by type, and some of their parts.
+VALIDATORS: dict[str, Callable[[Column], Column]] = {d.type.lower(): d.valid for d in DETECTORS if d.valid} | {"luhn": lambda m: K.luhn(K.digits(m)), "verhoeff": lambda m: K.verhoeff(K.digits(m))}
+ROW = "order double, type string, pattern string, guard string, gate string, validator string, confidence double"
+
+
+def detector_rows() -> list[tuple]:
+    """The built-in detectors as rows of ROW, orders 1, 2, 3 ...; others go between them by orders like 2.5."""
+    gates = {v: k for k, v in GATES.items()}
+    return [(float(n), d.type, d.pattern, d.guard, gates[d.gate], d.type.lower() if d.valid else None, P.CONFIDENCE[d.type]) for n, d in enumerate(DETECTORS, 1)]
+
+
+def registered(rows: list) -> list[Detector]:
+    """Detectors of rows (as ROW, dicts or Rows), in their order, for `entities`.
+
+    A null guard is the pattern itself, a null gate claims, a null confidence 0.5. A row of a built-in type
+    without a pattern stands for that detector. Null types, and gates or validators of no known name, are errors.
+    """
+    out = []
+    for r in sorted((r.asDict() if hasattr(r, "asDict") else dict(r) for r in rows), key=lambda r: (r["order"], r["type"] or "")):
+        if not r["type"] or not (r.get("pattern") or r["type"] in BY_TYPE):
+            raise ValueError(f"a detector needs a type and a pattern: {r}")
+        gate, validator = r.get("gate") or "claims", r.get("validator")
+        if gate not in GATES or (validator and validator not in VALIDATORS):
+            raise ValueError(f"no such gate or validator: {r}")
+        own = BY_TYPE.get(r["type"])
+        if not r.get("pattern"):
+            out.append(own)
+            continue
+        sure = float(r["confidence"]) if r.get("confidence") is not None else 0.5
+        same = own is not None and own.pattern == r["pattern"] and sure == P.CONFIDENCE[own.type]
+        out.append(Detector(r["type"], r["pattern"], GATES[gate], r.get("guard") or r["pattern"], VALIDATORS[validator] if validator else None, own.confidence if same else lambda _, s=sure: F.lit(s)))
+    return out

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
+
 
 def clamped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(low), F.least(F.lit(high), x)))
@@ -49,24 +51,23 @@ def grounded(points: DataFrame, elements: DataFrame, page: str = "page_id", reac
 
     Of the elements around a point the most specific one, then the smallest, then the first (by
     ord); else the one whose centre is nearest, within reach; active ones count as a fifth
-    nearer. Disabled, hidden and empty elements have no part in it. A page's points meet its
-    elements only.
+    nearer. Disabled, hidden and empty elements have no part in it. Points meet the elements of
+    their cells of a grid, and only those without an element around them the centres near by.
     """
     c = F.col
     usable = F.coalesce("enabled", F.lit(True)) & F.coalesce("visible", F.lit(True)) & (c("width") > 0) & (c("height") > 0)
-    own = elements.filter(usable).select(page, c("id").alias("element_id"), "ord", "x", "y", "width", "height", (c("tag").isin(ACTIVE_TAGS) | (c("type") == "button")).alias("active"), specificity(c("tag"), c("type"), c("text"), c("aria_label"), c("in_modal")).alias("score"))
+    active = F.coalesce(c("tag").isin(ACTIVE_TAGS), F.lit(False)) | F.coalesce(c("type") == "button", F.lit(False))
+    own = elements.filter(usable).select(page, c("id").alias("element_id"), "ord", "x", "y", "width", "height", active.alias("active"), specificity(c("tag"), c("type"), c("text"), c("aria_label"), c("in_modal")).alias("score"))
     p = points.select(page, "point_id", c("px").cast("double").alias("px"), c("py").cast("double").alias("py"))
-    joined = p.join(own, page)
-    inside = c("px").between(c("x"), c("x") + c("width")) & c("py").between(c("y"), c("y") + c("height"))
-    dx, dy = c("px") - c("x") - c("width") / 2, c("py") - c("y") - c("height") / 2
-    far = F.sqrt(dx * dx + dy * dy) * F.when(c("active"), 0.8).otherwise(1.0)
-    ranked = joined.withColumn("inside", inside).withColumn("far", F.when(c("inside"), 0.0).otherwise(far)).filter(c("inside") | (c("far") <= reach))
-    # one least row of each point: no sort of a page's pairs
-    best = F.struct((~c("inside")).alias("a"), F.when(c("inside"), -c("score").cast("double")).otherwise(c("far")).alias("b"), F.when(c("inside"), c("width") * c("height")).otherwise(0.0).alias("c"), "ord", "element_id", "far")
-    out = ranked.groupBy(page, "point_id").agg(F.min(best).alias("m"))
-    method = F.when(c("m.a"), "APPROXIMATE_PROXIMITY").otherwise("EXACT_CONTAINMENT")
-    sure = F.when(c("m.a"), F.greatest(F.lit(0.2), (reach - c("m.far")) / reach)).otherwise(1.0)
-    return out.select(page, "point_id", "m.element_id", method.alias("method"), F.floor(c("m.far") + 0.5).cast("long").alias("distance"), sure.alias("confidence"))
+    best = F.min(F.struct((-c("score").cast("double")).alias("a"), (c("width") * c("height")).alias("b"), "ord", "element_id", F.lit(0.0).alias("far")))
+    around = grid.containing(p, own, page).groupBy(page, "point_id").agg(best.alias("m")).withColumn("method", F.lit("EXACT_CONTAINMENT"))
+    centres = own.select(page, "element_id", "ord", "active", (c("x") + c("width") / 2).alias("cx"), (c("y") + c("height") / 2).alias("cy"))
+    far = c("away") * F.when(c("active"), 0.8).otherwise(1.0)
+    others = grid.near(p.join(around, [page, "point_id"], "left_anti"), centres, reach / 0.8, page).withColumn("far", far).filter(c("far") <= reach)
+    nearest = F.min(F.struct(c("far").alias("a"), F.lit(0.0).alias("b"), "ord", "element_id", "far"))
+    out = around.unionByName(others.groupBy(page, "point_id").agg(nearest.alias("m")).withColumn("method", F.lit("APPROXIMATE_PROXIMITY")))
+    sure = F.when(c("method") == "EXACT_CONTAINMENT", 1.0).otherwise(F.greatest(F.lit(0.2), (reach - c("m.far")) / reach))
+    return out.select(page, "point_id", "m.element_id", "method", F.floor(c("m.far") + 0.5).cast("long").alias("distance"), sure.alias("confidence"))
 
 
 def suppressed(boxes: DataFrame, image: str, threshold: float = 0.30, most: int = 5000) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
 from .elements import expected_input, flag, is_form_input, joined, populated, said
 from .fields import has
 
@@ -103,21 +104,29 @@ def validated(decisions: DataFrame, elements: DataFrame) -> DataFrame:
 def resolved(decisions: DataFrame, elements: DataFrame) -> DataFrame:
     """Adds element_id and tier: what `target` names, by selector (1), #id (2), id (3), a selector that holds #id (4), one that ends in it or the other way round, in any case (5).
 
-    Names that match exactly are looked up; only the others, each once, meet all elements of
-    their page.
+    Names that match exactly are looked up. The others are looked up too: by what stands at each
+    # of a selector, and by the endings of selectors and names, in the lengths that their page
+    has. Of what shares such a key only the best element counts.
     """
+    c = F.col
     target = F.trim("target")
     rows = decisions.withColumn("t", F.nullif(target, F.lit("")))
-    own = elements.select("page_id", F.col("id").cast("string").alias("e_id"), F.nullif(F.trim("selector"), F.lit("")).alias("s"), "ord")
-    keys = own.select("page_id", "ord", "e_id", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("tier")), F.struct(F.concat(F.lit("#"), "e_id").alias("t"), F.lit(2).alias("tier")), F.struct(F.col("e_id").alias("t"), F.lit(3).alias("tier")))).alias("k"))
-    exact = keys.filter("k.t is not null").groupBy("page_id", F.col("k.t").alias("t")).agg(F.min(F.struct("k.tier", "ord", "e_id")).alias("m"))
+    own = elements.select("page_id", c("id").cast("string").alias("e_id"), F.nullif(F.trim("selector"), F.lit("")).alias("s"), "ord")
+    keys = own.select("page_id", "ord", "e_id", F.explode(F.array(F.struct(c("s").alias("t"), F.lit(1).alias("tier")), F.struct(F.concat(F.lit("#"), "e_id").alias("t"), F.lit(2).alias("tier")), F.struct(c("e_id").alias("t"), F.lit(3).alias("tier")))).alias("k"))
+    exact = keys.filter("k.t is not null").groupBy("page_id", c("k.t").alias("t")).agg(F.min(F.struct("k.tier", "ord", "e_id")).alias("m"))
     rows = rows.join(exact, ["page_id", "t"], "left")
-    others = rows.filter("m is null and t is not null").select("page_id", "t").distinct().join(own.filter("s is not null"), "page_id")
-    low, sel = F.lower("t"), F.lower("s")
-    tier = F.when(F.col("t").startswith("#") & F.col("s").contains(F.col("t")), 4).when(sel.endswith(low) | low.endswith(sel), 5)
-    near = others.withColumn("tier", tier).filter("tier is not null").groupBy("page_id", "t").agg(F.min(F.struct("tier", "ord", "e_id")).alias("n"))
+    others = rows.filter("m is null and t is not null").select("page_id", "t").distinct().withColumn("low", F.lower("t"))
+    named = own.filter("s is not null").withColumn("sel", F.lower("s"))
+    best = lambda tier: F.min(F.struct(F.lit(tier).alias("tier"), "ord", "e_id")).alias("n")
+    ids = others.filter(c("t").startswith("#"))
+    holding = ids.join(grid.beginnings(named, "s", "#", ids, "t", "page_id").groupBy("page_id", c("begin").alias("t")).agg(best(4)), ["page_id", "t"])
+    ending = others.join(grid.endings(named, "sel", others, "low", "page_id").groupBy("page_id", c("end").alias("low")).agg(best(5)), ["page_id", "low"])
+    whole = named.groupBy("page_id", c("sel").alias("end")).agg(best(5))
+    ended = grid.endings(others, "low", named, "sel", "page_id").join(whole, ["page_id", "end"])
+    found = [x.select("page_id", "t", "n") for x in (holding, ending, ended)]
+    near = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("page_id", "t").agg(F.min("n").alias("n"))
     out = rows.join(near, ["page_id", "t"], "left").withColumn("m", F.coalesce("m", "n"))
-    return out.select(*decisions.columns, F.col("m.e_id").alias("element_id"), F.col("m.tier").alias("tier"))
+    return out.select(*decisions.columns, c("m.e_id").alias("element_id"), c("m.tier").alias("tier"))
 
 
 def stale_targets(history: DataFrame, elements: DataFrame) -> DataFrame:
@@ -129,10 +138,11 @@ def stale_targets(history: DataFrame, elements: DataFrame) -> DataFrame:
 def filled_by_user(elements: DataFrame, history: DataFrame) -> DataFrame:
     """Filled form fields that no fill of the page's history accounts for, by id, by selector, or by a target its selector ends in."""
     filled = elements.filter(is_form_input(F.col("tag"), F.col("type")) & populated(F.col("value"), F.col("has_value")))
-    fills = history.filter(F.col("action").isin("fill", "fill_from_local")).select("page_id", F.col("element_id").cast("string").alias("h_id"), F.col("target").alias("h_target")).distinct().alias("h")
+    fills = history.filter(F.col("action").isin("fill", "fill_from_local")).select("page_id", F.col("element_id").cast("string").alias("h_id"), F.col("target").alias("h_target")).distinct()
     by_id = filled.join(fills.select("page_id", F.col("h_id").alias("id")).dropna().distinct(), ["page_id", "id"], "left_anti")
-    same = (by_id["page_id"] == F.col("h.page_id")) & (F.col("h.h_target") != "") & by_id["selector"].endswith(F.col("h.h_target"))
-    return by_id.join(fills, same, "left_anti").withColumn("field_name", F.coalesce(F.nullif("text", F.lit("")), F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.concat(F.lit("field_"), F.col("id"))))
+    targets = fills.filter("h_target <> ''").select("page_id", F.col("h_target").alias("end")).distinct()
+    accounted = grid.endings(by_id.select("page_id", "selector").distinct(), "selector", targets, "end", "page_id").join(targets, ["page_id", "end"], "left_semi").select("page_id", "selector").distinct()
+    return by_id.join(accounted, ["page_id", "selector"], "left_anti").withColumn("field_name", F.coalesce(F.nullif("text", F.lit("")), F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.concat(F.lit("field_"), F.col("id"))))
 
 
 # Translation --------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
 from .fields import has
 
 # Words that say nothing about a task.
@@ -281,11 +282,16 @@ def top_elements(scored: DataFrame, near: int = 40, far: int = 20) -> DataFrame:
 
 
 def regions(elements: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """Adds region: modal, the role of the first landmark around the element (2 pixels of slack), else what its flags say."""
-    box = [F.col(f"l.{c}").alias(f"l{c[0]}") for c in ("x", "y", "width", "height")]
-    marks = landmarks.alias("l").select("page_id", F.col("l.ord").alias("l_ord"), F.col("l.role").alias("l_role"), *box)
-    inside = (F.col("x") >= F.col("lx")) & (F.col("y") >= F.col("ly")) & (F.col("x") + F.col("width") <= F.col("lx") + F.col("lw") + 2) & (F.col("y") + F.col("height") <= F.col("ly") + F.col("lh") + 2)
-    found = elements.select("page_id", "ord", "x", "y", "width", "height").join(marks, "page_id").filter(inside).groupBy("page_id", "ord").agg(F.min_by("l_role", "l_ord").alias("l_role"))
+    """Adds region: modal, the role of the first landmark around the element (2 pixels of slack), else what its flags say.
+
+    Elements meet the landmarks of their page that their first corner lies in, by a grid.
+    """
+    c = F.col
+    corners = elements.select("page_id", c("ord").alias("e_ord"), c("x").alias("px"), c("y").alias("py"), (c("x") + c("width")).alias("e_right"), (c("y") + c("height")).alias("e_bottom"))
+    # slack belongs to the landmark: a corner in it lies inside the widened box
+    wide = landmarks.select("page_id", c("ord").alias("l_ord"), c("role").alias("l_role"), "x", "y", (c("width") + 2).alias("width"), (c("height") + 2).alias("height"))
+    close = (c("e_right") <= c("x") + c("width")) & (c("e_bottom") <= c("y") + c("height"))
+    found = grid.containing(corners, wide, "page_id").filter(close).groupBy("page_id", c("e_ord").alias("ord")).agg(F.min_by("l_role", "l_ord").alias("l_role"))
     flags = F.when(flag(F.col("in_nav")), "navigation").when(flag(F.col("is_sticky")), "sticky").when(F.col("form_id").isNotNull(), "form").otherwise("content")
     region = F.when(F.col("x").isNull(), "unknown").when(flag(F.col("in_modal")), "modal").otherwise(F.coalesce("l_role", flags))
     return elements.join(found, ["page_id", "ord"], "left").withColumn("region", region).drop("l_role")

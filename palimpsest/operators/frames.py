@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+from .linking import linked
+
 # Tiles and what of them counts as change.
 TILE, TILE_CHANGED, NOISE, SPINNER, MAJOR = 16, 8.0, 0.0008, 0.06, 0.35
 # A spinner's span and structure; edges.
@@ -90,34 +93,97 @@ def perimeter(pixels: DataFrame) -> DataFrame:
     return out.withColumn("spread", F.greatest(*names) - F.least(*names))
 
 
-def brightest_block(pixels: DataFrame, threshold: DataFrame) -> DataFrame:
-    """(frame, fill, area, x, y, width, height) of the largest connected part of each frame's pixels at or over its threshold (frame, level). A frame is one group."""
+#: The side of the tiles that connected parts are found in before tiles are joined.
+PART = 64
+
+
+def labelled(pixels: DataFrame, size: int = PART) -> DataFrame:
+    """(frame, x, y, value, part): pixels, each with the least place (y, then x) of those it is connected to inside its tile."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame, level = pdf["frame"].iloc[0], pdf["level"].iloc[0]
-        w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
-        bright = np.zeros((h + 2, w + 2), bool)
-        bright[pdf["y"].to_numpy() + 1, pdf["x"].to_numpy() + 1] = pdf["gray"].to_numpy() >= level
-        if not bright.any():
-            return pd.DataFrame([], columns=["frame", "fill", "area", "x", "y", "width", "height"])
-        names = np.where(bright, np.arange(bright.size).reshape(bright.shape), -1)
-        while True:  # the least name of its neighbours, then of where that name leads, until nothing changes
-            best = np.where(bright, names, bright.size)
+        x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
+        x0, y0 = x.min() // size * size, y.min() // size * size
+        far = np.iinfo(np.int64).max
+        names = np.full((size + 2, size + 2), far)
+        names[y - y0 + 1, x - x0 + 1] = (y << 32) | x
+        lit = names < far
+        while True:  # the least name around, until nothing changes; a tile has few steps
+            best = names
             for axis in (0, 1):
                 for step in (-1, 1):
-                    best = np.minimum(best, np.where(np.roll(bright, step, axis), np.roll(names, step, axis), bright.size))
-            new = np.where(bright, best, -1)
-            new[bright] = new.ravel()[new[bright]]
-            if (new == names).all():
+                    best = np.minimum(best, np.roll(names, step, axis))
+            best = np.where(lit, best, far)
+            if (best == names).all():
                 break
-            names = new
-        labels, n = np.unique(names[bright], return_counts=True)
-        ys, xs = np.nonzero(names == labels[np.argmax(n)])
-        bw, bh = int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1
-        return pd.DataFrame([(frame, n.max() / (bw * bh), bw * bh / (w * h), int(xs.min()) - 1, int(ys.min()) - 1, bw, bh)], columns=["frame", "fill", "area", "x", "y", "width", "height"])
+            names = best
+        return pdf[["frame", "x", "y", "value"]].assign(part=names[y - y0 + 1, x - x0 + 1])
 
     kind = dict(pixels.dtypes)["frame"]
-    return pixels.join(threshold.select("frame", "level"), "frame").select("frame", "x", "y", "gray", "level").groupBy("frame").applyInPandas(one, f"frame {kind}, fill double, area double, x int, y int, width int, height int")
+    rows = pixels.select("frame", F.col("x").cast("long"), F.col("y").cast("long"), F.col("value").cast("double"), F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
+    return rows.groupBy("frame", "tx", "ty").applyInPandas(one, f"frame {kind}, x long, y long, value double, part long")
+
+
+def components(pixels: DataFrame, size: int = PART) -> DataFrame:
+    """(frame, component, n, total, x0, y0, x1, y1) of the connected parts of each frame's pixels (frame, x, y, value), by their four neighbours.
+
+    Parts are found in tiles; those that touch over a tile's edge are linked, and their counts,
+    sums and bounds added up. component is the least place of its pixels. A frame of any size is never one group.
+    """
+    c = F.col
+    found = checkpointed(labelled(pixels, size))
+    parts = found.groupBy("frame", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    touching = []
+    for along, across in (("x", "y"), ("y", "x")):
+        before = found.filter((c(along) + 1) % size == 0).select("frame", (c(along) + 1).alias(along), across, c("part").alias("a"))
+        touching.append(found.filter(c(along) % size == 0).select("frame", along, across, c("part").alias("b")).join(before, ["frame", along, across]).select("frame", "a", "b"))
+    roots = linked(touching[0].unionByName(touching[1]).distinct(), "frame").withColumnRenamed("node", "part")
+    rows = parts.join(roots, ["frame", "part"], "left").withColumn("component", F.coalesce("root", "part"))
+    return rows.groupBy("frame", "component").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def brightest_block(pixels: DataFrame, threshold: DataFrame) -> DataFrame:
+    """(frame, fill, area, x, y, width, height) of the largest connected part of each frame's pixels at or over its threshold (frame, level); of equal ones the first."""
+    c = F.col
+    lit = pixels.join(threshold.select("frame", "level"), "frame").filter(c("gray") >= c("level")).select("frame", "x", "y", c("gray").alias("value"))
+    shape = pixels.groupBy("frame").agg(((F.max("x") + 1) * (F.max("y") + 1)).alias("all"))
+    largest = components(lit).groupBy("frame").agg(F.max_by(F.struct("n", "x0", "y0", "x1", "y1"), F.struct("n", -c("component"))).alias("b"))
+    w, h = c("b.x1") - c("b.x0") + 1, c("b.y1") - c("b.y0") + 1
+    return largest.join(shape, "frame").select("frame", (c("b.n") / (w * h)).alias("fill"), (w * h / c("all")).alias("area"), c("b.x0").cast("int").alias("x"), c("b.y0").cast("int").alias("y"), w.cast("int").alias("width"), h.cast("int").alias("height"))
+
+
+# Text boxes of a map of probabilities.
+LIT, SURE, UNCLIP, LEAST_SIDE = 0.3, 0.6, 1.5, 5
+
+
+def text_boxes(probabilities: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(frame, x, y, width, height, score) of the text in maps of probabilities (frame, x, y, value), in the pixels of the original.
+
+    sizes (frame, width, height, map_width, map_height) says how large the original and the map are. Small and
+    unsure parts go; a box grows on all sides by its area times UNCLIP over its perimeter, and is cut at the edge.
+    """
+    c = F.col
+    w, h = c("x1") - c("x0") + 1, c("y1") - c("y0") + 1
+    rows = components(probabilities.filter(c("value") > LIT)).withColumn("score", c("total") / c("n")).filter((F.least(w, h) >= LEAST_SIDE) & (c("score") >= SURE))
+    grown = rows.withColumn("by", w * h * UNCLIP / (2 * (w + h))).join(sizes, "frame")
+    sx, sy = c("width") / c("map_width"), c("height") / c("map_height")
+    low = lambda v, s: F.greatest(F.lit(0.0), (c(v) - c("by")) * s)
+    high = lambda v, s, most: F.least(c(most).cast("double"), (c(v) + 1 + c("by")) * s)
+    out = grown.select("frame", "component", low("x0", sx).alias("x"), low("y0", sy).alias("y"), high("x1", sx, "width").alias("r"), high("y1", sy, "height").alias("b"), "score")
+    return out.select("frame", "x", "y", (c("r") - c("x")).alias("width"), (c("b") - c("y")).alias("height"), "score").filter("width >= 1 and height >= 1")
+
+
+def reading_order(boxes: DataFrame, frame: str, *ties: str) -> DataFrame:
+    """Adds line and place, both from 1: boxes in lines from top to bottom, and in each from left to right.
+
+    A line is a run of boxes whose middle halves overlap, one with any before it: the furthest
+    that those before reach says where the next line begins.
+    """
+    c = F.col
+    first, last = c("y") + c("height") / 4, c("y") + c("height") * 3 / 4
+    down = Window.partitionBy(frame).orderBy(first, "x", *ties)
+    begins = F.coalesce(first >= F.max(last).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    lines = boxes.withColumn("line", begins.cast("int")).withColumn("line", F.sum("line").over(down).cast("int"))
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy(frame).orderBy("line", "x", "y", *ties)))
 
 
 def overlays(pixels: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..storage import checkpointed
 
 
@@ -74,3 +75,30 @@ def redacted_tiles(boxes: DataFrame, tile: str = "tile") -> DataFrame:
 def found_proof(json: Column) -> Column:
     """The root that a proof anywhere in JSON names, or null: the first object with a root of 64 hex digits."""
     return F.nullif(F.regexp_extract(json, r'"(?:merkleRoot|root)"\s*:\s*"([0-9a-f]{64})"', 1), F.lit(""))
+
+
+# Signatures ---------------------------------------------------------------------------------------
+
+
+def _pad(key: Column, with_byte: int) -> Column:
+    """A key of 64 bytes at most, filled up with zeros, each byte xor with_byte."""
+    digits = F.rpad(F.hex(key), 128, "0")
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint").bitwiseXOR(F.lit(with_byte))), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def hmac(key: Column, message: Column) -> Column:
+    """HMAC-SHA-256 of a message under a key, both binary, in hex. Keys of more than 64 bytes count as their hashes."""
+    key, message = key.cast("binary"), message.cast("binary")
+    short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
+    return let(short, lambda k: F.sha2(F.concat(_pad(k, 0x5C), F.unhex(F.sha2(F.concat(_pad(k, 0x36), message), 256))), 256))
+
+
+def signed(roots_: DataFrame, key: Column) -> DataFrame:
+    """Adds signature: the root, which is hex, signed under a key."""
+    return roots_.withColumn("signature", hmac(key, F.unhex("root")))
+
+
+def genuine(root: Column, signature: Column, key: Column) -> Column:
+    """Whether a signature is the root's own; false for a null or a root that isn't hex."""
+    return F.coalesce(hmac(key, F.unhex(root)) == F.lower(signature), F.lit(False))

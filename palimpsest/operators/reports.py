@@ -222,3 +222,25 @@ def benchmark_report(scores: DataFrame, title: str, most: int = 100) -> tuple[st
     names = scores.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *("| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows)]
     return json.dumps({"title": title, "rows": rows}, default=str), "\n".join(lines) + "\n"
+
+
+def question_lines(lines: DataFrame, page: str, order: str, line: str, asked: list[str], most: int = 60, longest: int = 200, budget: int = 12_000) -> DataFrame:
+    """(page, n_lines, chars, said): of a page's redacted lines those that a question is answered from, in page order.
+
+    Lines are cleaned and cut at `longest` code points; empty ones go. Those with more of the words asked for come
+    first, then those that stand earlier; lines are taken until there are `most`, or their lengths, each with a line break, exceed the budget.
+    """
+    c = F.col
+    words = F.array(*(F.lit(w.lower()) for w in asked)) if asked else F.array().cast("array<string>")
+    clean = F.substring(F.trim(F.regexp_replace(c(line), r"\s+", " ")), 1, longest)
+    rows = lines.select(page, order, clean.alias("__line")).filter("__line <> ''").withColumn("__hits", F.size(F.filter(words, lambda w: F.contains(F.lower("__line"), w))))
+    best = Window.partitionBy(page).orderBy(F.desc("__hits"), order)
+    taken = rows.withColumn("__k", F.row_number().over(best)).filter(c("__k") <= most).withColumn("__upto", F.sum(F.length("__line") + 1).over(best)).filter(c("__upto") <= budget)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(c(order).alias("o"), c("__line").alias("l")))), lambda s: s["l"])
+    return taken.groupBy(page).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("__line")).cast("long").alias("chars"), F.array_join(in_order, "\n").alias("said"))
+
+
+def debate_summary(local: Column, cloud: Column, winner: Column, why: Column) -> Column:
+    """A line about two decisions (structs action, target, confidence) and which of them was taken; a missing side says so."""
+    side = lambda name, d: F.concat(F.lit(name + " "), F.when(d.isNull(), "gave nothing").otherwise(F.concat_ws(" ", F.concat(F.lit("would "), F.coalesce(d["action"], F.lit("?"))), d["target"], F.format_string("(%.2f)", d["confidence"].cast("double")))))
+    return F.concat(side("local", local), F.lit("; "), side("cloud", cloud), F.lit("; taken: "), F.coalesce(winner, F.lit("none")), F.when(why.isNotNull(), F.concat(F.lit(", "), why)).otherwise(""))

@@ -170,9 +170,35 @@ def scrubbed(record: Column) -> Column:
     return F.transform_values(record, lambda k, v: F.when(k.isin(SCRUBBED), OMITTED).otherwise(v))
 
 
+#: A string, and what else JSON text is made of: braces, brackets, commas, colons, words and numbers.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+
+
 def scrubbed_json(json: Column) -> Column:
-    """JSON text for a log: strings, numbers and flags of dangerous keys, at any depth, are left out."""
-    return F.regexp_replace(json, '"(' + "|".join(SCRUBBED) + r')"\s*:\s*(?:"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*|true|false|null)', '"$1":"' + OMITTED + '"')
+    """JSON text for a log, without spaces: what dangerous keys hold, whatever it is and however deep, is left out.
+
+    A fold over the text's tokens; depth counts the brackets that are open inside what is left out.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(TOKEN), F.lit(0))
+    bare = F.array().cast("array<string>")
+    state = lambda out, depth, named: F.struct(out.alias("out"), depth.alias("depth"), named.alias("named"))
+    #: named: 1 after a dangerous key, 2 after its colon, 3 inside what it holds
+    zero, one = F.lit(0), F.lit(1)
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        dangerous = F.substring(t, 2, 2**31 - 1).isin([f'{k}"' for k in SCRUBBED]) & t.startswith('"')
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        more = lambda x: F.concat(acc["out"], F.array(x))
+        inside = state(acc["out"], depth, F.when(depth > 0, 3).otherwise(zero))
+        held = F.when(opens, state(more(F.lit(f'"{OMITTED}"')), one, F.lit(3))).otherwise(state(more(F.lit(f'"{OMITTED}"')), zero, zero))
+        # a dangerous word that no colon follows is a value
+        key = F.when(t == ":", state(more(t), zero, F.lit(2))).otherwise(state(more(t), zero, F.when(dangerous, one).otherwise(zero)))
+        plain = state(more(t), zero, F.when(dangerous, one).otherwise(zero))
+        return F.when(acc["named"] == 3, inside).when(acc["named"] == 2, held).when(acc["named"] == 1, key).otherwise(plain)
+
+    done = F.aggregate(tokens, state(bare, zero, zero), step, lambda acc: F.array_join(acc["out"], ""))
+    return F.when(json.isNotNull(), done)
 
 
 def canonical_json(**fields: Column) -> Column:

@@ -9,8 +9,9 @@ what is in there follow their host's after ` >>> `.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -33,10 +34,12 @@ ACTIVE_ROLES = {"button", "link", "tab", "menuitem", "checkbox", "radio", "combo
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "words", "ord", "nth", "host")
+    __slots__ = ("tag", "attrs", "parent", "children", "words", "ord", "nth", "host", "counts", "last")
 
     def __init__(self, tag, attrs, parent, ord_):
         self.tag, self.attrs, self.parent, self.children, self.words, self.ord, self.nth, self.host = tag, attrs, parent, [], [], ord_, 1, None
+        self.counts: Counter = Counter()
+        self.last = ord_  # the last place of a tag inside
 
     def up(self) -> Iterator[Node]:
         node = self
@@ -63,13 +66,16 @@ class Tree(HTMLParser):
         self.at, self.nodes = self.root, []
         self.feed(html)
         self.close()
+        for node in reversed(self.nodes):
+            node.parent.last = max(node.parent.last, node.last)
 
     def handle_starttag(self, tag, attrs):
         # a paragraph, list item, option or table part ends the one before
         if tag in ("li", "option", "tr", "td", "th", "p") and self.at.tag == tag:
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.nodes) + 1)
-        node.nth = 1 + sum(1 for c in self.at.children if c.tag == tag)
+        self.at.counts[tag] += 1
+        node.nth = self.at.counts[tag]
         if tag == "template" and "shadowrootmode" in node.attrs:
             node.host = self.at
         self.at.children.append(node)
@@ -78,6 +84,10 @@ class Tree(HTMLParser):
         if tag not in VOID:
             self.at = node
 
+    def inside(self, node: Node) -> list[Node]:
+        """A node and all in it: they follow each other."""
+        return self.nodes[node.ord - 1 : node.last]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -172,11 +182,19 @@ def nearby(node: Node) -> str:
     return " ".join(" ".join(out).split())[:2000]
 
 
+def first_inside(found: list[Node], node: Node) -> Node | None:
+    """The first of some nodes, in their order, that is the node or in it."""
+    at = bisect_left(found, node.ord, key=lambda x: x.ord)
+    return found[at] if at < len(found) and found[at].ord <= node.last else None
+
+
 def items_of(html: str) -> Iterator[dict]:
     tree = Tree(html)
     nodes = tree.nodes
     selectors = Selectors(nodes)
     by_id = {n.attrs["id"]: n for n in reversed(nodes) if n.attrs.get("id")}
+    heads = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4")]
+    titles = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4") or n.attrs.get("role") == "heading" or re.search(r"(modal|dialog)-title", n.attrs.get("class", ""))]
     forms = {id(n): n.attrs.get("id") or f"form_{i}" for i, n in enumerate(x for x in nodes if x.tag == "form")}
     for n in nodes:
         a, role = n.attrs, n.attrs.get("role", "").lower()
@@ -206,7 +224,7 @@ def items_of(html: str) -> Iterator[dict]:
             yield base | {"kind": "label", "target": a["for"], "text": words()}
         mark = LANDMARK_TAGS.get(n.tag) or (role if role in LANDMARK_ROLES else None)
         if mark:
-            heading = next((x for x in nodes if x.tag in ("h1", "h2", "h3", "h4") and any(y is n for y in x.up())), None)
+            heading = first_inside(heads, n)
             label = a.get("aria-label") or named or a.get("title") or (heading.text()[:80] if heading else None)
             yield base | {"kind": "landmark", "type": mark, "text": label or None}
         if re.fullmatch("h[1-6]", n.tag) or role == "heading":
@@ -215,11 +233,11 @@ def items_of(html: str) -> Iterator[dict]:
                 level = a.get("aria-level", "")
                 yield base | {"kind": "heading", "level": int(n.tag[1]) if n.tag[0] == "h" and len(n.tag) == 2 else int(level) if level.isdigit() else 2, "text": text}
         if n.tag == "table" or role in ("table", "grid"):
-            inside = [x for x in nodes if any(y is n for y in x.up())]
+            inside = tree.inside(n)
             heads = [t[:50] for t in (x.text() for x in inside if x.tag == "th" or x.attrs.get("role") == "columnheader") if t]
             yield base | {"kind": "table", "n": max(0, sum(x.tag == "tr" or x.attrs.get("role") == "row" for x in inside) - 1), "text": "|".join(heads)}
         if (n.tag == "dialog" and "open" in a) or (role == "dialog" and a.get("aria-modal") == "true") or role == "alertdialog":
-            heading = next((x for x in nodes if (x.tag in ("h1", "h2", "h3", "h4") or x.attrs.get("role") == "heading" or re.search(r"(modal|dialog)-title", x.attrs.get("class", ""))) and any(y is n for y in x.up())), None)
+            heading = first_inside(titles, n)
             yield base | {"kind": "modal", "selector": selectors.of(n), "text": heading.text()[:100] if heading else None}
         bad = role == "alert" or a.get("aria-invalid") == "true" or "alert-danger" in classes or "error" in classes
         good = role == "status" or "alert-success" in classes or "success" in classes
@@ -237,21 +255,65 @@ def items_of(html: str) -> Iterator[dict]:
             yield base | {"kind": "title", "text": words()[:120]}
 
 
-def page_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Every item of every page, as ITEM; null pages have none. ord is the place of the tag among all of its page."""
-    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in ITEM.split(", ")])
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def parsed(pages: DataFrame, rows_of: Callable[[str], Iterator[dict]], schema: str, key: str, html: str) -> DataFrame:
+    """What rows_of gives for each page, a few thousand rows at a time."""
+    arrow = pa.schema([(c.split()[0], TYPES[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches):
         for batch in batches:
             held: list[dict] = []
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += [{"page_id": page} | i for i in items_of(text or "")]
-                if len(held) > 5000:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-                    held = []
-            yield pa.RecordBatch.from_pylist(held, schema)
+                for row in rows_of(text or ""):
+                    held.append({"page_id": page} | row)
+                    if len(held) > 5000:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held = []
+            yield pa.RecordBatch.from_pylist(held, arrow)
+
+    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(run, schema)
+
+
+def page_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Every item of every page, as ITEM; null pages have none. ord is the place of the tag among all of its page."""
+    return parsed(pages, items_of, ITEM, key, html)
+
+
+BOX = "page_id long, ord int, last int, up int, host int, tag string, id string, text string, selector string, shown boolean, left double, top double, width double, height double, z int"
+
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(run, ITEM)
+def style_number(style: str, name: str) -> float | None:
+    found = re.search(rf"(?:^|;)\s*{name}\s*:\s*(-?\d+(?:\.\d+)?)(?:px)?\s*(?:;|$)", style)
+    return float(found[1]) if found else None
+
+
+def boxes_of(html: str) -> Iterator[dict]:
+    """Every node with its selector inside its shadow root, the host of that, and its box as far as its own style says.
+
+    up is the positioned ancestor that left and top count from; nodes that aren't positioned have neither.
+    """
+    tree = Tree(html)
+    selectors = Selectors(tree.nodes)
+    kind: dict[int, str] = {}
+    for n in tree.nodes:
+        style = n.attrs.get("style", "").lower()
+        found = re.search(r"(?:^|;)\s*position\s*:\s*(absolute|relative|fixed|sticky)", style)
+        kind[n.ord] = found[1] if found else ""
+        at = bool(found)
+        z = style_number(style, "z-index") if at else None
+        up = None if kind[n.ord] == "fixed" else next((x.ord for x in list(n.up())[1:] if kind.get(x.ord)), None)
+        host = next((x.host.ord for x in n.up() if x.host is not None and x is not n), None)
+        yield {
+            "ord": n.ord, "last": n.last, "up": up, "host": host, "tag": n.tag, "id": n.attrs.get("id"), "text": " ".join(" ".join(w for w in n.words if isinstance(w, str)).split())[:200], "selector": selectors.own(n), "shown": shown(n),
+            "left": style_number(style, "left") if at else None, "top": style_number(style, "top") if at else None, "width": size_of(n, "width"), "height": size_of(n, "height"), "z": None if z is None else int(z),
+        }
+
+
+def page_boxes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Every node of every page, as BOX: what `operators.layout` places, stacks and names."""
+    return parsed(pages, boxes_of, BOX, key, html)
 
 
 def of_kind(items: DataFrame, kind: str, *columns: str, most: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from palimpsest.plans import agents, pictures, registry, said, screens  # noqa: F401
+from palimpsest.plans import agents, pictures, places, registry, said, screens  # noqa: F401
 from palimpsest.plans import catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def shown(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
             return "NULL"
         return f"{x:.9g}" if isinstance(x, float) else str(x)
 

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.streaming import state
+from palimpsest.operators import memory
+from palimpsest.streaming import state, timers
 
 T0 = datetime(2024, 1, 1)
 
@@ -72,3 +73,33 @@ def test_upsert(spark, events):
     last = max(state.versions(spark, path).values())
     write(spark.createDataFrame(rows[50:], "u long, i long, ts timestamp, what string, bad boolean").withColumn("i", F.col("i") % 6), last)
     assert {r["i"]: (r["saved_at"], r["updated_at"]) for r in state.current(spark, path).collect()} == got
+
+
+def test_debounce_with_timers(spark, tmp_path):
+    """A stream read in several batches gives the bursts that the batch form gives; the watermark ends the last ones."""
+    timers.use_rocksdb(spark)
+    rows = [(u, i, T0 + timedelta(milliseconds=(130 if i % 6 else 900) * i + u * 7)) for i in range(60) for u in (1, 2, 3)]
+    rows.sort(key=lambda r: r[2])
+    schema = "u long, i long, ts timestamp"
+    late = [(9, 999, T0 + timedelta(hours=3))]
+    for n, part in enumerate((rows[:70], rows[70:130], rows[130:], late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = run(timers.debounced(stream, "u", "ts", "i", 400, "1 second"), tmp_path)
+    want = memory.debounced(spark.createDataFrame(rows, schema), "u", "ts", ["i"], 400).select("u", "i", "fires_at").collect()
+    assert sorted((r["u"], r["i"], r["fires_at"]) for r in got) == sorted((r["u"], r["i"], r["fires_at"]) for r in want) and len(want) > 10
+
+
+def test_task_memory_stream(spark, tmp_path):
+    timers.use_rocksdb(spark)
+    outcomes = ["FAILED", "SUCCEEDED", None, "NO_EFFECT", "FAILED", "FAILED", "FAILED", "PAGE_CHANGED"]
+    rows = [(u, i, T0 + timedelta(seconds=i), outcomes[(i * 3 + u) % 8], f"b{i}" if i % 5 else "", f"c{i}" if i % 3 == 0 else None) for i in range(50) for u in (1, 2)]
+    schema = "u long, i long, ts timestamp, outcome string, blocker string, confirmed string"
+    for n in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 17 == n], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = run(timers.task_memory(stream, "u", "ts", "i", F.col("outcome"), F.col("blocker"), F.col("confirmed")), tmp_path)
+    df = spark.createDataFrame(rows, schema)
+    batch = memory.confirmations(memory.blockers(memory.counts(df, "u", ["i"], F.col("outcome")), "u", ["i"], F.col("outcome"), F.col("blocker")), "u", ["i"], F.col("confirmed"))
+    names = ("u", "i", "attempted", "succeeded", "failed", "blockers", "confirmations")
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(tuple(r[n] for n in names) for r in batch.collect())
