@@ -69,7 +69,7 @@ def beginnings(rows: DataFrame, text: str, mark: str, wanted: DataFrame, start:
     """rows once for each place of `mark` in `text` and each length of a `start` of its page: adds begin, what stands there. An equality join on it finds the texts that hold a start, which begins with the mark."""
     lengths = wanted.groupBy(*page).agg(F.collect_set(F.length(start)).alias("g_lengths"))
     parts = F.split(F.col(text), "\\Q" + mark + "\\E")
-    tails = F.transform(F.slice(parts, 2, 2**31 - 1), lambda _, i: F.concat(F.lit(mark), F.array_join(F.slice(parts, i + 2, 2**31 - 1), mark)))
+    tails = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda _, i: F.concat(F.lit(mark), F.array_join(F.slice(parts, i + 2, F.size(parts)), mark)))
     rows = rows.join(lengths, list(page)).withColumn("g_tail", F.explode(tails))
     begins = F.transform(F.filter("g_lengths", lambda n: n <= F.length("g_tail")), lambda n: F.left(F.col("g_tail"), n))
     return rows.withColumn("begin", F.explode(begins)).drop("g_lengths", "g_tail")
