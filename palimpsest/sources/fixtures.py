@@ -20,19 +20,24 @@ def luhn(body: str) -> str:
     return body + str(-total % 10)
 
 
+def permuted(digit: int, times: int) -> int:
+    """A digit after so many steps of the permutation of the Verhoeff scheme."""
+    # Fixed value: the permutation of the scheme
+    first = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+    for _ in range(times):
+        digit = first[digit]
+    return digit
+
+
 def verhoeff(body: str) -> str:
     """body with its check digit, by the group of a pentagon's symmetries: turns 0 to 4, and 5 to 9 those after a flip."""
 
     def times(a: int, b: int) -> int:
         return (a + b if a < 5 else a - b) % 5 + 5 * ((a >= 5) != (b >= 5))
 
-    # Fixed value: the permutation of the scheme
-    first = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
     c = 0
     for i, d in enumerate(reversed(body), 1):
-        x = int(d)
-        for _ in range(i % 8):
-            x = first[x]
+        x = permuted(int(d), i % 8)
         c = times(c, x)
     return body + str(next(d for d in range(10) if times(c, d) == 0))
 

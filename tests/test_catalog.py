@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from palimpsest.plans import agents, pictures, places, registry, said, screens  # noqa: F401
+from palimpsest.plans import agents, pictures, places, registry, rules, said, screens  # noqa: F401
 from palimpsest.plans import catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
