@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect
-from ..operators import boundary, frames, layout, proofs, reports
+from ..operators import boundary, frames, images, layout, proofs, reports
 from ..sources import elements as parsed
-from .catalog import _tree, merkle_root
+from .catalog import _CHUNKS, _tree, merkle_root
 from .registry import query, table
 
 C = F.col
@@ -175,3 +175,56 @@ def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = boundary.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     shown = lines.withColumn("line", F.when(F.contains("line", F.lit("@")), "[REDACTED LINE]").otherwise(C("line")))
     return reports.question_lines(shown, "doc_id", "line_no", "line", _ASKED, budget=4000).select("doc_id", "n_lines", "chars", "said")
+
+
+# Images as bytes ---------------------------------------------------------------------------------
+
+_W, _H = "(16 + k % 25)", "(8 + k % 17)"
+_BYTE = "((x * 7 + y * 13 + k * 5 + b * 31) % 256)"
+
+
+def _images(spark: SparkSession, sf_dir: str, bands: int) -> DataFrame:
+    """A small picture for each supplier, its bytes worked out from its key."""
+    rows = table(spark, sf_dir, "supplier").select(C("s_suppkey").cast("long").alias("k")).select("k", F.expr(_W).cast("int").alias("width"), F.expr(_H).cast("int").alias("height"))
+    byte = F.expr(f"array_join(transform(sequence(0L, cast(width * height * {bands} - 1 as bigint)), i -> lpad(hex((((i div {bands}) % width) * 7 + ((i div {bands}) div width) * 13 + k * 5 + (i % {bands}) * 31) % 256), 2, '0')), '')")
+    return rows.select(C("k").alias("image_id"), "width", "height", F.unhex(byte).alias("pixels"))
+
+
+_TILE_ROWS = f"range(y0, least(y0 + 16, {_H}))"
+_TILES = (
+    f"tl AS (SELECT k AS doc_id, index, sha256(unhex(array_to_string(list_transform({_TILE_ROWS}, lambda y: array_to_string(list_transform(range(x0 * 4, least(x0 + 16, {_W}) * 4), lambda i: printf('%02x', (((i // 4) * 7 + y * 13 + k * 5 + (i % 4) * 31) % 256)::INTEGER)), '')), ''))) AS h "
+    f"FROM (SELECT k, i AS index, (i % ceil({_W} / 16)::BIGINT) * 16 AS x0, (i // ceil({_W} / 16)::BIGINT) * 16 AS y0 FROM (SELECT k, unnest(range(0, ceil({_W} / 16)::BIGINT * ceil({_H} / 16)::BIGINT)) AS i FROM (SELECT s_suppkey AS k FROM supplier))))"
+)
+
+
+@query(f"WITH {_TILES}, {_tree(3).replace(_CHUNKS, 'SELECT doc_id, index, h FROM tl')} SELECT doc_id AS image_id, h[1] AS root, true AS verified FROM l3")
+def image_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root over the tiles of each supplier's picture, and whether the proofs of all its tiles lead there."""
+    leaves = images.tile_leaves(_images(spark, sf_dir, 4), 16)
+    tree = proofs.levels(leaves, "image_id")
+    roots = proofs.roots(tree, "image_id")
+    found = proofs.proofs(tree, leaves.select("image_id", "index"), "image_id").join(leaves, ["image_id", "index"]).join(roots, "image_id")
+    return found.groupBy("image_id", "root").agg(F.bool_and(proofs.recomputed(C("hash"), C("path")) == C("root")).alias("verified"))
+
+
+def _axis(n: int, of: str, i: str) -> str:
+    return f"(({i} + 0.5) * ({of}::DOUBLE / {n}) - 0.5)"
+
+
+def _clip(at: str, of: str) -> str:
+    return f"least(greatest({at}, 0), {of} - 1)"
+
+
+_AY, _AX = _axis(6, _H, "j"), _axis(8, _W, "i")
+_LIGHT = "((({x}) * 7 + ({y}) * 13 + k * 5) % 256)"
+_AT = lambda dx, dy: _LIGHT.format(x=_clip(f"floor({_AX}) + {dx}", _W), y=_clip(f"floor({_AY}) + {dy}", _H))
+_FX, _FY = f"({_AX} - floor({_AX}))", f"({_AY} - floor({_AY}))"
+
+
+@query(
+    f"SELECT k AS image_id, CAST(j * 8 + i AS INTEGER) AS place, round(({_AT(0, 0)} * (1 - {_FX}) + {_AT(1, 0)} * {_FX}) * (1 - {_FY}) + ({_AT(0, 1)} * (1 - {_FX}) + {_AT(1, 1)} * {_FX}) * {_FY}, 2)::DOUBLE AS light FROM (SELECT s_suppkey AS k FROM supplier), range(8) p(i), range(6) q(j)"
+)
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's gray picture as eight by six pixels."""
+    out = images.resized_to(_images(spark, sf_dir, 1), 8, 6, bands=1)
+    return out.select("image_id", F.posexplode("values").alias("place", "light")).select("image_id", "place", F.round(C("light").cast("double"), 2).alias("light"))
