@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, texts  # noqa: F401
+from .common import discarded, shared_folder, slices, texts  # noqa: F401
 from .tokens import TOKEN_SLICE, library_encoder, library_tokenizer, word_ids
 
 LIMIT, SEGMENT, BLOCK_IDS = 18, 256, 1_000_000
@@ -134,7 +134,8 @@ def raw_blocks(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if held:
             yield made()
 
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, RAW)
+    # rows that repeat an id stand in the order of their texts, so that a task that runs again writes the same blocks
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, RAW)
 
 
 def id_counts(raw: DataFrame, vocabulary: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Write every document's ids and the end id to the token files in `path`, in ascending doc_id order.
 
     Texts are encoded once, into raw blocks in `path`/raw; the global counts of their ids give
-    the code, which then packs each block by itself. Null text counts as empty. Rows with a null
+    the code, which then packs each block by itself; the raw blocks are deleted. Null text counts as empty. Rows with a null
     doc_id have no place in the order and are left out; rows that repeat a doc_id are all
     written. An empty table gives files without blocks.
     """
@@ -180,6 +181,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     raw.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(lengths.tobytes(), tokenizer.rsplit("/", 1)[-1], SEGMENT, end_id)], "lengths binary, tokenizer string, segment int, end_id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
+    discarded(spark, f"{path}/raw")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -92,7 +92,8 @@ def pack(cut: DataFrame, groups: int, capacity: int = 2048) -> DataFrame:
     names = cut.columns
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        # rows that repeat an id differ in their tokens or not at all, so that a task that runs again packs alike
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), capacity)
         group = table["pack_group"].to_numpy().astype(np.int64)
         table = table.select(names)
