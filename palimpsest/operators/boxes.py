@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
 from . import grid
 
 
@@ -71,24 +70,25 @@ def grounded(points: DataFrame, elements: DataFrame, page: str = "page_id", reac
 
 
 def suppressed(boxes: DataFrame, image: str, threshold: float = 0.30, most: int = 5000) -> DataFrame:
-    """Greedy non-maximum suppression in each image: boxes by falling score, without those that overlap a kept one by the threshold. An image's `most` best boxes are one group."""
+    """Greedy non-maximum suppression: of each image's `most` best boxes by falling score, then box_id, those that overlap no kept one before them by the threshold.
+
+    Overlaps are found by a grid. Each round keeps the boxes that no open box before them overlaps, and
+    drops those that a kept one does, until none is open; boxes that overlap nothing are kept at once.
+    """
     top = Window.partitionBy(image).orderBy(F.desc("score"), "box_id")
-    best = boxes.withColumn("__k", F.row_number().over(top)).filter(F.col("__k") <= most).drop("__k")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        x, y, w, h = (pdf[c].to_numpy(float) for c in ("x", "y", "width", "height"))
-        open_, kept = np.ones(len(pdf), bool), np.zeros(len(pdf), bool)
-        for i in range(len(pdf)):
-            if not open_[i]:
-                continue
-            kept[i] = True
-            both = np.maximum(0, np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)) * np.maximum(0, np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y))
-            union = w[i] * h[i] + w * h - both
-            open_ &= ~((union > 0) & (both >= threshold * union))
-        return pdf[kept]
-
-    return best.groupBy(image).applyInPandas(one, boxes.schema)
+    best = checkpointed(boxes.withColumn("__k", F.row_number().over(top)).filter(F.col("__k") <= most))
+    pair = lambda p: tuple(f"{p}_{n}" for n in ("x", "y", "width", "height"))
+    edges = checkpointed(grid.overlapping(best, "__k", image).filter(iou(pair("a"), pair("b")) >= threshold).select(image, "a", "b"))
+    gone = best.limit(0).select(image, F.col("__k").alias("b"))
+    left = edges
+    while not left.isEmpty():
+        # a box that nothing open comes before is settled: it stays, and what it overlaps goes
+        waiting = left.select(image, F.col("b").alias("a")).distinct()
+        settled = left.join(waiting, [image, "a"], "left_anti")
+        dropped = checkpointed(settled.select(image, "b").distinct())
+        gone = gone.unionByName(dropped)
+        left = checkpointed(left.join(dropped, [image, "b"], "left_anti").join(dropped.withColumnRenamed("b", "a"), [image, "a"], "left_anti"))
+    return best.join(gone.withColumnRenamed("b", "__k"), [image, "__k"], "left_anti").select(boxes.columns)
 
 
 # Rectangles are structs of x, y, width and height. ------------------------------------------------

@@ -47,6 +47,28 @@ def containing(points: DataFrame, boxes: DataFrame, *page: str) -> DataFrame:
     return probes.join(cells, [*page, "g_level", "g_x", "g_y"]).filter(inside).drop("g_level", "g_x", "g_y")
 
 
+def overlapping(boxes: DataFrame, key: str, *page: str) -> DataFrame:
+    """(page..., a, b and both boxes as a_x ... b_height): pairs of boxes of a page, a's key less than b's, that share some area.
+
+    A box stands in its cells of its own level and of each higher one that its page has; two boxes meet
+    on the level of the larger one. A pair that shares several cells is found in the least of them.
+    """
+    c = F.col
+    own = boxes.select(*page, c(key).alias("k"), *(c(n).cast("double").alias(n) for n in ("x", "y", "width", "height"))).filter("width > 0 and height > 0")
+    sized = own.withColumn("own", level_of(c("width"), c("height")))
+    levels = sized.groupBy(*page).agg(F.collect_set("own").alias("g_levels"))
+    rows = sized.join(levels, list(page)).withColumn("g_level", F.explode(F.filter("g_levels", lambda n: n >= c("own")))).drop("g_levels")
+    side = side_of(c("g_level"))
+    span = lambda lo, size: F.sequence(F.floor(c(lo) / side), F.floor((c(lo) + c(size)) / side))
+    cells = rows.withColumn("g_x", F.explode(span("x", "width"))).withColumn("g_y", F.explode(span("y", "height")))
+    half = lambda p: cells.select(*page, "g_level", "g_x", "g_y", *(c(n).alias(f"{p}_{n}") for n in ("k", "own", "x", "y", "width", "height")))
+    met = half("a").join(half("b"), [*page, "g_level", "g_x", "g_y"]).filter((c("a_k") < c("b_k")) & (F.greatest("a_own", "b_own") == c("g_level")))
+    left, top = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
+    shared = (left < F.least(c("a_x") + c("a_width"), c("b_x") + c("b_width"))) & (top < F.least(c("a_y") + c("a_height"), c("b_y") + c("b_height")))
+    first = (c("g_x") == F.floor(left / side)) & (c("g_y") == F.floor(top / side))
+    return met.filter(shared & first).select(*page, c("a_k").alias("a"), c("b_k").alias("b"), *(f"{p}_{n}" for p in "ab" for n in ("x", "y", "width", "height")))
+
+
 def near(points: DataFrame, centres: DataFrame, reach: float, *page: str) -> DataFrame:
     """Each point (px, py) with each centre (cx, cy) of its page that is at most `reach` away: the columns of both, and away."""
     c = F.col

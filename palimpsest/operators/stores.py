@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boundary import ALLOWED_REQUEST, history_value
+from .boundary import ALLOWED_ELEMENT, ALLOWED_HISTORY, ALLOWED_REQUEST, history_value
 from .elements import said
 
 # Other names that a key may be stored under, in order.
@@ -121,6 +121,32 @@ def request_fields(payload: Column) -> Column:
     return F.map_filter(payload, lambda k, v: k.isin(ALLOWED_REQUEST))
 
 
+#: A payload that may leave, as a schema: what it does not name is not even read. Numbers and flags keep their kinds.
+_BOX = "struct<x:double,y:double,width:double,height:double>"
+_KINDS = {"box": _BOX, "sensitive": "boolean", "hasValue": "boolean", "enabled": "boolean", "visible": "boolean", "isSearch": "boolean", "isPagination": "boolean", "inModal": "boolean", "inNav": "boolean", "isSticky": "boolean", "multiple": "boolean", "isUntrustedPromptInjection": "boolean", "visuallyPainted": "boolean", "options": "array<string>", "authorizedByUser": "boolean", "isLoading": "boolean", "hasBlockingOverlay": "boolean", "analyzed": "boolean"}
+
+
+def _schema(names: list[str], kinds: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"`{n}`:{kinds.get(n, 'string')}" for n in names) + ">"
+
+
+PAYLOAD_SCHEMA = _schema(ALLOWED_REQUEST, {"domSkeleton": f"array<{_schema(ALLOWED_ELEMENT, _KINDS)}>", "actionHistory": f"array<{_schema(ALLOWED_HISTORY, _KINDS)}>", "visualState": _schema(VISUAL_FLAGS + VISUAL_BOXES, _KINDS | dict.fromkeys(VISUAL_BOXES, _BOX))})
+
+
+def outbound_payload(json: Column) -> Column:
+    """JSON of a payload as it may leave: listed keys only, in it and in its elements, history and visual state, in the order of the lists.
+
+    Values of the history are neutralised, boxes of the visual state that lack a number are left out, and so are null
+    fields. What is no JSON object, and null, becomes null. Other listed parts that are objects stay as their JSON text.
+    """
+    payload = F.from_json(json, PAYLOAD_SCHEMA)
+    state = payload["visualState"]
+    for box in VISUAL_BOXES:
+        state = state.withField(box, visual_box(payload["visualState"][box]))
+    safe = payload.withField("actionHistory", outbound_history(payload["actionHistory"])).withField("visualState", F.when(payload["visualState"].isNotNull(), state))
+    return F.when(F.trim(json).startswith("{"), F.to_json(safe))
+
+
 def outbound_history(items: Column) -> Column:
     """Of an array of structs (action, target, value, ...), the last ones with their values neutralised, recursively as part of a payload."""
     return F.transform(items, lambda s: s.withField("value", history_value(s["value"])))

@@ -146,12 +146,17 @@ def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.plan_states(events(spark, sf_dir).withColumn("event", event), "user_id", ORDER, F.lit(4)).select("event_id", C("at").cast("long").alias("at"), "complete")
 
 
-@query(
-    f"WITH {HISTORY} SELECT action, words, count(*) AS n FROM (SELECT action, CASE action WHEN 'click' THEN 'Clicking \"x\"…' WHEN 'fill' THEN 'Typing into \"x\"…' WHEN 'scroll' THEN 'Scrolling ' || coalesce(nullif(value, ''), 'down') || '…' WHEN 'wait' THEN 'Waiting for the page to settle…' WHEN 'extract' THEN 'Extracting content from page…' END AS words FROM hi WHERE action IN ('click', 'fill', 'scroll', 'wait', 'extract')) GROUP BY ALL"
-)
+_WORDS = {
+    "click": "'Clicking \"x\"'", "fill": "'Typing into \"x\"'", "type": "'Typing into \"x\"'", "fill_from_local": "'Filling \"x\" from local private store'", "clear": "'Clearing input \"x\"'",
+    "select": "'Selecting option \"' || v || '\" in dropdown \"x\"'", "check": "CASE WHEN v = 'false' THEN 'Unchecking \"x\"' ELSE 'Checking \"x\"' END", "press_key": "'Pressing key \"' || coalesce(nullif(v, ''), 'Enter') || '\" on \"x\"'",
+    "scroll": "'Scrolling ' || coalesce(nullif(v, ''), 'down')", "navigate": "'Navigating to ' || v", "extract": "'Extracting content from page'", "wait": "'Waiting for the page to settle'",
+}
+
+
+@query(f"WITH {HISTORY} SELECT action, words, count(*) AS n FROM (SELECT action, CASE action {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {w}' for k, w in _WORDS.items())} ELSE 'Performing ' || action END || '…' AS words FROM (SELECT action, coalesce(value, '') AS v FROM hi)) GROUP BY ALL")
 def action_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history(spark, sf_dir).filter(C("action").isin("click", "fill", "scroll", "wait", "extract"))
-    return rows.groupBy("action", D.described(C("action"), F.lit("x"), C("value")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
+    """Every step of the histories in words."""
+    return history(spark, sf_dir).groupBy("action", D.described(C("action"), F.lit("x"), C("value")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {ELEMENTS} SELECT page_id, ord, CASE WHEN w = '' THEN 0.6 ELSE least(1, 0.5 + least(0.5, 0.2 * len(list_filter(['please', 'pay', 'order', 'email'], lambda t: contains(w, t))))) END::DOUBLE AS score FROM (SELECT page_id, ord, trim(lower(concat_ws(' ', coalesce(text, ''), coalesce(aria_label, ''), coalesce(placeholder, '')))) AS w FROM el)")

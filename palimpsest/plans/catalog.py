@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks as K
 from ..functions import detect as D
 from ..functions import mask as M
 from ..functions import patterns as P
-from ..operators import boundary, boxes, fields, proofs, risk, sequences, steps, tasks
+from ..operators import boundary, proofs, risk, sequences, tasks
 from ..sources import fixtures, pages
 from .registry import QUERIES, SQL, query, table, text, values
 
@@ -394,34 +393,6 @@ def merkle_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "index", leads(F.col("hash")).alias("verified"), leads(proofs.leaf(F.lit("forged"))).alias("forged"))
 
 
-def _boxes(spark: SparkSession) -> DataFrame:
-    i = F.col("id").cast("int")
-    return spark.range(40).select(F.lit(0).alias("image"), i.alias("box_id"), (i * 37 % 200).cast("double").alias("x"), (i * 53 % 120).cast("double").alias("y"), (20 + i % 5 * 8).cast("double").alias("width"), (15 + i % 3 * 10).cast("double").alias("height"), (F.lit(1.0) - i * 7 % 40 / 50).alias("score"))
-
-
-_BOX = "(SELECT id::INT AS box_id, (id * 37 % 200)::DOUBLE AS x, (id * 53 % 120)::DOUBLE AS y, (20 + id % 5 * 8)::DOUBLE AS width, (15 + id % 3 * 10)::DOUBLE AS height FROM range(40) t(id))"
-_W, _HH = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x))", "greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
-
-
-@query(f"SELECT a.box_id AS a, b.box_id AS b, round({_W} * {_HH} / (a.width * a.height + b.width * b.height - {_W} * {_HH}), 6) AS iou FROM {_BOX} a JOIN {_BOX} b ON a.box_id < b.box_id WHERE {_W} * {_HH} > 0")
-def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (_boxes(spark).select(*(F.col(c).alias(f"{p}_{c}") for c in ("box_id", "x", "y", "width", "height"))) for p in "ab")
-    near = (F.col("a_x") < F.col("b_x") + F.col("b_width")) & (F.col("b_x") < F.col("a_x") + F.col("a_width")) & (F.col("a_y") < F.col("b_y") + F.col("b_height")) & (F.col("b_y") < F.col("a_y") + F.col("a_height"))
-    joined = a.join(b, (F.col("a_box_id") < F.col("b_box_id")) & near)
-    box = lambda p: tuple(f"{p}_{c}" for c in ("x", "y", "width", "height"))
-    return joined.select(F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round(boxes.iou(box("a"), box("b")), 6).alias("iou"))
-
-
-@query(f"SELECT box_id, r * 4 + c AS tile FROM {_BOX}, range(4) p(c), range(2) q(r) WHERE x < (c + 1) * 64 AND x + width > c * 64 AND y < (r + 1) * 64 AND y + height > r * 64")
-def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.tiles(_boxes(spark), 64, 4, 2).select("box_id", F.col("tile").cast("long").alias("tile"))
-
-
-@query()
-def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.suppressed(_boxes(spark), "image")
-
-
 @query("SELECT event_type AS label, name, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) JOIN (VALUES ('click', 'Clic'), ('generic', 'Autre')) t(k, name) ON k = CASE WHEN event_type = 'click' THEN 'click' ELSE 'generic' END")
 def translated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup in a language pack, the generic entry where a key is missing."""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect
-from ..operators import boundary, frames, images, layout, proofs, reports
+from ..operators import boundary, boxes, frames, grid, images, layout, proofs, reports
 from ..sources import elements as parsed
 from .catalog import _CHUNKS, _tree, merkle_root
+from .made import ELEMENTS, elements
 from .registry import query, table
 
 C = F.col
@@ -228,3 +229,73 @@ def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's gray picture as eight by six pixels."""
     out = images.resized_to(_images(spark, sf_dir, 1), 8, 6, bands=1)
     return out.select("image_id", F.posexplode("values").alias("place", "light")).select("image_id", "place", F.round(C("light").cast("double"), 2).alias("light"))
+
+
+# Boxes of pages ----------------------------------------------------------------------------------
+
+_BX = f"WITH {ELEMENTS}, bx AS (SELECT page_id AS image, ord AS box_id, x / 4 AS x, y / 4 AS y, width, height, 1 - (ord * 7 % 40) / 50 AS score FROM el)"
+_OW, _OH = "greatest(0, least({0}.x + {0}.width, {1}.x + {1}.width) - greatest({0}.x, {1}.x))", "greatest(0, least({0}.y + {0}.height, {1}.y + {1}.height) - greatest({0}.y, {1}.y))"
+
+
+def _iou(a: str, b: str) -> str:
+    both = f"({_OW} * {_OH})".format(a, b)
+    return f"({both} / ({a}.width * {a}.height + {b}.width * {b}.height - {both}))"
+
+
+def _element_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.lit(1.0) - (C("ord") * 7 % 40) / 50
+    return elements(spark, sf_dir).select(C("page_id").alias("image"), C("ord").alias("box_id"), (C("x") / 4).alias("x"), (C("y") / 4).alias("y"), "width", "height", score.alias("score"))
+
+
+@query(f"{_BX} SELECT a.image, a.box_id AS a, b.box_id AS b, round({_iou('a', 'b')}, 6) AS iou FROM bx a JOIN bx b ON a.image = b.image AND a.box_id < b.box_id AND a.x < b.x + b.width AND b.x < a.x + a.width AND a.y < b.y + b.height AND b.y < a.y + a.height")
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two elements of a page, drawn closer together, that share some area, and how much of both that is."""
+    box = lambda p: tuple(f"{p}_{n}" for n in ("x", "y", "width", "height"))
+    return grid.overlapping(_element_boxes(spark, sf_dir), "box_id", "image").select("image", "a", "b", F.round(boxes.iou(box("a"), box("b")), 6).alias("iou"))
+
+
+@query(f"{_BX} SELECT image, box_id, r * 12 + c AS tile FROM bx, range(12) p(c), range(10) q(r) WHERE x < (c + 1) * 100 AND x + width > c * 100 AND y < (r + 1) * 100 AND y + height > r * 100")
+def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of a page's first 1200 by 1000 pixels that each element touches."""
+    return boxes.tiles(_element_boxes(spark, sf_dir), 100, 12, 10).select("image", "box_id", C("tile").cast("long").alias("tile"))
+
+
+@query(
+    f"{_BX}, g AS (SELECT image, list(struct_pack(box_id := box_id, x := x, y := y, width := width, height := height) ORDER BY score DESC, box_id) AS l FROM bx GROUP BY image), "
+    f"k AS (SELECT image, list_reduce(list_transform(l, lambda b: [b]), lambda acc, n: CASE WHEN len(list_filter(acc, lambda k: {_iou('k', 'n[1]')} >= 0.3)) > 0 THEN acc ELSE list_concat(acc, n) END) AS l FROM g) SELECT image, unnest(list_transform(l, lambda b: b.box_id)) AS box_id FROM k"
+)
+def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page's elements those that no better one covers by three tenths."""
+    return boxes.suppressed(_element_boxes(spark, sf_dir), "image").select("image", "box_id")
+
+
+# Loading -----------------------------------------------------------------------------------------
+
+#: Frames of five by four tiles, so that one tile is few enough to be a spinner. What the second shows, by the key modulo 5: the same, a spinner, a flat patch, two patches far apart, another page.
+_LW, _LH = 80, 64
+_LA = "((x * 3 + y * 5 + k) % 16 + 100)"
+_LB = f"CASE WHEN k % 5 = 1 AND x >= 32 AND x < 48 AND y >= 16 AND y < 32 THEN 255 * ((x // 2 + y // 2) % 2) WHEN k % 5 = 2 AND x >= 16 AND x < 32 AND y >= 16 AND y < 32 THEN 200 WHEN k % 5 = 3 AND ((x < 4 AND y < 4) OR (x >= 76 AND y < 4)) THEN 255 WHEN k % 5 = 4 THEN (x * 11 + y * 3 + k) % 200 ELSE {_LA} END"
+_LPX = f"px AS (SELECT k, x, y, ({_LA})::DOUBLE AS a, ({_LB})::DOUBLE AS b FROM (SELECT s_suppkey AS k FROM supplier), range({_LW}) p(x), range({_LH}) q(y))"
+
+
+@query(
+    f"WITH {_LPX}, tl AS (SELECT k, x // 16 AS tx, y // 16 AS ty, avg(abs(a - b)) >= 8 AS c FROM px GROUP BY ALL), v AS (SELECT k, count(*) FILTER (c) / count(*) AS r, min(tx) FILTER (c) * 16 AS x0, min(ty) FILTER (c) * 16 AS y0, (max(tx) FILTER (c) + 1) * 16 AS x1, (max(ty) FILTER (c) + 1) * 16 AS y1 FROM tl GROUP BY k), "
+    f"eg AS (SELECT *, CASE WHEN x BETWEEN 1 AND {_LW - 2} AND y BETWEEN 1 AND {_LH - 2} THEN sqrt(pow(lead(b) OVER r - lag(b) OVER r, 2) + pow(lead(b) OVER d - lag(b) OVER d, 2)) >= 24 END AS e FROM px WINDOW r AS (PARTITION BY k, y ORDER BY x), d AS (PARTITION BY k, x ORDER BY y)), "
+    "n AS (SELECT v.k, avg(e::INT) AS edges FROM v JOIN eg ON eg.k = v.k AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY v.k), "
+    f"o AS (SELECT v.k, CASE WHEN x0 IS NULL OR r <= 0.0008 THEN 'no_animation' WHEN r > 0.06 THEN 'change_too_large' WHEN greatest(x1 - x0, y1 - y0) / {_LH} > 0.28 THEN 'change_not_compact' WHEN edges < 0.05 THEN 'region_unstructured' ELSE 'compact_structured_animation' END AS reason FROM v LEFT JOIN n USING (k)) "
+    "SELECT k AS frame, reason, reason = 'compact_structured_animation' AS is_loading, CASE WHEN reason = 'compact_structured_animation' THEN 'wait' WHEN k % 5 = 0 THEN 'flag_ineffective_action' END AS decision FROM o"
+)
+def loading_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of each supplier's screens is still loading, and what that asks for after a click."""
+    x, y, k = C("x"), C("y"), C("frame")
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_LW * _LH - 1).cast("bigint")))
+    grid_ = table(spark, sf_dir, "supplier").select(C("s_suppkey").cast("long").alias("frame"), at.alias("i")).select("frame", (C("i") % _LW).alias("x"), F.floor(C("i") / _LW).alias("y"))
+    a = (x * 3 + y * 5 + k) % 16 + 100
+    spinner, flat = (k % 5 == 1) & x.between(32, 47) & y.between(16, 31), (k % 5 == 2) & x.between(16, 31) & y.between(16, 31)
+    apart = (k % 5 == 3) & (y < 4) & ((x < 4) | (x >= 76))
+    b = F.when(spinner, 255 * ((F.floor(x / 2) + F.floor(y / 2)) % 2)).when(flat, 200).when(apart, 255).when(k % 5 == 4, (x * 11 + y * 3 + k) % 200).otherwise(a)
+    frame = lambda g: grid_.select("frame", "x", "y", g.cast("double").alias("gray"))
+    before, after = frame(a), frame(b)
+    changes = frames.compared(before, after)
+    rows = changes.join(frames.loading(changes, frames.with_edges(after)), "frame")
+    return rows.select("frame", "reason", "is_loading", frames.visual_decision(F.lit(True), C("is_loading"), F.lit("click"), C("verdict"), F.lit(False)).alias("decision"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions import patterns as P
-from ..operators import boundary, fields, risk, sequences, steps, tasks
+from ..operators import boundary, fields, risk, sequences, steps, stores, tasks
+from ..sources import elements as parsed
 from ..sources import fixtures
 from ..sources.fixtures import permuted
 from .made import ACTIONS, ELEMENTS, HISTORY, elements, history, picked, picked_sql
@@ -256,3 +257,50 @@ def field_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [picked([r[i] for r in fixtures.FIELDS], e) for i in range(1, 5)]
     rows = table(spark, sf_dir, "events").select(e, (F.floor(e / 3) % 4).alias("kind"), fields.field_key(own[0], own[1], own[2], selector=own[3]).alias("key"))
     return _scored(rows, e % 5 != 0, C("key").isNotNull(), "kind")
+
+
+# Payloads, options, visits, loading --------------------------------------------------------------
+
+
+@query(
+    "SELECT event_id, '{\"sessionId\":\"s' || user_id || '\",\"domSkeleton\":[{\"id\":\"e' || event_id % 97 || '\",\"box\":{\"x\":' || event_id % 50 || '.5,\"y\":2.0,\"width\":3.0,\"height\":4.0},\"enabled\":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}],"
+    "\"actionHistory\":[{\"action\":\"fill\",\"value\":\"' || CASE WHEN event_id % 3 = 0 THEN '[FILLED_FROM_LOCAL]' ELSE '[REDACTED]' END || '\"},{\"action\":\"click\"}],\"visualState\":{\"isLoading\":' || CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 4 > 0 THEN ',\"dialogRegion\":{\"x\":1.0,\"y\":2.0,\"width\":3.0,\"height\":4.0}' ELSE '' END || '}}' AS sent FROM events WHERE user_id IS NOT NULL"
+)
+def outbound_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event a payload with keys that may not leave at each level, as it is sent."""
+    e, lit = C("event_id"), F.lit
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    json = F.concat(
+        lit('{"cookie":"c=1","sessionId":"s'), C("user_id"), lit('","domSkeleton":[{"id":"e'), e % 97, lit('","innerHTML":"<b>","value":"secret","box":{"x":'), e % 50, lit('.5,"y":2,"width":3,"height":4,"z":9},"enabled":'), flag(e % 2 == 0),
+        lit(',"more":{"a":[1,{"b":2}]}}],"actionHistory":[{"action":"fill","value":"'), F.when(e % 3 == 0, "[FILLED_FROM_LOCAL]").otherwise("my secret"), lit('","token":"t"},{"action":"click","password":{"p":1}}],"visualState":{"isLoading":'), flag(e % 5 == 0),
+        lit(',"pixels":[1,2],"dialogRegion":{"x":1,"y":2,"width":3'), F.when(e % 4 > 0, ',"height":4').otherwise(""), lit('}},"__proto__":{"x":1}}'),
+    )
+    return table(spark, sf_dir, "events").filter("user_id is not null").select(e, stores.outbound_payload(json).alias("sent"))
+
+
+@query(
+    "SELECT page_id, CAST(n + 1 AS BIGINT) AS n_options, array_to_string(list_transform(range(0, least(n, 4) + 1), lambda i: 'o' || i || ':' || CASE WHEN i = 0 THEN '' ELSE 'v' || i END || ':' || CASE WHEN i = 0 THEN '-' WHEN i <= 2 THEN 'near' ELSE 'far' END || ':' || CASE WHEN i = page_id % 5 THEN 'x' ELSE '' END || ':' || CASE WHEN i > 2 THEN 'off' ELSE 'on' END), ',') AS shown FROM (SELECT page_id, page_id % 9 AS n FROM pages)"
+)
+def page_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five options of a list with groups that is put before every page."""
+    p, n = C("page_id"), C("page_id") % 9
+    one = lambda i: F.concat(F.lit('<option value="v'), i.cast("string"), F.lit('"'), F.when(i == p % 5, " selected").otherwise(""), F.lit(">o"), i.cast("string"), F.lit("</option>"))
+    some = lambda a, b: F.array_join(F.transform(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")), one), "")
+    at = lambda x: F.lit(x).cast("bigint")
+    first = F.concat(F.lit('<select><option value=""'), F.when(p % 5 == 0, " selected").otherwise(""), F.lit(">o0</option>"))
+    html = F.concat(first, F.lit('<optgroup label="near">'), some(at(1), F.least(n, at(2))), F.lit('</optgroup><optgroup label="far" disabled>'), some(at(3), n), F.lit("</optgroup></select>"), F.coalesce("html", F.lit("")))
+    items = parsed.page_items(table(spark, sf_dir, "pages").select(p, html.alias("html")))
+    said = F.transform("options", lambda o: F.concat_ws(":", o["label"], o["value"], F.coalesce(o["group"], F.lit("-")), F.when(o["selected"], "x").otherwise(""), F.when(o["enabled"], "on").otherwise("off")))
+    return parsed.select_options(items, 5).filter("ord = 1").select("page_id", "n_options", F.array_join(said, ",").alias("shown"))
+
+
+_VISITED = "SELECT e.event_id, e.user_id, e.ts, p.url || CASE WHEN e.event_id % 3 = 0 THEN '#part' || e.event_id % 7 ELSE '' END AS url FROM events e JOIN pages p ON p.page_id = e.event_id % 20"
+
+
+@query(f"WITH v AS (SELECT *, split_part(url, '#', 1) AS page FROM ({_VISITED})), f AS (SELECT * FROM v WHERE page IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, page ORDER BY ts, event_id) = 1) SELECT event_id, user_id, page, lag(page) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_page FROM f")
+def page_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event a look at one of the pages, at times at a part of it: the first look of each user at each address."""
+    e, pages = C("event_id"), table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("page_id", e % 20).join(pages, "page_id")
+    seen = rows.withColumn("url", F.concat("url", F.when(e % 3 == 0, F.concat(F.lit("#part"), (e % 7).cast("string"))).otherwise("")))
+    return sequences.first_visits(seen, "user_id", ["ts", "event_id"], "url").select("event_id", "user_id", "page", "from_page")

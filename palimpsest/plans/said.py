@@ -132,10 +132,10 @@ def items_on_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).drop("ord").join(first, ["page_id", "element_id"]).select("page_id", "ord", "type", "confidence")
 
 
-@query(f"WITH {ELEMENTS} SELECT label, count(*) AS n FROM (SELECT coalesce(nullif(trim(text), ''), nullif(trim(aria_label), ''), nullif(trim(placeholder), ''), 'this element') AS label FROM el WHERE NOT contains(coalesce(text, ''), '@') AND NOT contains(coalesce(aria_label, ''), '4111')) GROUP BY label")
+@query(f"WITH {ELEMENTS} SELECT label, count(*) AS n FROM (SELECT coalesce(nullif(trim({CLEAN.format(chr(123) + '0' + chr(125))}), ''), 'this element') AS label FROM (SELECT coalesce(nullif(trim(text), ''), nullif(trim(aria_label), ''), nullif(trim(placeholder), '')) AS first FROM el)) GROUP BY label".replace("{0}", "first"))
 def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = elements(spark, sf_dir).filter(~E.said(C("text")).contains("@") & ~E.said(C("aria_label")).contains("4111"))
-    return rows.groupBy(R.shown_label(C("text"), C("aria_label"), C("placeholder")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """What every element is called where a user reads it, addresses and long numbers masked."""
+    return elements(spark, sf_dir).groupBy(R.shown_label(C("text"), C("aria_label"), C("placeholder")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _CLASS = "CASE WHEN text IN ('Delete account') THEN 'DELETE' WHEN text = 'Submit order' OR type = 'input:submit' THEN 'SUBMIT' END"

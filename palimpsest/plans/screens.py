@@ -159,15 +159,15 @@ _GROUND = "CASE WHEN tag IN ('button', 'input', 'select', 'textarea', 'a') THEN
 
 
 @query(
-    f"{WITH}, p AS (SELECT user_id AS page_id, event_id AS point_id, (event_id * 31 % 1200)::DOUBLE AS px, (event_id * 47 % 1500)::DOUBLE AS py FROM events WHERE event_id % 10 = 0 AND user_id IS NOT NULL), "
+    f"{WITH}, p AS (SELECT user_id AS page_id, event_id AS point_id, (event_id * 31 % 1200)::DOUBLE AS px, (event_id * 47 % 1500)::DOUBLE AS py FROM events WHERE user_id IS NOT NULL), "
     f"j AS (SELECT p.*, el.id, el.ord, px BETWEEN x AND x + width AND py BETWEEN y AND y + height AS inside, {_GROUND} AS score, width * height AS area, sqrt((px - x - width / 2) * (px - x - width / 2) + (py - y - height / 2) * (py - y - height / 2)) * CASE WHEN tag IN ('button', 'input', 'select', 'textarea', 'a') OR type = 'button' THEN 0.8 ELSE 1 END AS far FROM p JOIN el USING (page_id) WHERE coalesce(enabled, true) AND visible) "
     "SELECT page_id, point_id, id AS element_id, CASE WHEN inside THEN 'EXACT_CONTAINMENT' ELSE 'APPROXIMATE_PROXIMITY' END AS method, CASE WHEN inside THEN 0 ELSE floor(far + 0.5)::BIGINT END AS distance, round(CASE WHEN inside THEN 1 ELSE greatest(0.2, (45 - far) / 45) END, 6)::DOUBLE AS confidence FROM j WHERE inside OR far <= 45 "
     "QUALIFY row_number() OVER (PARTITION BY page_id, point_id ORDER BY inside DESC, CASE WHEN inside THEN -score ELSE far END, CASE WHEN inside THEN area ELSE 0 END, ord) = 1"
 )
 def ground_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth event a point; its element by specificity, or by nearness."""
+    """Every event a point; its element by specificity, or by nearness."""
     e = C("event_id")
-    points = table(spark, sf_dir, "events").filter("event_id % 10 = 0 and user_id is not null").select(C("user_id").alias("page_id"), e.alias("point_id"), (e * 31 % 1200).alias("px"), (e * 47 % 1500).alias("py"))
+    points = table(spark, sf_dir, "events").filter("user_id is not null").select(C("user_id").alias("page_id"), e.alias("point_id"), (e * 31 % 1200).alias("px"), (e * 47 % 1500).alias("py"))
     return boxes.grounded(points, elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 

@@ -222,6 +222,12 @@ def items_of(html: str) -> Iterator[dict]:
             }
         if n.tag == "label" and a.get("for"):
             yield base | {"kind": "label", "target": a["for"], "text": words()}
+        if n.tag == "option":
+            within = next((x for x in n.up() if x.tag == "select"), None)
+            group = next((x for x in n.up() if x.tag == "optgroup"), None)
+            off = "disabled" in a or (group is not None and "disabled" in group.attrs)
+            if within is not None:
+                yield base | {"kind": "option", "parent": within.ord, "text": words()[:100], "value": a.get("value", words()), "checked": "selected" in a, "enabled": not off, "target": group.attrs.get("label") if group is not None else None}
         mark = LANDMARK_TAGS.get(n.tag) or (role if role in LANDMARK_ROLES else None)
         if mark:
             heading = first_inside(heads, n)
@@ -326,6 +332,18 @@ def of_kind(items: DataFrame, kind: str, *columns: str, most: int | None = None)
     return rows.select("page_id", "ord", *columns)
 
 
+def select_options(items: DataFrame, most: int = 50) -> DataFrame:
+    """(page_id, ord, options, n_options) of every select element: its first `most` options in order, as structs label, value, group, selected, enabled."""
+    c = F.col
+    one = F.struct("ord", F.struct(c("text").alias("label"), "value", c("target").alias("group"), c("checked").alias("selected"), "enabled").alias("o"))
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("ord"))
+    rows = items.filter("kind = 'option'").withColumn("__k", place)
+    listed = F.transform(F.array_sort(F.collect_list(F.when(c("__k") <= most, one))), lambda s: s["o"])
+    return rows.groupBy("page_id", c("parent").alias("ord")).agg(listed.alias("options"), F.count(F.lit(1)).alias("n_options"))
+
+
 def interactive(items: DataFrame) -> DataFrame:
     """Elements to act on, with their types, names, labels and safe values, as `operators.elements` takes them."""
     rows = items.filter("kind = 'element'")

@@ -26,6 +26,21 @@ def test_points_boxes_and_centres(spark):
     assert sorted((a["pid"], a["bid"]) for a in grid.near(pdf, cdf, 45.0, "page").select("pid", "bid").collect()) == want
 
 
+def test_overlaps_and_suppression(spark):
+    r = random.Random(7)
+    made = [(p, i, r.uniform(-60, 500), r.uniform(-60, 500), r.choice((0.0, 5.0, 32.0, 64.0, 300.0, 2000.0)), r.choice((8.0, 32.0, 90.0, 700.0)), r.choice((0.1, 0.5, 0.9))) for p in (1, 2) for i in range(70)]
+    df = spark.createDataFrame(made, "image long, box_id long, x double, y double, width double, height double, score double")
+    shared = lambda a, b: max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) * max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+    want = sorted((a[0], a[1], b[1]) for a in made for b in made if a[0] == b[0] and a[1] < b[1] and shared(a, b) > 0)
+    assert sorted((x["image"], x["a"], x["b"]) for x in grid.overlapping(df, "box_id", "image").collect()) == want
+    for threshold in (0.05, 0.3):
+        kept = []
+        for a in sorted(made, key=lambda a: (a[0], -a[6], a[1])):
+            if all(k[0] != a[0] or not (u := a[4] * a[5] + k[4] * k[5] - shared(a, k)) > 0 or shared(a, k) / u < threshold for k in kept):
+                kept.append(a)
+        assert sorted((x["image"], x["box_id"]) for x in boxes.suppressed(df, "image", threshold).collect()) == sorted(k[:2] for k in kept)
+
+
 def test_a_page_of_many_elements_has_no_quadratic_step(spark):
     """Thousands of elements and points on one page: pairs stay near the number of points."""
     n = 20_000
