@@ -193,7 +193,7 @@ def items_of(html: str) -> Iterator[dict]:
     nodes = tree.nodes
     selectors = Selectors(nodes)
     by_id = {n.attrs["id"]: n for n in reversed(nodes) if n.attrs.get("id")}
-    heads = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4")]
+    headings = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4")]
     titles = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4") or n.attrs.get("role") == "heading" or re.search(r"(modal|dialog)-title", n.attrs.get("class", ""))]
     forms = {id(n): n.attrs.get("id") or f"form_{i}" for i, n in enumerate(x for x in nodes if x.tag == "form")}
     for n in nodes:
@@ -230,7 +230,7 @@ def items_of(html: str) -> Iterator[dict]:
                 yield base | {"kind": "option", "parent": within.ord, "text": words()[:100], "value": a.get("value", words()), "checked": "selected" in a, "enabled": not off, "target": group.attrs.get("label") if group is not None else None}
         mark = LANDMARK_TAGS.get(n.tag) or (role if role in LANDMARK_ROLES else None)
         if mark:
-            heading = first_inside(heads, n)
+            heading = first_inside(headings, n)
             label = a.get("aria-label") or named or a.get("title") or (heading.text()[:80] if heading else None)
             yield base | {"kind": "landmark", "type": mark, "text": label or None}
         if re.fullmatch("h[1-6]", n.tag) or role == "heading":
