@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect
 from ..operators import boundary, boxes, frames, grid, images, layout, proofs, reports
 from ..sources import elements as parsed
+from ..storage import checkpointed
 from .catalog import _CHUNKS, _tree, merkle_root
 from .made import ELEMENTS, elements
 from .registry import query, table
@@ -296,6 +297,6 @@ def loading_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.when(spinner, 255 * ((F.floor(x / 2) + F.floor(y / 2)) % 2)).when(flat, 200).when(apart, 255).when(k % 5 == 4, (x * 11 + y * 3 + k) % 200).otherwise(a)
     frame = lambda g: grid_.select("frame", "x", "y", g.cast("double").alias("gray"))
     before, after = frame(a), frame(b)
-    changes = frames.compared(before, after)
-    rows = changes.join(frames.loading(changes, frames.with_edges(after)), "frame")
+    changes = checkpointed(frames.compared(before, after))
+    rows = changes.join(frames.loading(changes, after), "frame")
     return rows.select("frame", "reason", "is_loading", frames.visual_decision(F.lit(True), C("is_loading"), F.lit("click"), C("verdict"), F.lit(False)).alias("decision"))
