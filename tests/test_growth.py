@@ -24,3 +24,15 @@ def test_pixels_are_never_sent_to_all_tasks(spark):
     assert "Broadcast" not in planned(changes)
     got = {r["frame"]: r for r in changes.collect()}
     assert [(got[k]["comparable"], got[k]["changed_tiles"], got[k]["total_tiles"], got[k]["x"], got[k]["width"]) for k in range(4)] == [(True, 0, 24, None, None), (True, 1, 24, 0, 16), (True, 0, 24, None, None), (False, 0, 0, None, None)]
+
+
+def test_edges_of_small_changes_alone(spark):
+    """Pixels without edges get them where they count, and the reasons are those of all edges."""
+    x, y, k = F.col("x"), F.col("y"), F.col("frame")
+    before = grown(spark, (x * 3 + y * 5 + k) % 16 + 100)
+    inside = x.between(16, 31) & y.between(16, 31)
+    after = grown(spark, F.when((k == 1) & inside, 255 * (F.floor(x / 2) + F.floor(y / 2)) % 510).when((k == 2) & inside, 200).when((k == 3) & ((x < 40) | (y < 20)), 0).otherwise((x * 3 + y * 5 + k) % 16 + 100))
+    changes = frames.compared(before, after)
+    want = {r["frame"]: r["reason"] for r in frames.loading(changes, frames.with_edges(after)).collect()}
+    assert {r["frame"]: r["reason"] for r in frames.loading(changes, after).collect()} == want
+    assert want == {0: "no_animation", 1: "compact_structured_animation", 2: "compact_structured_animation", 3: "change_too_large"}
