@@ -52,18 +52,18 @@ def tile_leaves(images: DataFrame, size: int = TILE, bands: int = BANDS) -> Data
 
 
 def _each(images: DataFrame, of: Callable[[np.ndarray], np.ndarray], bands: int) -> DataFrame:
-    """(image_id, values): of(an image, height by width by bands) as floats, row by row; null for images that aren't whole."""
+    """(image_id, values): of(an image, height by width by bands) as doubles, row by row; null for images that aren't whole."""
     kind = dict(images.dtypes)["image_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for w, h, p in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                out.append(None if p is None else of(np.frombuffer(p, np.uint8).reshape(h, w, bands)).astype(np.float32).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], ["image_id", "values"])
+                out.append(None if p is None else of(np.frombuffer(p, np.uint8).reshape(h, w, bands)).astype(float).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["image_id", "values"])
 
     rows = images.select("image_id", "width", "height", F.when(whole(bands), F.col("pixels")).alias("pixels"))
-    return rows.mapInArrow(run, f"image_id {kind}, values array<float>")
+    return rows.mapInArrow(run, f"image_id {kind}, values array<double>")
 
 
 def gray_of(image: np.ndarray) -> np.ndarray:

@@ -229,7 +229,7 @@ _FX, _FY = f"({_AX} - floor({_AX}))", f"({_AY} - floor({_AY}))"
 def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's gray picture as eight by six pixels."""
     out = images.resized_to(_images(spark, sf_dir, 1), 8, 6, bands=1)
-    return out.select("image_id", F.posexplode("values").alias("place", "light")).select("image_id", "place", F.round(C("light").cast("double"), 2).alias("light"))
+    return out.select("image_id", F.posexplode("values").alias("place", "light")).select("image_id", "place", F.round("light", 2).alias("light"))
 
 
 # Boxes of pages ----------------------------------------------------------------------------------

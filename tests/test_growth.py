@@ -1,8 +1,9 @@
 """Steps whose work has to grow no faster than the input: how they are planned, and that they find the same."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frames
+from palimpsest.operators import frames, images
 
 
 def grown(spark, gray):
@@ -36,3 +37,10 @@ def test_edges_of_small_changes_alone(spark):
     want = {r["frame"]: r["reason"] for r in frames.loading(changes, frames.with_edges(after)).collect()}
     assert {r["frame"]: r["reason"] for r in frames.loading(changes, after).collect()} == want
     assert want == {0: "no_animation", 1: "compact_structured_animation", 2: "compact_structured_animation", 3: "change_too_large"}
+
+
+def test_sizes_keep_all_digits(spark):
+    made = np.random.default_rng(5).integers(0, 256, (9, 14), dtype=np.uint8)
+    df = spark.createDataFrame([(1, 14, 9, bytearray(made.tobytes()))], "image_id long, width int, height int, pixels binary")
+    got = images.resized_to(df, 8, 6, bands=1).first()["values"]
+    assert np.abs(np.array(got) - frames.resized(made.astype(float), 6, 8).ravel()).max() < 1e-12
