@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .boundary import ALLOWED_ELEMENT, ALLOWED_HISTORY, ALLOWED_REQUEST, history_value
 from .elements import said
 
@@ -139,12 +140,14 @@ def outbound_payload(json: Column) -> Column:
     Values of the history are neutralised, boxes of the visual state that lack a number are left out, and so are null
     fields. What is no JSON object, and null, becomes null. Other listed parts that are objects stay as their JSON text.
     """
-    payload = F.from_json(json, PAYLOAD_SCHEMA)
-    state = payload["visualState"]
-    for box in VISUAL_BOXES:
-        state = state.withField(box, visual_box(payload["visualState"][box]))
-    safe = payload.withField("actionHistory", outbound_history(payload["actionHistory"])).withField("visualState", F.when(payload["visualState"].isNotNull(), state))
-    return F.when(F.trim(json).startswith("{"), F.to_json(safe))
+    def safe(payload: Column) -> Column:
+        state = payload["visualState"]
+        for box in VISUAL_BOXES:
+            state = state.withField(box, visual_box(payload["visualState"][box]))
+        return payload.withField("actionHistory", outbound_history(payload["actionHistory"])).withField("visualState", F.when(payload["visualState"].isNotNull(), state))
+
+    # a payload is parsed once, not for each part that names it
+    return F.when(F.trim(json).startswith("{"), let(F.from_json(json, PAYLOAD_SCHEMA), lambda payload: F.to_json(safe(payload))))
 
 
 def outbound_history(items: Column) -> Column:

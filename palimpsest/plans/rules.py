@@ -11,6 +11,7 @@ from ..operators import boundary, fields, risk, sequences, steps, stores, tasks
 from ..sources import elements as parsed
 from ..sources import fixtures
 from ..sources.fixtures import permuted
+from ..storage import spread
 from .made import ACTIONS, ELEMENTS, HISTORY, elements, history, picked, picked_sql
 from .registry import QUERIES, SQL, query, table, text, values
 from .screens import ROLE_SQL, role
@@ -275,7 +276,8 @@ def outbound_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         lit(',"more":{"a":[1,{"b":2}]}}],"actionHistory":[{"action":"fill","value":"'), F.when(e % 3 == 0, "[FILLED_FROM_LOCAL]").otherwise("my secret"), lit('","token":"t"},{"action":"click","password":{"p":1}}],"visualState":{"isLoading":'), flag(e % 5 == 0),
         lit(',"pixels":[1,2],"dialogRegion":{"x":1,"y":2,"width":3'), F.when(e % 4 > 0, ',"height":4').otherwise(""), lit('}},"__proto__":{"x":1}}'),
     )
-    return table(spark, sf_dir, "events").filter("user_id is not null").select(e, stores.outbound_payload(json).alias("sent"))
+    rows = spread(table(spark, sf_dir, "events").filter("user_id is not null").select(e, "user_id"), "event_id")
+    return rows.select(e, stores.outbound_payload(json).alias("sent"))
 
 
 @query(

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.operators import frames, images
+from palimpsest.plans import rules
 
 
 def grown(spark, gray):
@@ -44,3 +45,9 @@ def test_sizes_keep_all_digits(spark):
     df = spark.createDataFrame([(1, 14, 9, bytearray(made.tobytes()))], "image_id long, width int, height int, pixels binary")
     got = images.resized_to(df, 8, 6, bands=1).first()["values"]
     assert np.abs(np.array(got) - frames.resized(made.astype(float), 6, 8).ravel()).max() < 1e-12
+
+
+def test_payloads_are_parsed_once_by_all_cores(spark):
+    sent = rules.outbound_payloads(spark, "/root/testdata/sf0.001")
+    assert sent._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sent.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
