@@ -32,12 +32,14 @@ def levels(leaves: DataFrame, key: str, most: int = 62) -> DataFrame:
     over pairs, written before the next, so a tree of any number of leaves is built without
     gathering them. Trees of more levels than `most` are an error.
     """
+    # leaves are hashes of what may take long to work out, so they are written once
+    leaves = checkpointed(leaves.select(key, F.col("index").cast("long"), "hash"))
     sized = leaves.groupBy(key).agg(F.max("index").alias("last"), F.max_by("hash", "index").alias("pad"))
     deep = checkpointed(sized.withColumn("depth", F.when(F.col("last") > 0, F.length(F.bin("last"))).otherwise(0)))
     top = deep.agg(F.max("depth")).first()[0] or 0
     if top > most:
         raise ValueError(f"a tree of {top} levels; {most} at most")
-    level = checkpointed(leaves.select(key, F.col("index").cast("long"), "hash").join(deep.select(key, "depth", "pad"), key))
+    level = checkpointed(leaves.join(deep.select(key, "depth", "pad"), key))
     out = level.withColumn("level", F.lit(0))
     for n in range(1, top + 1):
         pairs = level.filter(F.col("depth") >= n).groupBy(key, F.shiftright("index", 1).alias("index"), "depth", "pad").agg(F.min_by("hash", "index").alias("l"), F.max_by("hash", "index").alias("r"), F.count(F.lit(1)).alias("c"))

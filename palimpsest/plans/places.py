@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect
 from ..operators import boundary, boxes, frames, grid, images, layout, proofs, reports
 from ..sources import elements as parsed
-from ..storage import checkpointed
+from ..storage import checkpointed, spread
 from .catalog import _CHUNKS, _tree, merkle_root
 from .made import ELEMENTS, elements
 from .registry import query, table
@@ -187,7 +187,7 @@ _BYTE = "((x * 7 + y * 13 + k * 5 + b * 31) % 256)"
 
 def _images(spark: SparkSession, sf_dir: str, bands: int) -> DataFrame:
     """A small picture for each supplier, its bytes worked out from its key."""
-    rows = table(spark, sf_dir, "supplier").select(C("s_suppkey").cast("long").alias("k")).select("k", F.expr(_W).cast("int").alias("width"), F.expr(_H).cast("int").alias("height"))
+    rows = spread(table(spark, sf_dir, "supplier").select(C("s_suppkey").cast("long").alias("k")), "k").select("k", F.expr(_W).cast("int").alias("width"), F.expr(_H).cast("int").alias("height"))
     byte = F.expr(f"array_join(transform(sequence(0L, cast(width * height * {bands} - 1 as bigint)), i -> lpad(hex((((i div {bands}) % width) * 7 + ((i div {bands}) div width) * 13 + k * 5 + (i % {bands}) * 31) % 256), 2, '0')), '')")
     return rows.select(C("k").alias("image_id"), "width", "height", F.unhex(byte).alias("pixels"))
 
@@ -202,8 +202,8 @@ _TILES = (
 @query(f"WITH {_TILES}, {_tree(3).replace(_CHUNKS, 'SELECT doc_id, index, h FROM tl')} SELECT doc_id AS image_id, h[1] AS root, true AS verified FROM l3")
 def image_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The root over the tiles of each supplier's picture, and whether the proofs of all its tiles lead there."""
-    leaves = images.tile_leaves(_images(spark, sf_dir, 4), 16)
-    tree = proofs.levels(leaves, "image_id")
+    tree = proofs.levels(images.tile_leaves(_images(spark, sf_dir, 4), 16), "image_id")
+    leaves = tree.filter("level = 0").select("image_id", "index", "hash")
     roots = proofs.roots(tree, "image_id")
     found = proofs.proofs(tree, leaves.select("image_id", "index"), "image_id").join(leaves, ["image_id", "index"]).join(roots, "image_id")
     return found.groupBy("image_id", "root").agg(F.bool_and(proofs.recomputed(C("hash"), C("path")) == C("root")).alias("verified"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frames, images
+from palimpsest.operators import frames, images, proofs
 from palimpsest.plans import rules
 
 
@@ -51,3 +51,17 @@ def test_payloads_are_parsed_once_by_all_cores(spark):
     sent = rules.outbound_payloads(spark, "/root/testdata/sf0.001")
     assert sent._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert sent.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_leaves_are_worked_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def hashed(n):
+        made.add(1)
+        return f"{n:064x}"
+
+    leaves = spark.range(10).select((F.col("id") % 2).alias("doc"), F.floor(F.col("id") / 2).alias("index")).withColumn("hash", hashed("index"))
+    tree = proofs.levels(leaves, "doc")
+    assert proofs.roots(tree, "doc").count() == 2 and proofs.proofs(tree, tree.filter("level = 0").select("doc", "index"), "doc").count() == 10
+    assert made.value == 10
