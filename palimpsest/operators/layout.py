@@ -29,20 +29,23 @@ def climbed(rows: DataFrame, page: str, key: str, up: str, combine: dict[str, Ca
     c = F.col
     done, open_ = rows.filter(c(up).isNull()), checkpointed(rows.filter(c(up).isNotNull()))
     settled, lost = [done], []
-    every = rows
+    # of the rows at the top only those that others point at are met, here and in all rounds
+    asked = open_.select(page, c(up).alias(key)).distinct()
+    heads = checkpointed(done.join(asked, [page, key], "left_semi"))
+    every = heads.unionByName(open_)
     for _ in range(ROUNDS):
         if open_.isEmpty():
             break
-        above = every.select(c(page).alias("__page"), c(key).alias("__key"), c(up).alias("__up"), *(c(n).alias(f"__{n}") for n in combine))
+        above = every.select(c(page).alias("__page"), c(key).alias("__key"), c(up).alias("__over"), *(c(n).alias(f"__{n}") for n in combine))
         met = open_.join(above, (c(page) == c("__page")) & (c(up) == c("__key")), "left")
-        taken = met.select(*(f(c(f"__{n}"), c(n)).alias(n) if (f := combine.get(n)) else F.when(c("__key").isNotNull(), c("__up")).otherwise(c(up)).alias(up) if n == up else c(n) for n in rows.columns), c("__key").isNull().alias("__none"))
+        taken = met.select(*(f(c(f"__{n}"), c(n)).alias(n) if (f := combine.get(n)) else F.when(c("__key").isNotNull(), c("__over")).otherwise(c(up)).alias(up) if n == up else c(n) for n in rows.columns), c("__key").isNull().alias("__none"))
         taken = checkpointed(taken)
         lost.append(taken.filter("__none").drop("__none"))
         now = taken.filter("not __none").drop("__none")
         settled.append(now.filter(c(up).isNull()))
         open_ = now.filter(c(up).isNotNull())
         # rows that have got to the top stay there for the others to point at; lost ones are no longer met, so what points at them is lost too
-        every = settled[0]
+        every = heads
         for s in (*settled[1:], open_):
             every = every.unionByName(s)
     out = settled[0]
@@ -81,10 +84,9 @@ def placed(nodes: DataFrame) -> DataFrame:
     """
     c = F.col
     own = F.struct(F.coalesce("z", F.lit(0)).cast("int").alias("z"), c("ord").cast("long").alias("ord"))
-    rows = nodes.select("page_id", "ord", "up", c("left").alias("x"), c("top").alias("y"), F.when(c("z").isNotNull(), F.array(own)).otherwise(F.array_repeat(own, 0)).alias("layer"))
-    out = climbed(rows, "page_id", "ord", "up", {"x": plus, "y": plus, "layer": lambda a, b: F.concat(a, b)}).drop("up")
-    have = nodes.join(out, ["page_id", "ord"])
-    return have.withColumn("layer", F.when(c("x").isNotNull() & c("y").isNotNull(), F.when(c("z").isNotNull(), c("layer")).otherwise(F.concat("layer", F.array(own)))))
+    rows = checkpointed(nodes).withColumns({"__up": c("up"), "x": c("left"), "y": c("top"), "layer": F.when(c("z").isNotNull(), F.array(own)).otherwise(F.array_repeat(own, 0))})
+    out = climbed(rows, "page_id", "ord", "__up", {"x": plus, "y": plus, "layer": lambda a, b: F.concat(a, b)}).drop("__up")
+    return checkpointed(out.withColumn("layer", F.when(c("x").isNotNull() & c("y").isNotNull(), F.when(c("z").isNotNull(), c("layer")).otherwise(F.concat("layer", F.array(own))))))
 
 
 def topmost(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,10 +107,11 @@ def hit_tested(nodes: DataFrame, width: int, height: int) -> DataFrame:
     c = F.col
     middle = lambda at, size, most: F.least(F.greatest(c(at) + c(size) / 2, F.lit(0.0)), F.lit(float(most - 1)))
     seen = (c("width") > 0) & (c("height") > 0) & (c("x") + c("width") > 0) & (c("y") + c("height") > 0) & (c("x") < width) & (c("y") < height)
-    points = nodes.filter(c("shown") & c("layer").isNotNull() & seen).select("page_id", c("ord").alias("point_id"), middle("x", "width", width).alias("px"), middle("y", "height", height).alias("py"))
+    nodes = nodes.withColumn("__seen", F.coalesce(c("shown") & c("layer").isNotNull() & seen, F.lit(False)))
+    points = nodes.filter("__seen").select("page_id", c("ord").alias("point_id"), middle("x", "width", width).alias("px"), middle("y", "height", height).alias("py"))
     found = topmost(points, nodes).withColumnRenamed("point_id", "ord")
     related = c("top_ord").between(c("ord"), c("last")) | c("ord").between(c("top_ord"), c("top_last"))
-    met = nodes.join(points.select("page_id", c("point_id").alias("ord"), F.lit(True).alias("__seen")), ["page_id", "ord"], "left").join(found, ["page_id", "ord"], "left")
+    met = nodes.join(found, ["page_id", "ord"], "left")
     return met.withColumn("visible", F.coalesce(c("__seen") & (c("top_ord").isNull() | related), F.lit(False))).drop("__seen", "top_last")
 
 

@@ -60,7 +60,7 @@ _NODES = (
 def hit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies on top of each of the boxes put before every page, and which of them are to be seen."""
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(_stack(C("page_id")), F.coalesce("html", F.lit(""))).alias("html"))
-    nodes = layout.placed(parsed.page_boxes(p))
+    nodes = layout.placed(parsed.page_boxes(p).select("page_id", "ord", "last", "up", "shown", "left", "top", "width", "height", "z"))
     return layout.hit_tested(nodes, 1024, 768).filter(C("ord") <= 2 * _STACK + 1).select("page_id", "ord", "top_ord", "visible")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frames, images, proofs
+from palimpsest.operators import frames, images, layout, proofs
 from palimpsest.plans import rules
 
 
@@ -65,3 +65,24 @@ def test_leaves_are_worked_out_once(spark):
     tree = proofs.levels(leaves, "doc")
     assert proofs.roots(tree, "doc").count() == 2 and proofs.proofs(tree, tree.filter("level = 0").select("doc", "index"), "doc").count() == 10
     assert made.value == 10
+
+
+def counted(spark, rows, column):
+    """rows, with one column from a function that counts its calls."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf(dict(rows.dtypes)[column])
+    def same(v):
+        made.add(1)
+        return v
+
+    return rows.withColumn(column, same(column)), made
+
+
+def test_nodes_are_worked_out_once_and_placed(spark):
+    schema = "page_id long, ord int, last int, up int, shown boolean, left double, top double, width double, height double, z int"
+    rows = [(1, 1, 4, None, True, 10.0, 20.0, 100.0, 100.0, None), (1, 2, 3, 1, True, 5.0, 5.0, 50.0, 50.0, 2), (1, 3, 3, 2, True, 1.0, 1.0, 10.0, 10.0, None), (1, 4, 4, 1, True, 5.0, 5.0, 50.0, 50.0, 1), (2, 1, 1, None, True, None, None, 5.0, 5.0, None), (2, 2, 2, 9, True, 1.0, 1.0, 5.0, 5.0, None)]
+    nodes, made = counted(spark, spark.createDataFrame(rows, schema), "width")
+    got = {(r["page_id"], r["ord"]): (r["x"], r["y"], r["top_ord"], r["visible"]) for r in layout.hit_tested(layout.placed(nodes), 1024, 768).collect()}
+    assert made.value == len(rows)
+    assert got == {(1, 1): (10.0, 20.0, 2, True), (1, 2): (15.0, 25.0, 2, True), (1, 3): (16.0, 26.0, 3, True), (1, 4): (15.0, 25.0, 2, False), (2, 1): (None, None, None, False), (2, 2): (None, None, None, False)}
