@@ -118,12 +118,14 @@ def hit_tested(nodes: DataFrame, width: int, height: int) -> DataFrame:
 def pierced(nodes: DataFrame) -> DataFrame:
     """Adds path to nodes (page_id, ord, host, selector): the selectors of the shadow hosts around a node and its own, joined by ` >>> `."""
     c = F.col
+    nodes = checkpointed(nodes)
     hosts = nodes.select("page_id", c("host").alias("ord")).filter("ord is not null").distinct()
     # only hosts are pointed at, so only their paths are worked out by rounds
     rows = nodes.join(hosts, ["page_id", "ord"], "left_semi").select("page_id", "ord", c("host").alias("up"), c("selector").alias("host_path"))
     paths = climbed(rows, "page_id", "ord", "up", {"host_path": lambda a, b: F.concat(a, F.lit(" >>> "), b)})
-    out = nodes.join(paths.select("page_id", c("ord").alias("host"), "host_path"), ["page_id", "host"], "left")
-    return out.withColumn("path", F.when(c("host").isNull(), c("selector")).otherwise(F.concat("host_path", F.lit(" >>> "), "selector"))).drop("host_path")
+    inside = nodes.filter("host is not null").join(paths.select("page_id", c("ord").alias("host"), "host_path"), ["page_id", "host"], "left")
+    inside = inside.withColumn("path", F.concat("host_path", F.lit(" >>> "), "selector")).drop("host_path")
+    return nodes.filter("host is null").withColumn("path", c("selector")).unionByName(inside)
 
 
 def named(selectors: DataFrame, nodes: DataFrame) -> DataFrame:

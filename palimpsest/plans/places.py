@@ -80,7 +80,7 @@ def pierced_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = lambda n: F.array_join(F.transform(F.sequence(one, n), lambda i: F.concat(F.lit("#h"), S(i))), " >>> ")
     wanted = pages.select(p, F.explode(F.concat(F.transform(F.sequence(one, d), path), F.array(F.concat(path(d), F.lit(" >>> #go")), F.lit("#h2")))).alias("selector"))
-    return layout.named(wanted, layout.pierced(parsed.page_boxes(pages.select(p, html.alias("html"))))).select("page_id", "selector", "ord")
+    return layout.named(wanted, layout.pierced(parsed.page_boxes(pages.select(p, html.alias("html"))).select("page_id", "ord", "host", "selector"))).select("page_id", "selector", "ord")
 
 
 # Pictures ----------------------------------------------------------------------------------------

@@ -86,3 +86,11 @@ def test_nodes_are_worked_out_once_and_placed(spark):
     got = {(r["page_id"], r["ord"]): (r["x"], r["y"], r["top_ord"], r["visible"]) for r in layout.hit_tested(layout.placed(nodes), 1024, 768).collect()}
     assert made.value == len(rows)
     assert got == {(1, 1): (10.0, 20.0, 2, True), (1, 2): (15.0, 25.0, 2, True), (1, 3): (16.0, 26.0, 3, True), (1, 4): (15.0, 25.0, 2, False), (2, 1): (None, None, None, False), (2, 2): (None, None, None, False)}
+
+
+def test_selectors_are_worked_out_once(spark):
+    rows = [(1, 1, None, "#a"), (1, 2, 1, "#b"), (1, 3, 2, "#c"), (2, 1, None, "#a"), (2, 2, 7, "#lost")]
+    nodes, made = counted(spark, spark.createDataFrame(rows, "page_id long, ord int, host int, selector string"), "selector")
+    got = {(r["page_id"], r["ord"]): r["path"] for r in layout.pierced(nodes).collect()}
+    assert made.value == len(rows)
+    assert got == {(1, 1): "#a", (1, 2): "#a >>> #b", (1, 3): "#a >>> #b >>> #c", (2, 1): "#a", (2, 2): None}
