@@ -10,6 +10,7 @@ from ..functions import mask as M
 from ..functions import patterns as P
 from ..operators import boundary, proofs, risk, sequences, tasks
 from ..sources import fixtures, pages
+from ..storage import spread
 from .registry import QUERIES, SQL, query, table, text, values
 
 # Entities ------------------------------------------------------------------------------------
@@ -230,9 +231,10 @@ def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url", pages.visible_text(F.col("html")).alias("text"))
+    own = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    p = own.select("page_id", "url", pages.visible_text(F.col("html")).alias("text"))
     found = p.withColumn("types", F.array_distinct(F.transform(D.entities(F.col("text")), lambda e: e["type"])))
-    links = pages.page_links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.collect_list(F.struct("text", "href")).alias("links"))
+    links = pages.page_links(own).groupBy("page_id").agg(F.collect_list(F.struct("text", "href")).alias("links"))
     judged = found.join(links, "page_id", "left").withColumn("c", risk.compliance(F.col("text"), F.col("url"), F.col("types"), F.col("links")))
     return judged.select("page_id", F.col("c.score").alias("score"), F.concat_ws(",", "c.findings").alias("findings"))
 

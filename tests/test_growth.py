@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frames, images, layout, proofs
+from palimpsest.operators import frames, images, layout, proofs, risk
 from palimpsest.plans import rules
 
 
@@ -94,3 +94,10 @@ def test_selectors_are_worked_out_once(spark):
     got = {(r["page_id"], r["ord"]): r["path"] for r in layout.pierced(nodes).collect()}
     assert made.value == len(rows)
     assert got == {(1, 1): "#a", (1, 2): "#a >>> #b", (1, 3): "#a >>> #b >>> #c", (2, 1): "#a", (2, 2): None}
+
+
+def test_signals_are_looked_for_once(spark):
+    df = spark.createDataFrame([("a prescription for you", "http://x.example", ["SSN"])], "text string, url string, types array<string>")
+    got = df.withColumn("c", risk.compliance(F.col("text"), F.col("url"), F.col("types"))).select("c.score", "c.findings")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("immunization") == 1
+    assert got.first()["score"] == 100 - 15 - 15 - 5 - 5 - 25 - 15
