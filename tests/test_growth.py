@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frames, images, layout, proofs, risk
+from palimpsest.operators import frames, grid, images, layout, proofs, risk
 from palimpsest.plans import rules
 
 
@@ -101,3 +101,8 @@ def test_signals_are_looked_for_once(spark):
     got = df.withColumn("c", risk.compliance(F.col("text"), F.col("url"), F.col("types"))).select("c.score", "c.findings")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("immunization") == 1
     assert got.first()["score"] == 100 - 15 - 15 - 5 - 5 - 25 - 15
+
+
+def test_points_look_into_few_cells(spark):
+    points = spark.range(4000).select((F.col("id") * 31 % 1200).cast("double").alias("px"), (F.col("id") * 47 % 1500).cast("double").alias("py")).union(spark.sql("select null, 1.0"))
+    assert 4000 <= grid.reached(points, 56.25).count() <= 2.5 * 4000
